@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import bpe, jaccard, mixing, neardup, secrets, topk, toxicity
+from glyphmill.llm import bpe, jaccard, mixing, neardup, secrets, suffix, topk, toxicity
 from glyphmill.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digests(table(spark, sf_dir, "documents"), length=50)
+
+
 def op3_topk_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -38,7 +42,7 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(table(spark, sf_dir, "documents"), num=80, den=100, width=5)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_topk_maxscore, op4_bpe_roundtrip, op5_embedding_near_dedup, op7_source_mixing, op8_secret_scan, op9_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_topk_maxscore, op4_bpe_roundtrip, op5_embedding_near_dedup, op7_source_mixing, op8_secret_scan, op9_ngram_jaccard)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {

@@ -39,7 +39,7 @@ HOT, OFTEN = 1 << 20, 16
 #: Longest list of a prefix shingle that is paired.
 PAIRED = 32
 #: Shingles held before counts or prefixes flow on; documents and shingles of a block.
-HELD, BLOCK_DOCS, BLOCK_SHINGLES = 2_000_000, 2048, 2_000_000
+HELD, BLOCK_DOCS, BLOCK_SHINGLES = 1_000_000, 2048, 1_000_000
 #: Shingles of a tile's block up to which it shares a task call with other tiles.
 SMALL_TILE = 200_000
 #: Most bits of the filter that spares the third reading most documents.
@@ -182,10 +182,10 @@ def prefixes(docs: DataFrame, width: int, share: Share, hot, n_buckets: int) ->
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen[key] = None
-                h = ordered(x, names, often)[: share.prefix(len(x))]
+                h = ordered(x, names, often)[: share.prefix(len(x))].copy()  # not a view that keeps the set
                 held.append((h, key[0], len(x)))
                 size += len(h)
-            if size > HELD // 4:
+            if size > HELD // 2:
                 yield flow()
                 held.clear()
                 size = 0

@@ -9,7 +9,7 @@ import numpy as np
 from glyphmill.llm.common import mix
 
 #: Bytes that are hashed at once, about; a longer stretch without white space goes whole.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 

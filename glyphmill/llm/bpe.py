@@ -180,8 +180,8 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def roundtrip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes and decodes each text: (doc_id, n_tokens, ids, decoded).
+def roundtrip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """Encodes and decodes each text: (doc_id, n_tokens, ids, decoded), and text if kept.
 
     ids are decimal, joined by commas; decoded is made from them alone. Null and empty
     texts have no ids and decode to the empty text; any length is encoded whole;
@@ -195,13 +195,12 @@ def roundtrip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             texts = batch.column(1).to_pylist()
             ids = [own.encode(t) if t else "" for t in texts]
             counts = [x.count(",") + 1 if x else 0 for x in ids]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(map(own.decode, ids), pa.string())],
-                names=["doc_id", "n_tokens", "ids", "decoded"],
-            )
+            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(map(own.decode, ids), pa.string())]
+            names = ["doc_id", "n_tokens", "ids", "decoded"]
+            yield pa.RecordBatch.from_arrays([*columns, batch.column(1)] if keep_text else columns, names=[*names, "text"] if keep_text else names)
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_tokens long, ids string, decoded string")
+    return source.mapInArrow(run, "doc_id long, n_tokens long, ids string, decoded string" + (", text string" if keep_text else ""))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

@@ -330,6 +330,16 @@ def tile_links(nodes_a, copies_a, sets_a, nodes_b, copies_b, sets_b, share: Shar
     return (nodes[links > 0], links[links > 0]), (n[n != m], m[n != m])
 
 
+def tile_pairs(one, two, sets, share: Share):
+    """Yields (i, j) arrays of the linked pairs of a tile; one and two number its blocks'
+    sets in ascending size (two is empty for links within one)."""
+    index = Index([sets[i] for i in one])
+    for n, i in enumerate((two if len(two) else one).tolist()):
+        found = index.search(sets[i], share, 0, len(one) if len(two) else n)
+        if len(found):
+            yield np.full(len(found), i), one[found]
+
+
 def wanted_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(s1, s2, n, shingles) of the documents in wanted.low_doc, and of some others."""
     n = max(1, wanted.count())
@@ -430,3 +440,17 @@ def similar(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, id_c
     classes = cut(classes.join(known, ["s1", "s2", "n"], "left").select("s1", "s2", F.col("n").alias("size"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_similar"), F.when(F.col("links").isNull(), F.col("low_doc")).otherwise(F.col("low")).alias("component_id")).filter("n_similar > 0"))
     out = rows.join(classes, (rows.s1 == classes.s1) & (rows.s2 == classes.s2) & (rows.n == classes["size"]), "left")
     return out.select(rows.doc_id, F.col("n").alias("n_shingles"), F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"), F.when(F.col("n_similar").isNull(), rows.doc_id).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def representatives(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs' rows, with all their columns, of which each component of similar() keeps one:
+    that of the smallest doc_id. Equal rows of one doc_id count once; other rows that
+    share a doc_id share its fate. Rows without shingles stay, as do rows without a doc_id
+    unless they are similar to one that has one."""
+    same = F.col(id_col).eqNullSafe(F.col("kept_"))
+    repeated = docs.groupBy(id_col).count().filter("count > 1")
+    if not repeated.isEmpty():
+        docs = docs.dropDuplicates([id_col, text_col])
+    found = similar(docs, num, den, width, id_col, text_col)
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_")).distinct()
+    return docs.join(kept, same, "left_semi")

@@ -314,6 +314,22 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return source.mapInArrow(run, f"doc_id long, score double, passages {PASSAGES}")
 
 
+def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """docs' rows, with all their columns, whose text scores below the threshold. Cases as
+    in score()."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        own = held.value
+        memory = Memory(own)
+        for batch in batches:
+            scores = [own.score(*find(t or "", memory)) for t in batch.column(place).to_pylist()]
+            yield batch.filter(pa.array([s < threshold for s in scores], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, rows: int = ROWS) -> DataFrame:
     """(doc_id, held_out, score, predicted, n_passages)."""
     return score(docs, fit(docs, labels, rows)).select(

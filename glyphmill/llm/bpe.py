@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.llm.common import tidy_map
+
 #: The split pattern of byte-level pre-tokenization.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Remembered pieces a worker; when full, the memory starts anew.
@@ -200,7 +202,7 @@ def roundtrip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([*columns, batch.column(1)] if keep_text else columns, names=[*names, "text"] if keep_text else names)
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_tokens long, ids string, decoded string" + (", text string" if keep_text else ""))
+    return source.mapInArrow(tidy_map(run), "doc_id long, n_tokens long, ids string, decoded string" + (", text string" if keep_text else ""))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

@@ -9,6 +9,7 @@ so results don't depend on how the input was split.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
@@ -103,3 +104,39 @@ def text_buffers(column):
     offsets = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8)
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
     return data, offsets
+
+
+def release() -> None:
+    """Gives a worker's unused memory back: workers outlive their tasks, and several of
+    them share an executor's memory with its JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def tidy_map(run):
+    """run (an iterator of batches -> another), with release() at its end."""
+
+    def wrapped(batches):
+        pa.set_memory_pool(pa.system_memory_pool())  # others keep what they freed
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def tidy_group(run):
+    """run (a table -> a table), with release() after each group."""
+
+    def wrapped(table):
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            return run(table)
+        finally:
+            release()
+
+    return wrapped

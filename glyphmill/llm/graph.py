@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import cut
+from glyphmill.llm.common import cut, tidy_map
 
 #: Edges that one task finishes (16 bytes each); above, star rounds contract the graph first.
 ONE_TASK = 4_000_000
@@ -62,7 +62,7 @@ def components(edges: DataFrame) -> DataFrame:
     node reachable. Each partition contracts its own edges to stars; while more than
     ONE_TASK are left, rounds of large and small stars (minima with partial aggregation,
     joins that AQE splits where a node is hot) halve the depth of what is left."""
-    edges = cut(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).mapInArrow(contract, "a long, b long"))
+    edges = cut(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).mapInArrow(tidy_map(contract), "a long, b long"))
     while edges.count() > ONE_TASK:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -75,5 +75,5 @@ def components(edges: DataFrame) -> DataFrame:
         if again.exceptAll(edges).isEmpty() and edges.exceptAll(again).isEmpty():
             return again.select(F.col("a").alias("node"), F.col("b").alias("component")).union(again.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
         edges = again
-    stars = edges.repartition(1).mapInArrow(contract, "a long, b long")
+    stars = edges.repartition(1).mapInArrow(tidy_map(contract), "a long, b long")
     return cut(stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()))

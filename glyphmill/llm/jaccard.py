@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import blob_batch, buckets, cut, mix, read_blobs, split_blobs, text_buffers
+from glyphmill.llm.common import blob_batch, buckets, cut, mix, read_blobs, split_blobs, text_buffers, tidy_group, tidy_map
 from glyphmill.llm.graph import components, lowest
 from glyphmill.llm.shingles import shingle_sets
 
@@ -136,7 +136,7 @@ def signatures(docs: DataFrame, width: int, n_buckets: int) -> DataFrame:
         if held:
             yield flow()
 
-    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, bucket long, blob binary")
+    return docs.mapInArrow(tidy_map(run), "doc_id long, n long, s1 long, s2 long, bucket long, blob binary")
 
 
 def frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +149,7 @@ def frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         keep = n >= OFTEN
         return pa.table({"h": h[keep].view(np.int64), "n": n[keep]})
 
-    found = counted.filter("blob is not null").select("bucket", "blob").groupBy("bucket").applyInArrow(add, "h long, n long")
+    found = counted.filter("blob is not null").select("bucket", "blob").groupBy("bucket").applyInArrow(tidy_group(add), "h long, n long")
     table = found.orderBy(F.col("n").desc(), "h").limit(HOT).toArrow()
     h, n = table.column("h").to_numpy().view(np.uint64), table.column("n").to_numpy()
     order = np.argsort(h)
@@ -192,7 +192,7 @@ def prefixes(docs: DataFrame, width: int, share: Share, hot, n_buckets: int) ->
         if held:
             yield flow()
 
-    return docs.select("text").mapInArrow(run, "bucket long, blob binary")
+    return docs.select("text").mapInArrow(tidy_map(run), "bucket long, blob binary")
 
 
 def listed(x: np.ndarray, share: Share, paired: int = PAIRED) -> tuple[np.ndarray, np.ndarray]:
@@ -253,8 +253,8 @@ def candidates(records: DataFrame, share: Share, n_buckets: int, paired: int = P
         e = read_blobs(table.filter(pa.array(kind == 1)).column("blob"), EDGES)
         return pa.table({"a": np.concatenate([x["a"], e["a"]]), "b": np.concatenate([x["b"], e["b"]])})
 
-    found = records.groupBy("bucket").applyInArrow(lists, "bucket long, kind long, blob binary")
-    return found.groupBy("bucket").applyInArrow(pairs, "a long, b long")
+    found = records.groupBy("bucket").applyInArrow(tidy_group(lists), "bucket long, kind long, blob binary")
+    return found.groupBy("bucket").applyInArrow(tidy_group(pairs), "a long, b long")
 
 
 class Index:
@@ -350,7 +350,7 @@ def wanted_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(number(b.column(0), size)))], names=["place"])
 
-    for b in wanted.select("low_doc").mapInArrow(places, "place long").distinct().toArrow().to_batches():
+    for b in wanted.select("low_doc").mapInArrow(tidy_map(places), "place long").distinct().toArrow().to_batches():
         bits[b.column(0).to_numpy()] = True
     held = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
@@ -364,7 +364,7 @@ def wanted_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             cols = list(zip(*rows)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:3]] + [pa.array(cols[3], pa.binary())], names=["s1", "s2", "n", "shingles"])
 
-    return docs.mapInArrow(run, "s1 long, s2 long, n long, shingles binary")
+    return docs.mapInArrow(tidy_map(run), "s1 long, s2 long, n long, shingles binary")
 
 
 def similar(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, id_col: str = "doc_id", text_col: str = "text", paired: int = PAIRED) -> DataFrame:
@@ -431,7 +431,7 @@ def similar(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, id_c
         none = lambda k: pa.nulls(k, pa.int64())
         return pa.table({"node": pa.chunked_array([pa.array(n, pa.int64()), pa.array(p, pa.int64())]), "links": pa.chunked_array([pa.array(links, pa.int64()), none(len(p))]), "other": pa.chunked_array([none(len(n)), pa.array(q, pa.int64())])})
 
-    linked = cut(tasks.drop("s1", "s2").groupBy("task").applyInArrow(tile, "node long, links long, other long"))
+    linked = cut(tasks.drop("s1", "s2").groupBy("task").applyInArrow(tidy_group(tile), "node long, links long, other long"))
     n_links = linked.filter("links is not null").groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(linked.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     known = clustered.select("s1", "s2", "n", "node", "low_doc").join(n_links, "node", "left").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import buckets, cut, mix, split_blobs, text_buffers
+from glyphmill.llm.common import buckets, cut, mix, split_blobs, text_buffers, tidy_group, tidy_map
 from glyphmill.llm.graph import components, lowest
 from glyphmill.llm.jaccard import Share, tile_pairs
 from glyphmill.llm.shingles import words
@@ -130,7 +130,7 @@ def count_words(docs: DataFrame) -> np.ndarray:
         return pa.table({"bucket": table.column("bucket").slice(0, 1), "blob": pa.array([kind.tobytes()], pa.binary())})
 
     out = np.zeros((spans, COUNTERS // spans), np.uint8)
-    for r in docs.select("text").mapInArrow(run, ROWS).groupBy("bucket").applyInArrow(add, "bucket long, blob binary").collect():
+    for r in docs.select("text").mapInArrow(tidy_map(run), ROWS).groupBy("bucket").applyInArrow(tidy_group(add), "bucket long, blob binary").collect():
         out[r.bucket] = np.frombuffer(r.blob, np.uint8)
     return out.ravel()
 
@@ -204,7 +204,7 @@ def gather(docs: DataFrame, rarity, share: Share, least: int, n: int) -> DataFra
         if lines:
             yield flow()
 
-    return docs.mapInArrow(run, ROWS)
+    return docs.mapInArrow(tidy_map(run), ROWS)
 
 
 def doc_bucket(x: np.ndarray, n: int) -> np.ndarray:
@@ -293,7 +293,7 @@ def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100, least: int = 5,
         rows += [(REMOVED, r["bucket"], r["blob"]) for r in table.filter(pa.array(kinds == REMOVED)).select(["bucket", "blob"]).to_pylist()]
         return pa.Table.from_batches([batch_of(rows)])
 
-    found = cut(gather(texts, rarity, share, least, n).groupBy("bucket").applyInArrow(reduce_bucket, ROWS))
+    found = cut(gather(texts, rarity, share, least, n).groupBy("bucket").applyInArrow(tidy_group(reduce_bucket), ROWS))
 
     def edges_of(batches):
         for b in batches:
@@ -306,8 +306,8 @@ def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100, least: int = 5,
                 x = unpack([blob], LINE)
                 yield pa.RecordBatch.from_arrays([pa.array(x["s1"]), pa.array(x["s2"]), pa.array(x["n"].astype(np.int64)), pa.array(x["doc"]), pa.array(x["tag"].view(np.int64)), pa.array(x["start"].astype(np.int64))], names=["s1", "s2", "n", "doc", "tag", "line"])
 
-    nodes = components(found.filter(F.col("kind") == EDGE).select("blob").mapInArrow(edges_of, "a long, b long"))
-    firsts = found.filter(F.col("kind") == LINES).select("blob").mapInArrow(lines_of, "s1 long, s2 long, n long, doc long, tag long, line long")
+    nodes = components(found.filter(F.col("kind") == EDGE).select("blob").mapInArrow(tidy_map(edges_of), "a long, b long"))
+    firsts = found.filter(F.col("kind") == LINES).select("blob").mapInArrow(tidy_map(lines_of), "s1 long, s2 long, n long, doc long, tag long, line long")
     asked = cut(firsts.join(nodes.select(F.col("node").alias("s1"), F.col("component").alias("cluster")), "s1").select("cluster", "n", "doc", "tag", "line").withColumn("node", F.monotonically_increasing_id()))
     sizes = asked.groupBy("cluster", "n").agg(F.count("*").alias("lines"))
     before = F.expr("coalesce(sum(lines) over (partition by cluster order by n rows between unbounded preceding and 1 preceding), 0)")
@@ -348,7 +348,7 @@ def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100, least: int = 5,
                 docs_ = text[which]
                 yield pa.RecordBatch.from_arrays([pa.array(node[which]), pa.array(b[which]), batch.column(0).take(pa.array(docs_)), batch.column(1).take(pa.array(docs_)), pa.array(line[which]), pa.array(sets, pa.binary())], names=["node", "b", "doc", "tag", "line", "words"])
 
-    fetched = with_rows(wanted, "inner", texts).select("doc", "tag", "text", "asked").mapInArrow(fetch, "node long, b long, doc long, tag long, line long, words binary")
+    fetched = with_rows(wanted, "inner", texts).select("doc", "tag", "text", "asked").mapInArrow(tidy_map(fetch), "node long, b long, doc long, tag long, line long, words binary")
     work = fetched.join(sides, "b")
 
     def verify(table: pa.Table) -> pa.Table:
@@ -367,7 +367,7 @@ def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100, least: int = 5,
                 gone[np.where(rank[i] > rank[j], i, j)] = True
         return pa.table({"doc": doc[gone], "tag": tag[gone], "line": line[gone]})
 
-    late = work.groupBy("task").applyInArrow(verify, "doc long, tag long, line long")
+    late = work.groupBy("task").applyInArrow(tidy_group(verify), "doc long, tag long, line long")
 
     def removed_of(batches):
         for b in batches:
@@ -375,7 +375,7 @@ def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100, least: int = 5,
                 r = unpack([blob], GONE)
                 yield pa.RecordBatch.from_arrays([pa.array(r["doc"]), pa.array(r["tag"].view(np.int64)), pa.array(r["start"].astype(np.int64))], names=["doc", "tag", "line"])
 
-    exact = found.filter(F.col("kind") == REMOVED).select("blob").mapInArrow(removed_of, "doc long, tag long, line long")
+    exact = found.filter(F.col("kind") == REMOVED).select("blob").mapInArrow(tidy_map(removed_of), "doc long, tag long, line long")
     gone = exact.union(late).groupBy(F.col("doc").alias("doc_r"), F.col("tag").alias("tag_r")).agg(F.collect_set("line").alias("gone"))
     lines = F.split(F.col("text_"), "\n", -1)
     joined = with_rows(gone, "left", keyed)

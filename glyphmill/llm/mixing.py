@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from glyphmill.llm.common import cut
+from glyphmill.llm.common import cut, tidy_map
 
 #: Words a block holds about, and the most blocks a source is cut into.
 BLOCK_WORDS, BLOCKS = 1 << 16, 1 << 12
@@ -60,7 +60,7 @@ def numbered(df: DataFrame, order: Column) -> DataFrame:
             at += n
 
     fields = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
-    rows = cut(df.repartitionByRange(parts, order).sortWithinPartitions(order).mapInArrow(number, f"{fields}, part int, at long"))
+    rows = cut(df.repartitionByRange(parts, order).sortWithinPartitions(order).mapInArrow(tidy_map(number), f"{fields}, part int, at long"))
     starts, total = [], 0
     for r in sorted(rows.groupBy("part").count().collect()):
         starts += [F.lit(r["part"]), F.lit(total)]

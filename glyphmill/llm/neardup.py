@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import cut
+from glyphmill.llm.common import cut, tidy_group
 from glyphmill.llm.graph import components, lowest
 from glyphmill.llm.topk import sound
 
@@ -148,7 +148,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
         none = lambda k: pa.nulls(k, pa.int64())
         return pa.table({"node": pa.chunked_array([pa.array(n, pa.int64()), pa.array(p, pa.int64())]), "links": pa.chunked_array([pa.array(links_, pa.int64()), none(len(p))]), "other": pa.chunked_array([none(len(n)), pa.array(q, pa.int64())])})
 
-    found = cut(work.groupBy("tile").applyInArrow(tile, "node long, links long, other long"))
+    found = cut(work.groupBy("tile").applyInArrow(tidy_group(tile), "node long, links long, other long"))
     n_links = found.filter("links is not null").groupBy("node").agg(F.sum("links").alias("links"))
     nodes = components(found.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     classes = units.join(n_links, "node", "left").join(nodes, "node", "left").withColumn("component", F.coalesce("component", "node"))

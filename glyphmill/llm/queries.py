@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import bpe, jaccard, lines, mixing, neardup, secrets, suffix, topk, toxicity
+from glyphmill.llm import bpe, chat, jaccard, lines, mixing, neardup, secrets, suffix, topk, toxicity
 from glyphmill.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op6_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.linked_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "shards")
 
@@ -46,10 +50,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_topk_maxscore, op4_bpe_roundtrip, op5_embedding_near_dedup, op7_source_mixing, op8_secret_scan, op9_ngram_jaccard, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_topk_maxscore, op4_bpe_roundtrip, op5_embedding_near_dedup, op6_quotation_linking, op7_source_mixing, op8_secret_scan, op9_ngram_jaccard, op10_line_dedup)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
+    "op6_quotation_linking": chat.ORACLE,
     "op3_topk_maxscore": """
 WITH v AS (
   SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import text_buffers
+from glyphmill.llm.common import text_buffers, tidy_map
 
 try:
     from re import _constants as sre
@@ -249,7 +249,7 @@ def find_secrets(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], names=["doc_id", "spans"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, f"doc_id long, spans {SPANS}")
+    return source.mapInArrow(tidy_map(run), f"doc_id long, spans {SPANS}")
 
 
 def listed(spans: Column) -> Column:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm.anchors import anchors
-from glyphmill.llm.common import buckets, cut, mix, read_blobs, text_buffers
+from glyphmill.llm.common import buckets, cut, mix, read_blobs, text_buffers, tidy_group, tidy_map
 
 #: Length of a repeat, of an anchor's gram, and of what keys a part beside the gram.
 LENGTH, GRAM, BESIDE = 50, 16, 17
@@ -174,7 +174,7 @@ def gather(docs: DataFrame, length: int, n: int) -> DataFrame:
         if held:
             yield flow()
 
-    return docs.mapInArrow(run, ROWS)
+    return docs.mapInArrow(tidy_map(run), ROWS)
 
 
 def merged(x: np.ndarray) -> np.ndarray:
@@ -335,7 +335,7 @@ def per_document(rows: DataFrame, dtype: np.dtype, unite: bool, name: str) -> Da
         blobs = [pack(x[a:b]) for a, b in zip(first.tolist(), ends)]
         return pa.table({"doc_r": x["doc"][first], "tag_r": x["tag"][first].view(np.int64), name: pa.array(blobs, pa.binary())})
 
-    return rows.groupBy("bucket").applyInArrow(run, f"doc_r long, tag_r long, {name} binary")
+    return rows.groupBy("bucket").applyInArrow(tidy_group(run), f"doc_r long, tag_r long, {name} binary")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -369,7 +369,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         body = np.concatenate([np.frombuffer(b.as_buffer(), np.uint8) for b in table.column("body")])
         return pa.Table.from_batches([rows_batch(by_document(merged(previous_factors(x, body, length)), n, 1))])
 
-    judged = cut(gather(docs.select("doc", "tag", "text"), length, n).groupBy("bucket").applyInArrow(reduce_anchors, ROWS))
+    judged = cut(gather(docs.select("doc", "tag", "text"), length, n).groupBy("bucket").applyInArrow(tidy_group(reduce_anchors), ROWS))
     keyed = docs.select("doc", "tag", "text", "doc_id")
 
     def with_blobs(right: DataFrame, how: str) -> DataFrame:
@@ -377,8 +377,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         return keyed.join(right.hint("shuffle_hash"), on if unique else on & (keyed.tag == right.tag_r), how)
 
     asked = with_blobs(per_document(judged.filter("kind = 2"), REQUEST, False, "asked"), "inner").select("doc", "tag", "text", "asked")
-    contexts = asked.mapInArrow(lambda batches: fetch(batches, length, n), ROWS)
-    late = contexts.groupBy("bucket").applyInArrow(reduce_contexts, ROWS)
+    contexts = asked.mapInArrow(tidy_map(lambda batches: fetch(batches, length, n)), ROWS)
+    late = contexts.groupBy("bucket").applyInArrow(tidy_group(reduce_contexts), ROWS)
     gone = per_document(judged.filter("kind = 1").union(late), RANGE, True, "gone")
 
     def cutting(batches):
@@ -401,7 +401,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"])
 
     out = with_blobs(gone, "left").select("doc_id", "text", "gone")
-    return out.mapInArrow(cutting, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start: long, end: long>>")
+    return out.mapInArrow(tidy_map(cutting), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start: long, end: long>>")
 
 
 def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from glyphmill.llm.common import blob_batch, cut
+from glyphmill.llm.common import blob_batch, cut, tidy_group, tidy_map
 
 #: Most rows of a candidate shard and of a query block.
 SHARD, BLOCK = 1 << 16, 1 << 14
@@ -148,8 +148,8 @@ def search(vectors: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id
 
     rows = rows.select("id", "x", "row", "is_query")
     packed = "tile long, side long, blob binary"
-    candidates = rows.select("id", "x", "row").mapInArrow(lambda it: pack(it, shards, blocks, 1), packed)
-    wanted = rows.filter("is_query").select("id", "x", "row").mapInArrow(lambda it: pack(it, blocks, shards, 0), packed)
+    candidates = rows.select("id", "x", "row").mapInArrow(tidy_map(lambda it: pack(it, shards, blocks, 1)), packed)
+    wanted = rows.filter("is_query").select("id", "x", "row").mapInArrow(tidy_map(lambda it: pack(it, blocks, shards, 0)), packed)
 
     def tile(table: pa.Table) -> pa.Table:
         read = lambda s: np.concatenate([np.empty(0, kind), *(np.frombuffer(b, kind) for b, side in zip(table.column("blob").to_pylist(), table.column("side").to_pylist()) if side == s)])
@@ -162,6 +162,6 @@ def search(vectors: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id
         cols = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64)] * 5
         return pa.table({"row": cols[0], "query_id": cols[1], "vec_id": pa.array(cols[2], pa.int64(), mask=cols[3].astype(bool)), "score": cols[4]})
 
-    best = candidates.union(wanted).groupBy("tile").applyInArrow(tile, "row long, query_id long, vec_id long, score long")
+    best = candidates.union(wanted).groupBy("tile").applyInArrow(tidy_group(tile), "row long, query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("row").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last()))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import cut
+from glyphmill.llm.common import cut, tidy_map
 
 #: Labelled documents that the model is fitted on, at most; features it keeps, at most.
 ROWS, FEATURES = 24_000, 200_000
@@ -250,14 +250,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
             cols = list(zip(*out)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())))], names=["label", "n", "found", "tokens"])
 
-    held = sample.filter("part = 3").select("text", "toxic").mapInArrow(look, "label int, n long, found array<double>, tokens array<double>")
+    held = sample.filter("part = 3").select("text", "toxic").mapInArrow(tidy_map(look), "label int, n long, found array<double>, tokens array<double>")
     seen = [(r.label, r.n, [(0, 0, s) for s in r.found], list(r.tokens)) for r in held.collect()]
     return calibrate(model, seen)
 
 
 def weigh(sample: DataFrame, base: float) -> Model:
     """Token scores from the counting part of the sample."""
-    raw = sample.select("text", "toxic").mapInArrow(count_features, "feature string, clean long, toxic long")
+    raw = sample.select("text", "toxic").mapInArrow(tidy_map(count_features), "feature string, clean long, toxic long")
     counts = cut(raw.groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
     rate = (F.col("toxic") + PRIOR * base) / (F.col("toxic") + F.col("clean") + PRIOR)
     strong = counts.filter("toxic >= 2").orderBy(rate.desc(), "feature").limit(FEATURES)
@@ -311,7 +311,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(passages, kind)], names=["doc_id", "score", "passages"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, f"doc_id long, score double, passages {PASSAGES}")
+    return source.mapInArrow(tidy_map(run), f"doc_id long, score double, passages {PASSAGES}")
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
@@ -327,7 +327,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3, text_col:
             scores = [own.score(*find(t or "", memory)) for t in batch.column(place).to_pylist()]
             yield batch.filter(pa.array([s < threshold for s in scores], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy_map(run), docs.schema)
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, rows: int = ROWS) -> DataFrame:

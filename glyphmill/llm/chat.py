@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 from glyphmill.llm.common import cut
 
 MARKS = r"^((?:[ \t]*>)+)"
-ATTRIBUTION = r"(?i)^.{0,300}\b(?:wrote|writes|said|schrieb|écrit|escribió)\s*:\s*$"
+ATTRIBUTION = r"(?i)^(?:.{0,300}[ \t])?(?:wrote|writes|said|schrieb|écrit|escribió)\s*:\s*$"
 
 
 def level(line: Column) -> Column:
@@ -108,7 +108,7 @@ WITH RECURSIVE m AS (
   SELECT *, len(regexp_extract(line, '^((?:[ \t]*>)+)', 1)) - len(replace(regexp_extract(line, '^((?:[ \t]*>)+)', 1), '>', '')) AS level,
     trim(regexp_replace(lower(regexp_replace(line, '^((?:[ \t]*>)+)', '')), '[\x09-\x0D\x20]+', ' ', 'g')) AS norm FROM l0
 ), l AS (
-  SELECT *, level = 0 AND NOT (regexp_matches(line, '(?i)^.{0,300}\b(?:wrote|writes|said|schrieb|écrit|escribió)\s*:\s*$')
+  SELECT *, level = 0 AND NOT (regexp_matches(line, '(?i)^(?:.{0,300}[ \t])?(?:wrote|writes|said|schrieb|écrit|escribió)\s*:\s*$')
     AND coalesce(lead(level) OVER (PARTITION BY r ORDER BY i), 0) > 0) AS own FROM l1
 ), q AS (SELECT r, conv_id, turn, level, norm FROM l WHERE level > 0 AND norm <> ''),
 f AS (

@@ -31,7 +31,8 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.linked_conversations(table(spark, sf_dir, "conversations"))
+    out = chat.linked_conversations(table(spark, sf_dir, "conversations"))
+    return out.withColumn("parent_turn", F.coalesce("parent_turn", F.lit(-1)))
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +55,7 @@ QUERIES = {f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_topk_maxs
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
-    "op6_quotation_linking": chat.ORACLE,
+    "op6_quotation_linking": f"SELECT * REPLACE (coalesce(parent_turn, -1) AS parent_turn) FROM ({chat.ORACLE})",
     "op3_topk_maxscore": """
 WITH v AS (
   SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e

@@ -229,6 +229,17 @@ def listed(x: np.ndarray, share: Share, paired: int = PAIRED) -> tuple[np.ndarra
     return pairs, edges
 
 
+def shared_enough(x: np.ndarray, share: Share) -> np.ndarray:
+    """PAIRS records, added up by pair, of those that share enough prefix elements: all that
+    a pair shares up to the nearer prefix's end are among them."""
+    x = x[np.lexsort((x["b"], x["a"]))]
+    first = np.flatnonzero(np.concatenate(([True], (x["a"][1:] != x["a"][:-1]) | (x["b"][1:] != x["b"][:-1])))) if len(x) else np.empty(0, np.int64)
+    n = np.add.reduceat(x["n"].astype(np.int64), first) if len(first) else first
+    x = x[first]
+    na, nb = x["na"].astype(np.int64), x["nb"].astype(np.int64)
+    return x[n >= share.overlap(na, nb) + np.minimum(share.prefix(na) - na, share.prefix(nb) - nb)]
+
+
 def candidates(records: DataFrame, share: Share, n_buckets: int, paired: int = PAIRED) -> DataFrame:
     """Edges (a, b) between sets that may link, directly or over others."""
 
@@ -242,14 +253,7 @@ def candidates(records: DataFrame, share: Share, n_buckets: int, paired: int = P
     def pairs(table: pa.Table) -> pa.Table:
         kind = table.column("kind").to_numpy()
         x = read_blobs(table.filter(pa.array(kind == 0)).column("blob"), PAIRS)
-        x = x[np.lexsort((x["b"], x["a"]))]
-        first = np.flatnonzero(np.concatenate(([True], (x["a"][1:] != x["a"][:-1]) | (x["b"][1:] != x["b"][:-1])))) if len(x) else np.empty(0, np.int64)
-        n = np.add.reduceat(x["n"].astype(np.int64), first) if len(first) else first
-        x = x[first]
-        na, nb = x["na"].astype(np.int64), x["nb"].astype(np.int64)
-        # all prefix shingles of the pair that come up to the nearer prefix's end are known
-        need = share.overlap(na, nb) + np.minimum(share.prefix(na) - na, share.prefix(nb) - nb)
-        x = x[n >= need]
+        x = shared_enough(x, share)
         e = read_blobs(table.filter(pa.array(kind == 1)).column("blob"), EDGES)
         return pa.table({"a": np.concatenate([x["a"], e["a"]]), "b": np.concatenate([x["b"], e["b"]])})
 

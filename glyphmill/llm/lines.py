@@ -16,8 +16,10 @@ How it scales.
   first of a task leaves it, so a line that a third of all documents hold costs a
   record for each task.
 - Records go through fixed-width blobs by word. A word's list is compared in place, size
-  by size; lists over LIST long link neighbours of fitting size, so no group is
-  expanded into its pairs. Candidates' components are verified in bounded tiles.
+  by size, and leaves as stars, not as pairs. Long lines, whose parity maps say little,
+  leave as pairs that must then share as many prefix words as a link needs; where a list
+  holds many of them, neighbours of fitting size are linked instead. Candidates'
+  components are verified in bounded tiles.
 - Texts are read twice and exchanged once; only lines in components send their sets.
 """
 
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.llm.common import buckets, cut, mix, split_blobs, text_buffers, tidy_group, tidy_map
 from glyphmill.llm.graph import components, lowest
-from glyphmill.llm.jaccard import Share, tile_pairs
+from glyphmill.llm.jaccard import PAIRS, Share, shared_enough, tile_pairs
 from glyphmill.llm.shingles import words
 from glyphmill.llm.suffix import NO_ID, pack, unpack
 
@@ -38,8 +40,12 @@ from glyphmill.llm.suffix import NO_ID, pack, unpack
 COUNTERS, CLASSES = 1 << 21, 64
 #: Words handled at once; prefix records held before they flow on.
 PIECE, HELD = 400_000, 800_000
-#: Longest list of a word that is compared pair by pair, in its task.
-LIST = 512
+#: Longest list of a word that is compared place by place; longer ones go by size. Pairs
+#: of maps that are compared without dividing them.
+LIST, BLOCKED = 512, 1 << 26
+#: Lines of more words count as long: 64 bits say little of them. Longest list of long
+#: lines that is paired.
+LONG, PAIRED = 96, 32
 #: Lines of a tile's block.
 BLOCK = 2048
 
@@ -48,7 +54,7 @@ LINE = np.dtype([("doc", "<i8"), ("tag", "<u8"), ("start", "<u4"), ("s1", "<i8")
 GONE = np.dtype([("doc", "<i8"), ("tag", "<u8"), ("start", "<u4")])  # start: the line's number
 EDGES = np.dtype([("a", "<i8"), ("b", "<i8")])
 ROWS = "kind long, bucket long, blob binary"
-LINES, WORDS, REMOVED, EDGE = 0, 1, 2, 3
+LINES, WORDS, REMOVED, EDGE, PAIR = 0, 1, 2, 3, 4
 
 
 def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -218,17 +224,49 @@ def by_bucket(x: np.ndarray, bucket: np.ndarray, kind: int) -> list[tuple]:
     return [(kind, int(bucket[a]), pack(x[a:b])) for a, b in zip(edges[:-1], edges[1:])]
 
 
-def near_in_lists(x: np.ndarray, share: Share, longest: int = LIST) -> np.ndarray:
-    """Candidate edges of the words' lists by length, position and parity map, as stars."""
+def parity_pairs(a: np.ndarray, b: np.ndarray, most: int, same: bool, left: int = 64):
+    """Yields (rows of a, rows of b) whose maps differ in at most `most` bits. Blocks up to
+    BLOCKED pairs are compared whole; beyond, maps within `most` bits of each other agree
+    in one of most + 1 parts, so each part's equal values are compared apart."""
+    if len(a) * len(b) <= BLOCKED or most + 1 > 16:
+        step = max(1, (1 << 22) // max(1, len(b)))
+        for s in range(0, len(a), step):
+            i, j = np.nonzero(np.bitwise_count(a[s : s + step, None] ^ b[None, :]) <= most)
+            i += s
+            if same:
+                i, j = i[i < j], j[i < j]
+            yield i, j
+        return
+    width = -(-64 // (most + 1))
+    for shift in range(0, 64, width):
+        mask = np.uint64((1 << width) - 1)
+        ka, kb = (a >> np.uint64(shift)) & mask, (b >> np.uint64(shift)) & mask
+        oa, ob = np.argsort(ka, kind="stable"), np.argsort(kb, kind="stable")
+        for value in np.intersect1d(ka, kb):
+            i = oa[np.searchsorted(ka[oa], value) : np.searchsorted(ka[oa], value, side="right")]
+            j = ob[np.searchsorted(kb[ob], value) : np.searchsorted(kb[ob], value, side="right")]
+            step = max(1, (1 << 22) // len(j))
+            for s in range(0, len(i), step):
+                p, q = np.nonzero(np.bitwise_count(a[i[s : s + step], None] ^ b[j][None, :]) <= most)
+                p, q = i[s + p], j[q]
+                yield (p[p < q], q[p < q]) if same else (p, q)
+
+
+def near_in_lists(x: np.ndarray, share: Share, longest: int = LIST, paired: int = PAIRED) -> tuple[np.ndarray, np.ndarray]:
+    """(edges, pairs) of the words' lists by length, position and parity map. Edges are
+    stars of candidates; pairs are of long lines, whose maps say little, and still need as
+    many shared prefix words as a link takes."""
     x = x[np.lexsort((x["node"], x["n"], x["h"]))]
     if len(x):
         x = x[np.concatenate(([True], (x["h"][1:] != x["h"][:-1]) | (x["node"][1:] != x["node"][:-1])))]
     h, n, at, parity, node = x["h"], x["n"].astype(np.int64), x["at"].astype(np.int64), x["map"], x["node"]
-    new = np.concatenate(([True], h[1:] != h[:-1])) if len(x) else np.empty(0, bool)
-    starts = np.flatnonzero(new)
+    starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(x) else np.empty(0, np.int64)
     length = np.diff(np.append(starts, len(x)))
     left = np.repeat(np.where(length <= longest, starts + length, 0), length) - np.arange(len(x))  # to the list's end
-    a, b = [], []
+    big = n > LONG
+    crowd = np.add.reduceat(big.astype(np.int64), starts) if len(x) else starts
+    many = np.repeat((crowd > paired) | (length > longest), length)  # lists that hold many long lines
+    a, b, pa_, pb_ = [], [], [], []
     i = np.flatnonzero(left > 1)
     d = 1
     while len(i):
@@ -236,18 +274,53 @@ def near_in_lists(x: np.ndarray, share: Share, longest: int = LIST) -> np.ndarra
         fit = share.fits(n[i], n[j])
         i, j = i[fit], j[fit]  # sizes ascend: beyond the first that doesn't fit none does
         need = share.overlap(n[i], n[j])
-        near = (at[i] <= n[i] - need) & (at[j] <= n[j] - need) & (np.bitwise_count(parity[i] ^ parity[j]) <= n[i] + n[j] - 2 * need)
-        a.append(i[near])
-        b.append(j[near])
+        near = np.bitwise_count(parity[i] ^ parity[j]) <= n[i] + n[j] - 2 * need
+        early = (at[i] <= n[i] - need) & (at[j] <= n[j] - need)
+        one = near & early & ~big[i]
+        a.append(i[one])
+        b.append(j[one])
+        two = near & big[i] & ~many[i]
+        pa_.append(i[two])
+        pb_.append(j[two])
         d += 1
         i = i[left[i] > d]
-    long = np.repeat(length > longest, length)
-    i = np.flatnonzero(long[1:] & (h[1:] == h[:-1]) & share.fits(n[:-1], n[1:])) if len(x) else np.empty(0, np.int64)
-    p, q = np.concatenate([i, *a]), np.concatenate([i + 1, *b])
+    for s, k in zip(starts[length > longest].tolist(), length[length > longest].tolist()):
+        sizes, first = np.unique(n[s : s + k], return_index=True)
+        ends = np.append(first[1:], k)
+        for u, (low, f, e) in enumerate(zip(sizes.tolist(), first.tolist(), ends.tolist())):
+            for high, g, t in zip(sizes[u:].tolist(), first[u:].tolist(), ends[u:].tolist()):
+                if low > LONG or not share.fits(low, high):
+                    break
+                need = int(share.overlap(low, high))
+                if need == low == high:
+                    continue  # only equal sets, which are one class
+                for p, q in parity_pairs(parity[s + f : s + e], parity[s + g : s + t], low + high - 2 * need, low == high):
+                    p, q = p + s + f, q + s + g
+                    early = (at[p] <= low - need) & (at[q] <= high - need)
+                    a.append(p[early])
+                    b.append(q[early])
+    # long lines of lists that hold many: neighbours of fitting size
+    i = np.flatnonzero(big & many)
+    if len(i):
+        i, j = i[:-1], i[1:]
+        fit = (h[i] == h[j]) & share.fits(n[i], n[j])
+        a.append(i[fit])
+        b.append(j[fit])
+    none = np.empty(0, np.int64)
+    p, q = np.concatenate([none, *a]), np.concatenate([none, *b])
     p, q = lowest(node[p], node[q])
-    out = np.empty(int((p != q).sum()), EDGES)
-    out["a"], out["b"] = p[p != q], q[p != q]
-    return out
+    edges = np.empty(int((p != q).sum()), EDGES)
+    edges["a"], edges["b"] = p[p != q], q[p != q]
+    i, j = np.concatenate([none, *pa_]), np.concatenate([none, *pb_])
+    swap = node[i] > node[j]
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
+    order = np.lexsort((node[j], node[i]))
+    i, j = i[order], j[order]
+    first = np.flatnonzero(np.concatenate(([True], (node[i][1:] != node[i][:-1]) | (node[j][1:] != node[j][:-1])))) if len(i) else none
+    pairs = np.empty(len(first), PAIRS)
+    pairs["a"], pairs["b"], pairs["na"], pairs["nb"] = node[i[first]], node[j[first]], n[i[first]], n[j[first]]
+    pairs["n"] = np.diff(np.append(first, len(i)))
+    return edges, pairs
 
 
 def first_lines(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -271,7 +344,7 @@ def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100, least: int = 5,
     which are replaced. An empty table gives no rows.
     """
     share = Share(num, den)
-    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("lines_", "removed_"))).alias("row_")
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in (text_col, "lines_", "removed_")), F.lit(0).alias("_")).alias("row_")
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).cast("string").alias("text_"), own)
     unique = keyed.groupBy("doc").count().filter("count > 1").isEmpty()
     keyed = keyed.withColumn("tag", F.lit(0).cast("long") if unique else F.coalesce(F.xxhash64("text_"), F.lit(0)))
@@ -284,8 +357,9 @@ def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100, least: int = 5,
         kinds = table.column("kind").to_numpy()
         blobs = lambda k: table.filter(pa.array(kinds == k)).column("blob").to_pylist()
         x = [np.empty(0, PREFIX), *(np.frombuffer(b, PREFIX) for b in blobs(WORDS))]
-        edges = near_in_lists(np.concatenate(x), share)
+        edges, pairs = near_in_lists(np.concatenate(x), share)
         rows = [(EDGE, b, d) for b, d in split_blobs(edges, edges["a"] % n)]
+        rows += [(PAIR, b, d) for b, d in split_blobs(pairs, ((pairs["a"] ^ (pairs["b"] << 1)) % n))]
         firsts, gone = first_lines(unpack(blobs(LINES), LINE))
         if len(firsts):
             rows += [(LINES, int(table.column("bucket")[0].as_py()), pack(firsts))]
@@ -306,7 +380,13 @@ def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100, least: int = 5,
                 x = unpack([blob], LINE)
                 yield pa.RecordBatch.from_arrays([pa.array(x["s1"]), pa.array(x["s2"]), pa.array(x["n"].astype(np.int64)), pa.array(x["doc"]), pa.array(x["tag"].view(np.int64)), pa.array(x["start"].astype(np.int64))], names=["s1", "s2", "n", "doc", "tag", "line"])
 
-    nodes = components(found.filter(F.col("kind") == EDGE).select("blob").mapInArrow(tidy_map(edges_of), "a long, b long"))
+    def enough(table: pa.Table) -> pa.Table:
+        x = shared_enough(np.concatenate([np.frombuffer(b, PAIRS) for b in table.column("blob").to_pylist()]), share)
+        return pa.table({"a": x["a"], "b": x["b"]})
+
+    edges = found.filter(F.col("kind") == EDGE).select("blob").mapInArrow(tidy_map(edges_of), "a long, b long")
+    edges = edges.union(found.filter(F.col("kind") == PAIR).groupBy("bucket").applyInArrow(tidy_group(enough), "a long, b long"))
+    nodes = components(edges)
     firsts = found.filter(F.col("kind") == LINES).select("blob").mapInArrow(tidy_map(lines_of), "s1 long, s2 long, n long, doc long, tag long, line long")
     asked = cut(firsts.join(nodes.select(F.col("node").alias("s1"), F.col("component").alias("cluster")), "s1").select("cluster", "n", "doc", "tag", "line").withColumn("node", F.monotonically_increasing_id()))
     sizes = asked.groupBy("cluster", "n").agg(F.count("*").alias("lines"))
@@ -348,7 +428,8 @@ def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100, least: int = 5,
                 docs_ = text[which]
                 yield pa.RecordBatch.from_arrays([pa.array(node[which]), pa.array(b[which]), batch.column(0).take(pa.array(docs_)), batch.column(1).take(pa.array(docs_)), pa.array(line[which]), pa.array(sets, pa.binary())], names=["node", "b", "doc", "tag", "line", "words"])
 
-    fetched = with_rows(wanted, "inner", texts).select("doc", "tag", "text", "asked").mapInArrow(tidy_map(fetch), "node long, b long, doc long, tag long, line long, words binary")
+    # row_ goes along unread: with the columns of the last join, its exchange is this one
+    fetched = with_rows(wanted, "inner", keyed).select("doc", "tag", "text_", "asked", "row_").mapInArrow(tidy_map(fetch), "node long, b long, doc long, tag long, line long, words binary")
     work = fetched.join(sides, "b")
 
     def verify(table: pa.Table) -> pa.Table:

@@ -345,11 +345,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     A byte of the UTF-8 text goes if a `length`-byte string that covers it also occurs in
     a document with a smaller doc_id, judged on the input. Null texts are empty; texts
     below `length` bytes stay; texts of any length are handled whole. A null doc_id
-    counts as larger than all others. Rows with equal doc_ids don't affect one another.
+    counts as larger than all others (2**63 - 1 can't be told from it). Rows with equal
+    doc_ids don't affect one another.
     Other columns are ignored; an empty table gives no rows.
     """
     assert length >= GRAM + 2 * BESIDE, "a window must hold the gram and what keys its part"
-    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # where ids repeat, a hash of the text tells their rows apart
     unique = docs.groupBy("doc").count().filter("count > 1").isEmpty()
     tag = F.lit(0).cast("long") if unique else F.xxhash64("text")
@@ -370,7 +371,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         return pa.Table.from_batches([rows_batch(by_document(merged(previous_factors(x, body, length)), n, 1))])
 
     judged = cut(gather(docs.select("doc", "tag", "text"), length, n).groupBy("bucket").applyInArrow(tidy_group(reduce_anchors), ROWS))
-    keyed = docs.select("doc", "tag", "text", "doc_id")
+    keyed = docs.select("doc", "tag", "text")  # the same columns for both joins: one exchange
 
     def with_blobs(right: DataFrame, how: str) -> DataFrame:
         on = keyed.doc == right.doc_r
@@ -400,7 +401,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), span)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"])
 
-    out = with_blobs(gone, "left").select("doc_id", "text", "gone")
+    out = with_blobs(gone, "left").select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "text", "gone")
     return out.mapInArrow(tidy_map(cutting), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start: long, end: long>>")
 
 

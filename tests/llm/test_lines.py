@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from glyphmill.llm import lines as lines_module
+from glyphmill.llm.graph import lowest
 from glyphmill.llm.jaccard import Share
 from glyphmill.llm.lines import PREFIX, dedup_lines, near_in_lists
 
@@ -73,22 +74,33 @@ def test_repeated_ids_lose_no_line(spark):
     assert a in every and b in every and every.count("other words") == 1 and len(out) == 3
 
 
-def test_long_lists_link_neighbours():
+@pytest.mark.parametrize("longest,blocked,paired", [(512, 1 << 26, 20), (10, 1 << 26, 20), (10, 50, 500), (512, 1 << 26, 500)])
+def test_lists_lose_no_pair(longest, blocked, paired, monkeypatch):
+    monkeypatch.setattr(lines_module, "BLOCKED", blocked)
     rng = np.random.default_rng(1)
-    x = np.zeros(400, PREFIX)
-    x["h"] = np.repeat([7, 9], 200)
-    x["node"], x["n"] = np.arange(400), rng.integers(10, 30, 400)
     share = Share(80, 100)
-    for longest in (10, 512):
-        e = near_in_lists(x, share, longest)
-        linked = {}
-        for a, b in e.tolist():
-            linked[a], linked[b] = min(a, b), min(a, b)
-        for i in range(0, 400, 13):
-            for j in range(i):
-                lo, hi = sorted((int(x["n"][i]), int(x["n"][j])))
-                if x["h"][i] == x["h"][j] and 5 * lo >= 4 * hi:
-                    assert linked[i] == linked[j]
+    sets = []
+    for i in range(260):
+        if i and rng.random() < 0.5:
+            s = sets[rng.integers(0, i)].copy()
+            s = np.delete(s, rng.integers(0, len(s)))
+        else:
+            s = rng.choice(np.arange(1, 60) if i % 2 else np.arange(1, 4000), rng.integers(6, 40) if i % 2 else rng.integers(90, 140), replace=False)
+        sets.append(np.unique(np.append(s, 0)))
+    maps = [int(np.bitwise_xor.reduce(np.uint64(1) << (s.astype(np.uint64) * np.uint64(37) & np.uint64(63)))) for s in sets]
+    x = np.zeros(len(sets), PREFIX)
+    x["h"], x["node"], x["n"], x["map"] = 5, np.arange(len(sets)), [len(s) for s in sets], maps
+    edges, pairs = near_in_lists(x, share, longest, paired)
+    p, q = lowest(np.concatenate([edges["a"], pairs["a"]]), np.concatenate([edges["b"], pairs["b"]]))
+    group = dict(zip(p.tolist(), q.tolist()))
+    found = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both) and not np.array_equal(sets[i], sets[j]):
+                found += 1
+                assert group.get(i) == group.get(j) is not None
+    assert found > 50
 
 
 def test_empty(spark):

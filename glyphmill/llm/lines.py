@@ -17,9 +17,8 @@ How it scales.
   record for each task.
 - Records go through fixed-width blobs by word. A word's list is compared in place, size
   by size, and leaves as stars, not as pairs. Long lines, whose parity maps say little,
-  leave as pairs that must then share as many prefix words as a link needs; where a list
-  holds many of them, neighbours of fitting size are linked instead. Candidates'
-  components are verified in bounded tiles.
+  leave as pairs that must then share as many prefix words as a link needs, unless a
+  list holds many of them. Candidates' components are verified in bounded tiles.
 - Texts are read twice and exchanged once; only lines in components send their sets.
 """
 
@@ -43,9 +42,9 @@ PIECE, HELD = 400_000, 800_000
 #: Longest list of a word that is compared place by place; longer ones go by size. Pairs
 #: of maps that are compared without dividing them.
 LIST, BLOCKED = 512, 1 << 26
-#: Lines of more words count as long: 64 bits say little of them. Longest list of long
-#: lines that is paired.
-LONG, PAIRED = 96, 32
+#: Lines of more words count as long: 64 bits say less of them. Most long lines of a list
+#: whose pairs are counted.
+LONG, PAIRED = 56, 64
 #: Lines of a tile's block.
 BLOCK = 2048
 
@@ -265,8 +264,20 @@ def near_in_lists(x: np.ndarray, share: Share, longest: int = LIST, paired: int
     left = np.repeat(np.where(length <= longest, starts + length, 0), length) - np.arange(len(x))  # to the list's end
     big = n > LONG
     crowd = np.add.reduceat(big.astype(np.int64), starts) if len(x) else starts
-    many = np.repeat((crowd > paired) | (length > longest), length)  # lists that hold many long lines
+    many = np.repeat(crowd > paired, length)  # lists that hold many long lines
     a, b, pa_, pb_ = [], [], [], []
+
+    def sort_out(i, j, need):
+        """Pairs near by their maps: of short lines, edges where the words before fit; of
+        long ones, pairs, or edges where the list holds many."""
+        early = (at[i] <= n[i] - need) & (at[j] <= n[j] - need)
+        one = np.where(big[i], many[i], early)
+        a.append(i[one])
+        b.append(j[one])
+        two = big[i] & ~many[i]
+        pa_.append(i[two])
+        pb_.append(j[two])
+
     i = np.flatnonzero(left > 1)
     d = 1
     while len(i):
@@ -275,13 +286,7 @@ def near_in_lists(x: np.ndarray, share: Share, longest: int = LIST, paired: int
         i, j = i[fit], j[fit]  # sizes ascend: beyond the first that doesn't fit none does
         need = share.overlap(n[i], n[j])
         near = np.bitwise_count(parity[i] ^ parity[j]) <= n[i] + n[j] - 2 * need
-        early = (at[i] <= n[i] - need) & (at[j] <= n[j] - need)
-        one = near & early & ~big[i]
-        a.append(i[one])
-        b.append(j[one])
-        two = near & big[i] & ~many[i]
-        pa_.append(i[two])
-        pb_.append(j[two])
+        sort_out(i[near], j[near], need[near])
         d += 1
         i = i[left[i] > d]
     for s, k in zip(starts[length > longest].tolist(), length[length > longest].tolist()):
@@ -289,23 +294,13 @@ def near_in_lists(x: np.ndarray, share: Share, longest: int = LIST, paired: int
         ends = np.append(first[1:], k)
         for u, (low, f, e) in enumerate(zip(sizes.tolist(), first.tolist(), ends.tolist())):
             for high, g, t in zip(sizes[u:].tolist(), first[u:].tolist(), ends[u:].tolist()):
-                if low > LONG or not share.fits(low, high):
+                if not share.fits(low, high):
                     break
                 need = int(share.overlap(low, high))
                 if need == low == high:
                     continue  # only equal sets, which are one class
                 for p, q in parity_pairs(parity[s + f : s + e], parity[s + g : s + t], low + high - 2 * need, low == high):
-                    p, q = p + s + f, q + s + g
-                    early = (at[p] <= low - need) & (at[q] <= high - need)
-                    a.append(p[early])
-                    b.append(q[early])
-    # long lines of lists that hold many: neighbours of fitting size
-    i = np.flatnonzero(big & many)
-    if len(i):
-        i, j = i[:-1], i[1:]
-        fit = (h[i] == h[j]) & share.fits(n[i], n[j])
-        a.append(i[fit])
-        b.append(j[fit])
+                    sort_out(p + s + f, q + s + g, need)
     none = np.empty(0, np.int64)
     p, q = np.concatenate([none, *a]), np.concatenate([none, *b])
     p, q = lowest(node[p], node[q])

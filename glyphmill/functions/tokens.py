@@ -15,7 +15,7 @@ _EMOJI = r"(?:\p{Extended_Pictographic}|\p{Emoji_Presentation})[️\p{Emoji_Modi
 _FLAG = r"\p{Regional_Indicator}{2}"
 SPECIAL = regex.compile(f"{_KEYCAP}|{_FLAG}|(?![0-9#*]){_EMOJI}")
 BOUNDARY = regex.compile(r"(?w)\b")
-WORDLIKE = regex.compile(r"[\p{Alphabetic}\p{N}]|__")
+WORDLIKE = regex.compile(r"[\p{Alphabetic}\p{Nd}]|__")
 KEYCAP = regex.compile(_KEYCAP)
 PRESENTED = regex.compile(r"\p{Emoji_Presentation}")
 PICTOGRAPH = regex.compile(r"\p{Extended_Pictographic}|\p{Emoji_Presentation}")

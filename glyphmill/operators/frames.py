@@ -7,6 +7,7 @@ the same scan, so columns and predicates still reach the source.
 
 from __future__ import annotations
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -178,8 +179,6 @@ def collected_options(options: CountOptions, parts: tuple[str, ...]) -> CountOpt
 def register(spark: SparkSession) -> None:
     """count_words, count_graphemes and segment_by_locale for SQL, and the table function
     locale_chunks(text) for LATERAL."""
-    import pandas as pd
-
     from glyphmill.functions.tokens import count_words
 
     @F.pandas_udf("bigint")

@@ -133,7 +133,7 @@ def read_files(spark: SparkSession, paths: list[str], keep: Filter | None = None
     both = named.join(content, "path", "left").withColumn("binary", is_binary(F.col("content")) if detect_binary else F.lit(False))
     order = F.row_number().over(Window.orderBy(*collated()))
     names = named.withColumn("file_ord", (order - 1).cast("int")).select("path", "file_ord")
-    text = F.coalesce(F.decode(F.col("content"), "UTF-8"), F.lit(""))
+    text = F.coalesce(F.make_valid_utf8(F.col("content").cast("string")), F.lit(""))
     good = both.filter(~F.col("binary")).join(names, "path").select("path", "source", "file_ord", text.alias("text"))
     bad = both.filter("binary").select("path", F.lit("binary file").alias("reason"), "source")
     return good, missed.union(bad)

@@ -42,6 +42,10 @@ def record(dim: int, wide: bool) -> np.dtype:
     return np.dtype([("row", "<i8"), ("id", "<i8"), ("known", "u1"), ("x", "<i8" if wide else "<i4", (dim,))])
 
 
+def lowest_of(kind):
+    return -np.inf if np.dtype(kind).kind == "f" else np.iinfo(kind).min
+
+
 class Scorer:
     """Best k of one shard for blocks of queries."""
 
@@ -71,25 +75,29 @@ class Scorer:
         qnorm = np.sqrt((qb.astype(np.float64) ** 2).sum(1)) * (1 + 1e-9)
         low, high = (self.x[:, rest].min(0), self.x[:, rest].max(0)) if len(self.x) else (np.zeros(len(rest)),) * 2
         extreme = np.maximum(qb * low, qb * high).sum(1).astype(np.float64) if len(rest) else np.zeros(len(q))
-        floor = np.full(len(q), -np.inf) if not exact else np.full(len(q), np.iinfo(np.int64).min)
+        floor = np.full(len(q), lowest_of(kind), kind)
         kept = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, kind))]
         for at in range(0, len(self.x), CHUNK):
             part = self.x[at : at + CHUNK]
             ca, cb = part[:, lead].astype(kind), part[:, rest].astype(kind)
             s = qa @ ca.T
             own = queries["row"][:, None] == self.shard["row"][at : at + CHUNK][None, :]
+            i = None
             if len(rest):
-                bound = np.minimum(qnorm[:, None] * np.sqrt((cb.astype(np.float64) ** 2).sum(1))[None, :] + 1e-6, extreme[:, None])
-                i, j = np.nonzero((s + bound >= floor[:, None]) & ~own)
-                if len(i) > s.size // 8:
-                    s = s + qb @ cb.T
-                    i, j = np.nonzero((s >= floor[:, None]) & ~own)
-                    v = s[i, j]
+                if at:
+                    bound = np.minimum(qnorm[:, None] * np.sqrt((cb.astype(np.float64) ** 2).sum(1))[None, :] + 1e-6, extreme[:, None])
+                    i, j = np.nonzero((s + bound >= floor[:, None]) & ~own)
+                if i is None or len(i) > s.size // 8:
+                    s, i = s + qb @ cb.T, None
                 else:
                     v = s[i, j] + np.einsum("ij,ij->i", qb[i], cb[j])
                     fine = v >= floor[i]
                     i, j, v = i[fine], j[fine], v[fine]
-            else:
+            if i is None:
+                # the chunk's own k-th score is a floor too: few pass it
+                s[own] = lowest_of(kind)
+                if s.shape[1] > self.k:
+                    floor = np.maximum(floor, np.partition(s, s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k])
                 i, j = np.nonzero((s >= floor[:, None]) & ~own)
                 v = s[i, j]
             i, j, v = (np.concatenate([a, b]) for a, b in zip(kept[0], (i, j + at, v)))

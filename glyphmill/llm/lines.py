@@ -42,18 +42,20 @@ PIECE, HELD = 400_000, 800_000
 #: Longest list of a word that is compared place by place; longer ones go by size. Pairs
 #: of maps that are compared without dividing them.
 LIST, BLOCKED = 512, 1 << 26
-#: Lines of more words count as long: 64 bits say less of them. Most long lines of a list
-#: whose pairs are counted.
-LONG, PAIRED = 56, 64
+#: Lines of more words have the wider map; those of still more count as long, as it says
+#: less of them. Most long lines of a list whose pairs are counted.
+WIDE, LONG, PAIRED = 48, 160, 64
 #: Lines of a tile's block.
 BLOCK = 2048
 
 PREFIX = np.dtype([("h", "<u4"), ("node", "<i8"), ("n", "<u4"), ("at", "u1"), ("map", "<u8")])
+#: Lines over WIDE words have 128 bits: `half` maps about half of the words, map ^ half the rest.
+WIDE_PREFIX = np.dtype([*PREFIX.descr, ("half", "<u8")])
 LINE = np.dtype([("doc", "<i8"), ("tag", "<u8"), ("start", "<u4"), ("s1", "<i8"), ("s2", "<i8"), ("n", "<u4")])
 GONE = np.dtype([("doc", "<i8"), ("tag", "<u8"), ("start", "<u4")])  # start: the line's number
 EDGES = np.dtype([("a", "<i8"), ("b", "<i8")])
 ROWS = "kind long, bucket long, blob binary"
-LINES, WORDS, REMOVED, EDGE, PAIR = 0, 1, 2, 3, 4
+LINES, WORDS, REMOVED, EDGE, PAIR, WIDE_WORDS = range(6)
 
 
 def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -92,14 +94,16 @@ def line_sets(data: np.ndarray, offsets: np.ndarray, rarity: np.ndarray):
 
 
 def class_names(h: np.ndarray, first: np.ndarray):
-    """(s1, s2, parity map) of the sets that begin at `first`."""
+    """(s1, s2, parity map, its half) of the sets that begin at `first`."""
     if not len(first):
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
     one = mix(h ^ np.uint64(0x8CB92BA72F3D8DD7))
     s1 = np.add.reduceat(one, first)
     s2 = np.bitwise_xor.reduceat(mix(h + np.uint64(0x5DEECE66D)), first)
-    parity = np.bitwise_xor.reduceat(np.uint64(1) << (one & np.uint64(63)), first)
-    return s1.view(np.int64), s2.view(np.int64), parity
+    bit = np.uint64(1) << (one & np.uint64(63))
+    parity = np.bitwise_xor.reduceat(bit, first)
+    half = np.bitwise_xor.reduceat(bit * ((one >> np.uint64(6)) & np.uint64(1)), first)
+    return s1.view(np.int64), s2.view(np.int64), parity, half
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray):
@@ -171,12 +175,18 @@ def gather(docs: DataFrame, rarity, share: Share, least: int, n: int) -> DataFra
             rows = by_bucket(gone, doc_bucket(gone, n), REMOVED)
             x = x[~later]
             rows += by_bucket(x, (x["s1"].view(np.uint64) % np.uint64(n)).astype(np.int64), LINES)
-            p, owner = (np.concatenate([e, *(c[i] for c in prefix)]) for i, e in enumerate((np.empty(0, PREFIX), np.empty(0, np.int64))))
+            p, owner = (np.concatenate([e, *(c[i] for c in prefix)]) for i, e in enumerate((np.empty(0, WIDE_PREFIX), np.empty(0, np.int64))))
             # a class of several lines needs one line's records
             order = np.lexsort((p["h"], p["node"]))
             p, owner = p[order], owner[order]
             keep = np.concatenate(([True], (p["h"][1:] != p["h"][:-1]) | (p["node"][1:] != p["node"][:-1]))) if len(p) else np.empty(0, bool)
-            rows += [(WORDS, b, d) for b, d in split_blobs(p[keep], owner[keep])]
+            p, owner = p[keep], owner[keep]
+            wide = p["n"] > WIDE
+            rows += [(WIDE_WORDS, b, d) for b, d in split_blobs(p[wide], owner[wide])]
+            slim = np.empty(int((~wide).sum()), PREFIX)
+            for name in PREFIX.names:
+                slim[name] = p[name][~wide]
+            rows += [(WORDS, b, d) for b, d in split_blobs(slim, owner[~wide])]
             return batch_of(rows)
 
         for batch in batches:
@@ -186,7 +196,7 @@ def gather(docs: DataFrame, rarity, share: Share, least: int, n: int) -> DataFra
             for a, b in pieces(data, edges):
                 line, h, first = line_sets(data, edges[a : b + 1], table)
                 length = np.diff(np.append(first, len(h)))
-                s1, s2, parity = class_names(h, first)
+                s1, s2, parity, half = class_names(h, first)
                 own = line[first] + a
                 fine = length >= least
                 x = np.empty(int(fine.sum()), LINE)
@@ -196,8 +206,9 @@ def gather(docs: DataFrame, rarity, share: Share, least: int, n: int) -> DataFra
                 at = np.arange(len(h)) - np.repeat(first, length)
                 used = (at < np.repeat(share.prefix(length), length)) & np.repeat(fine, length)
                 which = np.repeat(np.arange(len(first)), length)[used]
-                p = np.empty(len(which), PREFIX)
+                p = np.empty(len(which), WIDE_PREFIX)
                 p["h"], p["node"], p["n"], p["map"] = h[used] >> np.uint64(32), s1[which], length[which], parity[which]
+                p["half"] = half[which]
                 p["at"] = np.minimum(at[used], 255)
                 prefix.append((p, (h[used] % np.uint64(n)).astype(np.int64)))
                 size += len(p)
@@ -223,32 +234,35 @@ def by_bucket(x: np.ndarray, bucket: np.ndarray, kind: int) -> list[tuple]:
     return [(kind, int(bucket[a]), pack(x[a:b])) for a, b in zip(edges[:-1], edges[1:])]
 
 
-def parity_pairs(a: np.ndarray, b: np.ndarray, most: int, same: bool, left: int = 64):
-    """Yields (rows of a, rows of b) whose maps differ in at most `most` bits. Blocks up to
+def apart(parity: np.ndarray, half: np.ndarray, wide, i, j) -> np.ndarray:
+    """Bits in which the maps of rows i and j differ: a lower bound of the words that one of
+    two lines has alone. Of lines that are both wide, 128 bits are compared."""
+    whole, part = parity[i] ^ parity[j], half[i] ^ half[j]
+    return np.where(wide, np.bitwise_count(part).astype(np.int64) + np.bitwise_count(whole ^ part), np.bitwise_count(whole))
+
+
+def parity_pairs(parity, half, a: np.ndarray, b: np.ndarray, most: int, wide: bool, same: bool):
+    """Yields (i, j) of rows a and b whose maps differ in at most `most` bits. Blocks up to
     BLOCKED pairs are compared whole; beyond, maps within `most` bits of each other agree
     in one of most + 1 parts, so each part's equal values are compared apart."""
-    if len(a) * len(b) <= BLOCKED or most + 1 > 16:
-        step = max(1, (1 << 22) // max(1, len(b)))
+    def compare(a, b):
+        step = max(1, (1 << 21) // max(1, len(b)))
         for s in range(0, len(a), step):
-            i, j = np.nonzero(np.bitwise_count(a[s : s + step, None] ^ b[None, :]) <= most)
-            i += s
-            if same:
-                i, j = i[i < j], j[i < j]
-            yield i, j
+            p, q = np.nonzero(apart(parity, half, wide, a[s : s + step, None], b[None, :]) <= most)
+            p, q = a[s + p], b[q]
+            yield (p[p < q], q[p < q]) if same else (p, q)
+
+    if len(a) * len(b) <= BLOCKED or most + 1 > 16:
+        yield from compare(a, b)
         return
     width = -(-64 // (most + 1))
     for shift in range(0, 64, width):
         mask = np.uint64((1 << width) - 1)
-        ka, kb = (a >> np.uint64(shift)) & mask, (b >> np.uint64(shift)) & mask
+        ka, kb = (parity[a] >> np.uint64(shift)) & mask, (parity[b] >> np.uint64(shift)) & mask
         oa, ob = np.argsort(ka, kind="stable"), np.argsort(kb, kind="stable")
+        ka, kb = ka[oa], kb[ob]
         for value in np.intersect1d(ka, kb):
-            i = oa[np.searchsorted(ka[oa], value) : np.searchsorted(ka[oa], value, side="right")]
-            j = ob[np.searchsorted(kb[ob], value) : np.searchsorted(kb[ob], value, side="right")]
-            step = max(1, (1 << 22) // len(j))
-            for s in range(0, len(i), step):
-                p, q = np.nonzero(np.bitwise_count(a[i[s : s + step], None] ^ b[j][None, :]) <= most)
-                p, q = i[s + p], j[q]
-                yield (p[p < q], q[p < q]) if same else (p, q)
+            yield from compare(a[oa[np.searchsorted(ka, value) : np.searchsorted(ka, value, side="right")]], b[ob[np.searchsorted(kb, value) : np.searchsorted(kb, value, side="right")]])
 
 
 def near_in_lists(x: np.ndarray, share: Share, longest: int = LIST, paired: int = PAIRED) -> tuple[np.ndarray, np.ndarray]:
@@ -258,7 +272,7 @@ def near_in_lists(x: np.ndarray, share: Share, longest: int = LIST, paired: int
     x = x[np.lexsort((x["node"], x["n"], x["h"]))]
     if len(x):
         x = x[np.concatenate(([True], (x["h"][1:] != x["h"][:-1]) | (x["node"][1:] != x["node"][:-1])))]
-    h, n, at, parity, node = x["h"], x["n"].astype(np.int64), x["at"].astype(np.int64), x["map"], x["node"]
+    h, n, at, parity, half, node = x["h"], x["n"].astype(np.int64), x["at"].astype(np.int64), x["map"], x["half"], x["node"]
     starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(x) else np.empty(0, np.int64)
     length = np.diff(np.append(starts, len(x)))
     left = np.repeat(np.where(length <= longest, starts + length, 0), length) - np.arange(len(x))  # to the list's end
@@ -285,7 +299,7 @@ def near_in_lists(x: np.ndarray, share: Share, longest: int = LIST, paired: int
         fit = share.fits(n[i], n[j])
         i, j = i[fit], j[fit]  # sizes ascend: beyond the first that doesn't fit none does
         need = share.overlap(n[i], n[j])
-        near = np.bitwise_count(parity[i] ^ parity[j]) <= n[i] + n[j] - 2 * need
+        near = apart(parity, half, n[i] > WIDE, i, j) <= n[i] + n[j] - 2 * need
         sort_out(i[near], j[near], need[near])
         d += 1
         i = i[left[i] > d]
@@ -299,8 +313,8 @@ def near_in_lists(x: np.ndarray, share: Share, longest: int = LIST, paired: int
                 need = int(share.overlap(low, high))
                 if need == low == high:
                     continue  # only equal sets, which are one class
-                for p, q in parity_pairs(parity[s + f : s + e], parity[s + g : s + t], low + high - 2 * need, low == high):
-                    sort_out(p + s + f, q + s + g, need)
+                for p, q in parity_pairs(parity, half, np.arange(s + f, s + e), np.arange(s + g, s + t), low + high - 2 * need, low > WIDE, low == high):
+                    sort_out(p, q, need)
     none = np.empty(0, np.int64)
     p, q = np.concatenate([none, *a]), np.concatenate([none, *b])
     p, q = lowest(node[p], node[q])
@@ -351,8 +365,12 @@ def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100, least: int = 5,
     def reduce_bucket(table: pa.Table) -> pa.Table:
         kinds = table.column("kind").to_numpy()
         blobs = lambda k: table.filter(pa.array(kinds == k)).column("blob").to_pylist()
-        x = [np.empty(0, PREFIX), *(np.frombuffer(b, PREFIX) for b in blobs(WORDS))]
-        edges, pairs = near_in_lists(np.concatenate(x), share)
+        slim = np.concatenate([np.empty(0, PREFIX), *(np.frombuffer(b, PREFIX) for b in blobs(WORDS))])
+        x = np.zeros(len(slim), WIDE_PREFIX)
+        for name in PREFIX.names:
+            x[name] = slim[name]
+        x = np.concatenate([x, *(np.frombuffer(b, WIDE_PREFIX) for b in blobs(WIDE_WORDS))])
+        edges, pairs = near_in_lists(x, share)
         rows = [(EDGE, b, d) for b, d in split_blobs(edges, edges["a"] % n)]
         rows += [(PAIR, b, d) for b, d in split_blobs(pairs, ((pairs["a"] ^ (pairs["b"] << 1)) % n))]
         firsts, gone = first_lines(unpack(blobs(LINES), LINE))

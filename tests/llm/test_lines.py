@@ -7,7 +7,7 @@ import pytest
 from glyphmill.llm import lines as lines_module
 from glyphmill.llm.graph import lowest
 from glyphmill.llm.jaccard import Share
-from glyphmill.llm.lines import PREFIX, dedup_lines, near_in_lists
+from glyphmill.llm.lines import WIDE_PREFIX, dedup_lines, near_in_lists
 
 SCHEMA = "doc_id long, text string, doc int"
 
@@ -85,11 +85,13 @@ def test_lists_lose_no_pair(longest, blocked, paired, monkeypatch):
             s = sets[rng.integers(0, i)].copy()
             s = np.delete(s, rng.integers(0, len(s)))
         else:
-            s = rng.choice(np.arange(1, 60) if i % 2 else np.arange(1, 4000), rng.integers(6, 40) if i % 2 else rng.integers(90, 140), replace=False)
+            s = rng.choice(np.arange(1, 60) if i % 2 else np.arange(1, 4000), rng.integers(6, 40) if i % 2 else rng.integers(90, 230), replace=False)
         sets.append(np.unique(np.append(s, 0)))
     maps = [int(np.bitwise_xor.reduce(np.uint64(1) << (s.astype(np.uint64) * np.uint64(37) & np.uint64(63)))) for s in sets]
-    x = np.zeros(len(sets), PREFIX)
+    upper = [int(np.bitwise_xor.reduce(np.uint64(1) << (s[s % 3 == 0].astype(np.uint64) * np.uint64(37) & np.uint64(63)), initial=np.uint64(0))) for s in sets]
+    x = np.zeros(len(sets), WIDE_PREFIX)
     x["h"], x["node"], x["n"], x["map"] = 5, np.arange(len(sets)), [len(s) for s in sets], maps
+    x["half"] = np.where(x["n"] > lines_module.WIDE, np.array(upper, np.uint64), 0)
     edges, pairs = near_in_lists(x, share, longest, paired)
     p, q = lowest(np.concatenate([edges["a"], pairs["a"]]), np.concatenate([edges["b"], pairs["b"]]))
     group = dict(zip(p.tolist(), q.tolist()))

@@ -21,9 +21,11 @@ BREAK = regex.compile(f"[{SPACE}{STOPS}]")
 #: Scripts that fix a locale, in the order of their tests.
 SCRIPTS = (("ja", "hiragana-katakana", r"\p{Script=Hiragana}\p{Script=Katakana}"), ("ko", "hangul", r"\p{Script=Hangul}"), ("ar", "arabic", r"\p{Script=Arabic}"), ("ru", "cyrillic", r"\p{Script=Cyrillic}"), ("hi", "devanagari", r"\p{Script=Devanagari}"), ("th", "thai", r"\p{Script=Thai}"))
 _ALL = "".join(s for *_, s in SCRIPTS)
+NOT_LATIN = _ALL + r"\p{Script=Han}"
+LATIN = regex.compile(r"\p{Script=Latin}")
 RUNS = regex.compile(
     "|".join(f"(?P<s{i}>[{s}]+)" for i, (*_, s) in enumerate(SCRIPTS))
-    + r"|(?P<han>\p{Script=Han}+)|(?P<latin>\p{Script=Latin}+)"
+    + r"|(?P<han>\p{Script=Han}+)|(?P<latin>\p{Script=Latin}" + f"[^{NOT_LATIN}\r\n{STOPS}]*)"
     + f"|(?P<hard>[\r\n{STOPS}]+)|(?P<other>[^{_ALL}\\p{{Script=Han}}\\p{{Script=Latin}}\r\n{STOPS}]+)",
     regex.DOTALL,
 )
@@ -43,21 +45,38 @@ def context_of(options: CountOptions) -> Context:
     return resolve_context(options)
 
 
-def latin_runs(text: str, context: Context):
-    """(rule's tag or None, part) of a run of Latin letters."""
-    if text.isascii() and all(p.search(text) is None for _, p in context.rules):
-        yield None, text
-        return
-    tag = part = None
-    for char in text:
-        now = context.rule_tag(char)
-        if part is not None and now == tag:
-            part += char
-        else:
-            if part is not None:
-                yield tag, part
-            tag, part = now, char
-    yield tag, part
+def hinted(text: str, context: Context) -> list[tuple[int, int, str]]:
+    """(start, end, tag) of the stretches of Latin letters that hint rules give a tag."""
+    memo = _memo(context)
+    tags = {c: t for c in set(text) if (t := memo[c])}
+    if not tags:
+        return []
+    out: list[tuple[int, int, str]] = []
+    for i, c in enumerate(text):
+        tag = tags.get(c)
+        if tag and out and out[-1][1] == i and out[-1][2] == tag:
+            out[-1] = (out[-1][0], i + 1, tag)
+        elif tag:
+            out.append((i, i + 1, tag))
+    return out
+
+
+class _Tags(dict):
+    """A character's tag by the rules; None if it is no Latin letter or no rule has it."""
+
+    def __init__(self, context: Context):
+        super().__init__()
+        self.context = context
+
+    def __missing__(self, char: str) -> str | None:
+        tag = self.context.rule_tag(char) if LATIN.match(char) else None
+        self[char] = found = tag if tag != DEFAULT_LATIN else None
+        return found
+
+
+@functools.lru_cache(maxsize=64)
+def _memo(context: Context) -> _Tags:
+    return _Tags(context)
 
 
 def scan(text: str, context: Context) -> list[Chunk]:
@@ -87,6 +106,23 @@ def scan(text: str, context: Context) -> list[Chunk]:
             locale, buffer, trace = found, run, how
         scripted = True
 
+    def plain(part: str) -> None:
+        """Latin letters without hints, and characters without a vote among them."""
+        nonlocal bounded
+        if not LATIN.match(part):
+            # after a hinted letter: what isn't a letter joins it, as do the letters then
+            vote(part, None, (None, None))
+        elif not bounded and locale in context.latin_locales and locale != DEFAULT_LATIN:
+            vote(part, locale, ("hint", "latin-locale-carry"))
+        elif context.latin_hint:
+            vote(part[0], context.latin_hint, ("hint", "explicit-latin-hint"))
+            if len(part) > 1:
+                vote(part[1:], None, (None, None))
+            bounded = False
+        else:
+            vote(part, DEFAULT_LATIN, ("fallback", "latin-fallback"))
+            bounded = False
+
     for m in RUNS.finditer(text):
         kind, run = m.lastgroup, m.group()
         if kind == "hard":
@@ -95,20 +131,15 @@ def scan(text: str, context: Context) -> list[Chunk]:
         elif kind == "other":
             vote(run, None, (None, None))
         elif kind == "latin":
-            for tag, part in latin_runs(run, context):
-                # a locale is carried until a boundary; within the run there is none
-                if tag and tag != DEFAULT_LATIN:
-                    vote(part, tag, ("hint", "latin-hint-rule"))
-                elif not bounded and locale in context.latin_locales and locale != DEFAULT_LATIN:
-                    vote(part, locale, ("hint", "latin-locale-carry"))
-                elif context.latin_hint:
-                    first, rest = part[0], part[1:]
-                    vote(first, context.latin_hint, ("hint", "explicit-latin-hint"))
-                    if rest:
-                        vote(rest, locale, ("hint", "latin-locale-carry"))
-                else:
-                    vote(part, DEFAULT_LATIN, ("fallback", "latin-fallback"))
-                bounded = False
+            # a Latin letter and what follows it, up to a boundary or another script
+            at = 0
+            for start, end, tag in [*hinted(run, context), (len(run), len(run), "")]:
+                if start > at:
+                    plain(run[at:start])
+                if tag:
+                    vote(run[start:end], tag, ("hint", "latin-hint-rule"))
+                    bounded = False
+                at = end
         elif kind == "han":
             if not bounded and locale.startswith("ja"):
                 vote(run, locale, ("script", "japanese-han-carry"))

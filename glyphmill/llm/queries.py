@@ -56,6 +56,18 @@ QUERIES = {f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_topk_maxs
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
     "op6_quotation_linking": f"SELECT * REPLACE (coalesce(parent_turn, -1) AS parent_turn) FROM ({chat.ORACLE})",
+    "op2_suffix_dedup": """
+WITH b AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS d, hex(encode(coalesce(text, ''))) AS h FROM documents
+), ps AS (SELECT r, d, h, unnest(range(1, len(h) // 2 + 1)) AS i FROM b),
+w AS (SELECT r, d, i, CASE WHEN len(h) // 2 - i >= 49 THEN substring(h, 2 * i - 1, 100) END AS s, substring(h, 2 * i - 1, 2) AS byte FROM ps),
+f AS (SELECT s, min(d) AS low FROM w WHERE s IS NOT NULL GROUP BY s HAVING count(DISTINCT d) > 1),
+g AS (SELECT w.r, w.i, w.byte, CASE WHEN f.low < w.d THEN 1 ELSE 0 END AS hit FROM w LEFT JOIN f ON f.s = w.s),
+c AS (SELECT r, i, byte, max(hit) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM g),
+e AS (SELECT *, CASE WHEN gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), 0) = 0 THEN 1 ELSE 0 END AS start FROM c),
+t AS (SELECT r, sum(gone) AS n_removed, sum(start) AS n_spans, string_agg(byte, '' ORDER BY i) FILTER (WHERE gone = 0) AS kept FROM e GROUP BY r)
+SELECT b.doc_id, CAST(len(b.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(t.n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(t.n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(t.kept, ''))) AS kept_sha256 FROM b LEFT JOIN t ON t.r = b.r""",
     "op3_topk_maxscore": """
 WITH v AS (
   SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
@@ -84,4 +96,19 @@ WITH RECURSIVE v AS (
 ), n AS (SELECT a AS r, count(*) AS n FROM link GROUP BY a)
 SELECT v.vec_id, coalesce(n.n, 0) AS n_links, low.component_id, v.vec_id IS NOT DISTINCT FROM low.component_id AS kept
 FROM v JOIN low ON low.r = v.r LEFT JOIN n ON n.r = v.r""",
+    "op9_ngram_jaccard": r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT r, doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS sh FROM w
+), x AS (SELECT r, unnest(sh) AS t FROM s),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM x a JOIN x b ON a.t = b.t AND a.r < b.r GROUP BY a.r, b.r),
+l0 AS (SELECT p.a, p.b FROM p JOIN s sa ON sa.r = p.a JOIN s sb ON sb.r = p.b WHERE 100 * p.c >= 80 * (len(sa.sh) + len(sb.sh) - p.c)),
+l AS (SELECT a, b FROM l0 UNION ALL SELECT b, a FROM l0),
+reach AS (SELECT r AS a, r AS b FROM s UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+low AS (SELECT reach.a AS r, min(s.doc_id) AS component_id FROM reach JOIN s ON s.r = reach.b GROUP BY reach.a),
+n AS (SELECT a AS r, count(*) AS n FROM l GROUP BY a)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, coalesce(n.n, 0) AS n_similar, low.component_id
+FROM s JOIN low ON low.r = s.r LEFT JOIN n ON n.r = s.r""",
 }

@@ -347,21 +347,23 @@ def tile_pairs(one, two, sets, share: Share):
 def wanted_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(s1, s2, n, shingles) of the documents in wanted.low_doc, and of some others."""
     n = max(1, wanted.count())
-    size = min(FILTER_BITS, 1 << (16 * n).bit_length())
-    bits = np.zeros(size, bool)
+    size = min(FILTER_BITS, 1 << max(10, (16 * n).bit_length()))
+    bits = np.zeros(size // 8, np.uint8)
 
     def places(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(number(b.column(0), size)))], names=["place"])
 
     for b in wanted.select("low_doc").mapInArrow(tidy_map(places), "place long").distinct().toArrow().to_batches():
-        bits[b.column(0).to_numpy()] = True
-    held = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+        place = b.column(0).to_numpy()
+        np.bitwise_or.at(bits, place >> 3, (1 << (place & 7)).astype(np.uint8))
+    held = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
-        known = np.unpackbits(held.value)[:size].view(bool)
+        known = held.value
         for batch in batches:
-            batch = batch.filter(pa.array(known[number(batch.column(0), size)]))
+            place = number(batch.column(0), size)
+            batch = batch.filter(pa.array((known[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)))
             if not batch.num_rows:
                 continue
             rows = [(*key_of(x), len(x), x.tobytes()) for x in shingle_sets(*text_buffers(batch.column(1)), width) if len(x)]

@@ -18,6 +18,7 @@ SPACE = "\t\n\x0b\x0c\r \xa0  -     　﻿"
 STOPS = ",.!?;:，、。！？；：．｡､"
 HARD = frozenset("\r\n" + STOPS)
 BREAK = regex.compile(f"[{SPACE}{STOPS}]")
+LAST_BREAK = regex.compile(f"(?r)[{SPACE}{STOPS}]")
 #: Scripts that fix a locale, in the order of their tests.
 SCRIPTS = (("ja", "hiragana-katakana", r"\p{Script=Hiragana}\p{Script=Katakana}"), ("ko", "hangul", r"\p{Script=Hangul}"), ("ar", "arabic", r"\p{Script=Arabic}"), ("ru", "cyrillic", r"\p{Script=Cyrillic}"), ("hi", "devanagari", r"\p{Script=Devanagari}"), ("th", "thai", r"\p{Script=Thai}"))
 _ALL = "".join(s for *_, s in SCRIPTS)
@@ -80,81 +81,70 @@ def _memo(context: Context) -> _Tags:
 
 
 def scan(text: str, context: Context) -> list[Chunk]:
-    """Chunks before adjacent ones of a locale are united."""
+    """Chunks before adjacent ones of a locale are united. The current chunk is the text
+    from `begin` on, so nothing is copied until it ends."""
     out: list[Chunk] = []
-    locale, buffer, scripted, bounded = DEFAULT_LATIN, "", False, False
+    locale, begin, scripted, bounded = DEFAULT_LATIN, 0, False, False
     trace: tuple[str | None, str | None] = (None, None)
 
-    def vote(run: str, found: str | None, how: tuple[str | None, str | None]) -> None:
-        """Adds a run whose characters all vote for `found` (None: no vote)."""
-        nonlocal locale, buffer, scripted, trace
-        if found is None:
-            buffer += run
-            return
-        if not buffer or not scripted:
-            locale, buffer, trace = found, buffer + run, how
-        elif found == locale:
-            buffer += run
-        elif locale == DEFAULT_LATIN and found in context.latin_locales:
-            # the word that the character is part of takes its locale
-            at = max((m.start() for m in BREAK.finditer(buffer)), default=-1)
-            if at >= 0:
-                out.append(Chunk(locale, buffer[: at + 1], *trace))
-            locale, buffer, trace = found, buffer[at + 1 :] + run, how
-        else:
-            out.append(Chunk(locale, buffer, *trace))
-            locale, buffer, trace = found, run, how
+    def vote(at: int, found: str, how: tuple[str | None, str | None]) -> None:
+        """Characters from `at` on vote for `found`."""
+        nonlocal locale, begin, scripted, trace
+        if begin == at or not scripted:
+            locale, trace = found, how
+        elif found != locale:
+            cut = at
+            if locale == DEFAULT_LATIN and found in context.latin_locales:
+                # the word that the character is part of takes its locale
+                last = LAST_BREAK.search(text, begin, at)
+                cut = last.end() if last else begin
+            if cut > begin:
+                out.append(Chunk(locale, text[begin:cut], *trace))
+            locale, begin, trace = found, cut, how
         scripted = True
 
-    def plain(part: str) -> None:
-        """Latin letters without hints, and characters without a vote among them."""
+    def plain(at: int) -> None:
+        """A Latin letter without a hint, and what follows without one."""
         nonlocal bounded
-        if not LATIN.match(part):
-            # after a hinted letter: what isn't a letter joins it, as do the letters then
-            vote(part, None, (None, None))
-        elif not bounded and locale in context.latin_locales and locale != DEFAULT_LATIN:
-            vote(part, locale, ("hint", "latin-locale-carry"))
+        if not bounded and locale in context.latin_locales and locale != DEFAULT_LATIN:
+            vote(at, locale, ("hint", "latin-locale-carry"))
         elif context.latin_hint:
-            vote(part[0], context.latin_hint, ("hint", "explicit-latin-hint"))
-            if len(part) > 1:
-                vote(part[1:], None, (None, None))
-            bounded = False
+            vote(at, context.latin_hint, ("hint", "explicit-latin-hint"))
         else:
-            vote(part, DEFAULT_LATIN, ("fallback", "latin-fallback"))
-            bounded = False
+            vote(at, DEFAULT_LATIN, ("fallback", "latin-fallback"))
+        bounded = False
 
     for m in RUNS.finditer(text):
-        kind, run = m.lastgroup, m.group()
+        kind, start = m.lastgroup, m.start()
+        if kind == "other":
+            continue
         if kind == "hard":
-            vote(run, None, (None, None))
             bounded = True
-        elif kind == "other":
-            vote(run, None, (None, None))
         elif kind == "latin":
             # a Latin letter and what follows it, up to a boundary or another script
             at = 0
-            for start, end, tag in [*hinted(run, context), (len(run), len(run), "")]:
-                if start > at:
-                    plain(run[at:start])
+            for first, last, tag in [*hinted(m.group(), context), (m.end() - start, 0, "")]:
+                if first > at == 0:
+                    plain(start)  # later ones follow a hinted letter, whose locale they take
                 if tag:
-                    vote(run[start:end], tag, ("hint", "latin-hint-rule"))
+                    vote(start + first, tag, ("hint", "latin-hint-rule"))
                     bounded = False
-                at = end
+                at = last
         elif kind == "han":
             if not bounded and locale.startswith("ja"):
-                vote(run, locale, ("script", "japanese-han-carry"))
+                vote(start, locale, ("script", "japanese-han-carry"))
             elif context.han_hint:
-                vote(run, context.han_hint, ("hint", "explicit-han-hint"))
+                vote(start, context.han_hint, ("hint", "explicit-han-hint"))
             else:
                 after = bounded and locale.startswith("ja")
-                vote(run, DEFAULT_HAN, ("fallback", "han-fallback-after-boundary" if after else "han-fallback"))
+                vote(start, DEFAULT_HAN, ("fallback", "han-fallback-after-boundary" if after else "han-fallback"))
             bounded = False
         else:
             tag, reason, _ = SCRIPTS[int(kind[1:])]
-            vote(run, tag, ("script", reason))
+            vote(start, tag, ("script", reason))
             bounded = False
-    if buffer:
-        out.append(Chunk(locale, buffer, *trace))
+    if text:
+        out.append(Chunk(locale, text[begin:], *trace))
     return out
 
 

@@ -59,7 +59,7 @@ def test_fallbacks(guess, reason):
     d = decide([Chunk(LATN, "Readers understand this behavior, and more.")], engine=lambda t: guess)[0]
     assert (d.accepted, d.reason, d.final_tag) == (False, reason, LATN)
     assert decide([Chunk(LATN, "too short")], engine=lambda t: guess)[0].reason == "notEligible"
-    gated = decide([Chunk(LATN, "`bun install now please`\n`bun test here`")], engine=lambda t: Guess("eng", "Latin", 0.99, True))[0]
+    gated = decide([Chunk(LATN, "`make every target now`\n`make all of it here`")], engine=lambda t: Guess("eng", "Latin", 0.99, True))[0]
     assert gated.reason == "qualityGate"
 
 

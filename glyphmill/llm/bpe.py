@@ -22,12 +22,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import tidy_map
+from glyphmill.llm.common import slices, tidy_map
 
 #: The split pattern of byte-level pre-tokenization.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Remembered pieces a worker; when full, the memory starts anew.
-REMEMBERED = 700_000
+REMEMBERED = 500_000
 #: Longer pieces aren't remembered.
 LONG_PIECE = 64
 
@@ -193,7 +193,7 @@ def roundtrip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         own = codec(path)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             ids = [own.encode(t) if t else "" for t in texts]
             counts = [x.count(",") + 1 if x else 0 for x in ids]

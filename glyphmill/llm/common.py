@@ -140,3 +140,10 @@ def tidy_group(run):
             release()
 
     return wrapped
+
+
+def slices(batches, rows: int = 1000):
+    """Batches of at most `rows` rows: what is made of a batch is held all at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

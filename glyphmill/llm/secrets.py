@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import text_buffers, tidy_map
+from glyphmill.llm.common import slices, text_buffers, tidy_map
 
 try:
     from re import _constants as sre
@@ -243,7 +243,7 @@ def find_secrets(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col:
 
     def run(batches):
         scanner = Scanner(rules)
-        for batch in batches:
+        for batch in slices(batches):
             spans = [[{"kind": k, "start": a, "end": b} for a, b, k in x] for x in scanner.scan(batch.column(1))]
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], names=["doc_id", "spans"])

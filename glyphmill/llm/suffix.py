@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm.anchors import anchors
-from glyphmill.llm.common import buckets, cut, mix, read_blobs, text_buffers, tidy_group, tidy_map
+from glyphmill.llm.common import buckets, cut, mix, read_blobs, slices, text_buffers, tidy_group, tidy_map
 
 #: Length of a repeat, of an anchor's gram, and of what keys a part beside the gram.
 LENGTH, GRAM, BESIDE = 50, 16, 17
@@ -383,7 +383,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     gone = per_document(judged.filter("kind = 1").union(late), RANGE, True, "gone")
 
     def cutting(batches):
-        for batch in batches:
+        for batch in slices(batches):
             data, offsets = text_buffers(batch.column(1))
             rows = []
             for i, blob in enumerate(batch.column(2).to_pylist()):

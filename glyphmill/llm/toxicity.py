@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import cut, tidy_map
+from glyphmill.llm.common import cut, slices, tidy_map
 
 #: Labelled documents that the model is fitted on, at most; features it keeps, at most.
 ROWS, FEATURES = 24_000, 200_000
@@ -41,7 +41,7 @@ STEMS, PRIOR, DOUBT = (4, 5, 6, 7, 8), 2.0, 1.64
 LEAST = 1.0
 #: A passage is significant if clean texts of its length hold such a one this rarely.
 SIGNIFICANT = 0.05
-REMEMBERED = 700_000
+REMEMBERED = 500_000
 WORD = re.compile(r"\w+")
 
 
@@ -151,7 +151,7 @@ def count_features(batches):
         counts[1].clear()
         return out
 
-    for batch in batches:
+    for batch in slices(batches):
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             own: set[str] = set()
             for word in set(WORD.findall(text or "")):
@@ -241,7 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
 
     def look(batches):
         memory = Memory(model)
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found, n = find(text, memory)
@@ -296,7 +296,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         own = held.value
         memory = Memory(own)
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("expected", pa.float64())]))
-        for batch in batches:
+        for batch in slices(batches):
             scores, passages = [], []
             for text in batch.column(1).to_pylist():
                 found, n = find(text or "", memory)
@@ -323,7 +323,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3, text_col:
     def run(batches):
         own = held.value
         memory = Memory(own)
-        for batch in batches:
+        for batch in slices(batches):
             scores = [own.score(*find(t or "", memory)) for t in batch.column(place).to_pylist()]
             yield batch.filter(pa.array([s < threshold for s in scores], pa.bool_()))
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import blob_batch, buckets, cut, mix, read_blobs, split_blobs, text_buffers, tidy_group, tidy_map
+from glyphmill.llm.common import blob_batch, buckets, cut, mix, read_blobs, split_blobs, text_buffers, tidy_group, tidy_map, unused
 from glyphmill.llm.graph import components, lowest
 from glyphmill.llm.shingles import shingle_sets
 
@@ -450,13 +450,13 @@ def similar(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, id_c
 
 def representatives(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs' rows, with all their columns, of which each component of similar() keeps one:
-    that of the smallest doc_id. Equal rows of one doc_id count once; other rows that
-    share a doc_id share its fate. Rows without shingles stay, as do rows without a doc_id
-    unless they are similar to one that has one."""
-    same = F.col(id_col).eqNullSafe(F.col("kept_"))
+    that of the smallest doc_id. Equal rows of one doc_id count once; other rows that share
+    a doc_id share its fate, and so do all rows without one: they stay if any of them has
+    no similar row with a doc_id. Rows without shingles stay."""
+    name = unused(docs, "kept_doc")
     repeated = docs.groupBy(id_col).count().filter("count > 1")
     if not repeated.isEmpty():
         docs = docs.dropDuplicates([id_col, text_col])
     found = similar(docs, num, den, width, id_col, text_col)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_")).distinct()
-    return docs.join(kept, same, "left_semi")
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, docs[id_col].eqNullSafe(kept[name]), "left_semi")

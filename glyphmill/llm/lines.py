@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import buckets, cut, mix, split_blobs, text_buffers, tidy_group, tidy_map
+from glyphmill.llm.common import buckets, cut, mix, split_blobs, text_buffers, tidy_group, tidy_map, unused
 from glyphmill.llm.graph import components, lowest
 from glyphmill.llm.jaccard import PAIRS, Share, shared_enough, tile_pairs
 from glyphmill.llm.shingles import words
@@ -353,7 +353,7 @@ def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100, least: int = 5,
     which are replaced. An empty table gives no rows.
     """
     share = Share(num, den)
-    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in (text_col, "lines_", "removed_")), F.lit(0).alias("_")).alias("row_")
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in (text_col, "lines_", "removed_")), F.lit(0).alias(unused(docs, "none"))).alias("row_")
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).cast("string").alias("text_"), own)
     unique = keyed.groupBy("doc").count().filter("count > 1").isEmpty()
     keyed = keyed.withColumn("tag", F.lit(0).cast("long") if unique else F.coalesce(F.xxhash64("text_"), F.lit(0)))

@@ -88,3 +88,12 @@ def test_search_probes_long_lists():
 
 def test_empty(spark):
     assert similar(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_representatives_keep_rows_and_columns(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, text, "a"), (3, text + " x", "b"), (9, "quite another text of seven words", "c"), (9, "quite another text of seven words", "c"), (None, text, "d"), (None, "alone here and without any id", "e"), (11, None, "f"), (12, "", "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept_doc string")
+    got = jaccard.representatives(df)
+    assert got.columns == df.columns
+    assert sorted((r.kept_doc for r in got.collect())) == ["b", "c", "d", "e", "f", "g"]

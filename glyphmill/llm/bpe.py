@@ -26,8 +26,8 @@ from glyphmill.llm.common import slices, tidy_map
 
 #: The split pattern of byte-level pre-tokenization.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Remembered pieces a worker; when full, the memory starts anew.
-REMEMBERED = 500_000
+#: Remembered pieces a worker, in two halves: when one is full, the older one is dropped.
+REMEMBERED = 700_000
 #: Longer pieces aren't remembered.
 LONG_PIECE = 64
 
@@ -65,6 +65,7 @@ class Codec:
             else None
         )
         self.known: dict[str, str] = {}
+        self.older: dict[str, str] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one piece by the segment tree."""
@@ -72,7 +73,7 @@ class Codec:
         m = len(symbols)
         if m < 2:
             return symbols
-        pairs = self.pairs
+        pairs, get = self.pairs, self.pairs.get
         bits = (m - 1).bit_length()
         width, none = 1 << bits, 1 << 62
         low = width - 1
@@ -92,29 +93,35 @@ class Codec:
             p = before[i]
             symbols[i] = s = pairs[symbols[i] << 32 | symbols[j]][1]
             after[i] = k
-            changes = [(j, none)]
+            left, right = none, none
             if k < m:
                 before[k] = i
-                hit = pairs.get(s << 32 | symbols[k])
-                changes.append((i, none if hit is None else hit[0] << bits | i))
-            else:
-                changes.append((i, none))
+                hit = get(s << 32 | symbols[k])
+                if hit is not None:
+                    right = hit[0] << bits | i
             if p >= 0:
-                hit = pairs.get(symbols[p] << 32 | s)
-                changes.append((p, none if hit is None else hit[0] << bits | p))
-            for leaf, value in changes:
+                hit = get(symbols[p] << 32 | s)
+                if hit is not None:
+                    left = hit[0] << bits | p
+            leaf, value = j, none
+            while True:
                 n = width + leaf
-                if tree[n] == value:
-                    continue
-                tree[n] = value
-                while n > 1:
-                    other = tree[n ^ 1]
-                    n >>= 1
-                    if other < value:
-                        value = other
-                    if tree[n] == value:
-                        break
+                if tree[n] != value:
                     tree[n] = value
+                    while n > 1:
+                        other = tree[n ^ 1]
+                        n >>= 1
+                        if other < value:
+                            value = other
+                        if tree[n] == value:
+                            break
+                        tree[n] = value
+                if leaf == j:
+                    leaf, value = i, right
+                elif leaf == i and p >= 0:
+                    leaf, value = p, left
+                else:
+                    break
         ids, i = [], 0
         while i < m:
             ids.append(symbols[i])
@@ -126,10 +133,14 @@ class Codec:
         known = self.known
         ids = known.get(piece)
         if ids is None:
-            ids = ",".join(map(str, self.merge(piece.encode())))
+            ids = self.older.get(piece)
+            if ids is None:
+                ids = ",".join(map(str, self.merge(piece.encode())))
             if len(piece) <= LONG_PIECE:
-                if len(known) >= REMEMBERED:
-                    known.clear()
+                if len(known) >= REMEMBERED // 2:
+                    # what has been used since the last time is kept
+                    self.older = known
+                    self.known = known = {}
                 known[piece] = ids
         return ids
 

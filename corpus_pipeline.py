@@ -23,9 +23,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: lines of five or more words that repeat an earlier one go; every document
-    stays, with n_chars as its text now has."""
-    out = lines.dedup_lines(docs, num=80, den=100, least=5).select(docs.columns)
+    """Operator 10: lines that repeat an earlier one go, blank ones apart; every document stays,
+    with n_chars as its text now has."""
+    out = lines.dedup_lines(docs, num=80, den=100, least=1).select(docs.columns)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 

@@ -37,7 +37,7 @@ from glyphmill.llm.suffix import NO_ID, pack, unpack
 
 #: Counters of words, and classes of rarity (six bits).
 COUNTERS, CLASSES = 1 << 21, 64
-#: Words handled at once; prefix records held before they flow on.
+#: Words handled at once; prefix records, and lines without any, held before they flow on.
 PIECE, HELD = 400_000, 800_000
 #: Longest list of a word that is compared place by place; longer ones go by size. Pairs
 #: of maps that are compared without dividing them.
@@ -199,19 +199,20 @@ def gather(docs: DataFrame, rarity, share: Share, least: int, n: int) -> DataFra
                 s1, s2, parity, half = class_names(h, first)
                 own = line[first] + a
                 fine = length >= least
+                lone = (share.overlap(length, length) == length) & ~share.fits(length, length + 1)  # similar to equal sets alone: the class says it
                 x = np.empty(int(fine.sum()), LINE)
                 x["doc"], x["tag"], x["start"] = ids[text[own[fine]]], tags[text[own[fine]]], nth[own[fine]]
                 x["s1"], x["s2"], x["n"] = s1[fine], s2[fine], length[fine]
                 lines.append(x)
                 at = np.arange(len(h)) - np.repeat(first, length)
-                used = (at < np.repeat(share.prefix(length), length)) & np.repeat(fine, length)
+                used = (at < np.repeat(share.prefix(length), length)) & np.repeat(fine & ~lone, length)
                 which = np.repeat(np.arange(len(first)), length)[used]
                 p = np.empty(len(which), WIDE_PREFIX)
                 p["h"], p["node"], p["n"], p["map"] = h[used] >> np.uint64(32), s1[which], length[which], parity[which]
                 p["half"] = half[which]
                 p["at"] = np.minimum(at[used], 255)
                 prefix.append((p, (h[used] % np.uint64(n)).astype(np.int64)))
-                size += len(p)
+                size += len(p) + int((fine & lone).sum())
                 if size > HELD:
                     yield flow()
                     lines.clear()
@@ -345,8 +346,9 @@ def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100, least: int = 5,
     line number), has Jaccard >= num/den of word sets with it, judged on the input.
 
     Lines are divided by \\n; words are runs without ASCII white space, A-Z lower-cased.
-    Lines with under `least` distinct words (headings, blank lines) always stay and
-    remove nothing. Null texts stay null, empty ones empty; texts and lines of any length
+    Lines with under `least` distinct words always stay and remove nothing; with `least` 1
+    that is blank lines alone. A line without ASCII white space (Chinese, Japanese, Thai)
+    is one word, so only its copies go. Null texts stay null, empty ones empty; texts and lines of any length
     are handled whole. A null doc_id counts as larger than all others. Rows with equal
     doc_ids are ordered by a hash of their texts; of fully equal rows each keeps the same
     lines. Columns called doc, tag, lines_ or removed_ don't clash but for the last two,
@@ -480,5 +482,5 @@ def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100, least: int = 5,
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_lines, n_removed, kept_sha256)."""
-    return dedup_lines(docs.select("doc_id", "text")).select("doc_id", F.col("lines_").alias("n_lines"), F.col("removed_").alias("n_removed"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
+    """(doc_id, n_lines, n_removed, kept_sha256), with all lines that aren't blank taking part."""
+    return dedup_lines(docs.select("doc_id", "text"), least=1).select("doc_id", F.col("lines_").alias("n_lines"), F.col("removed_").alias("n_removed"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -7,7 +8,7 @@ import pytest
 from glyphmill.llm import lines as lines_module
 from glyphmill.llm.graph import lowest
 from glyphmill.llm.jaccard import Share
-from glyphmill.llm.lines import WIDE_PREFIX, dedup_lines, near_in_lists
+from glyphmill.llm.lines import WIDE_PREFIX, dedup_lines, digests, near_in_lists
 
 SCHEMA = "doc_id long, text string, doc int"
 
@@ -107,3 +108,14 @@ def test_lists_lose_no_pair(longest, blocked, paired, monkeypatch):
 
 def test_empty(spark):
     assert dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_short_lines_of_the_query_take_part(spark):
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(9)]
+    rows = [(i, "\n".join(" ".join(rng.choices(words, k=rng.randint(0, 7))) for _ in range(4)), 1) for i in range(60)]
+    rows += [(100, "All rights reserved.\nspam spam spam spam spam spam\n人は空白を使わない\n", 1), (101, "\nall rights Reserved.\n人は空白を使わない\nspam spam", 1), (102, None, 1)]
+    rows += [(103, "one two three four", 1), (104, "four one two three five", 1), (105, "one two three", 1)]
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_sha256) for r in digests(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: (n, gone, hashlib.sha256((text or "").encode()).hexdigest()) for i, text, n, gone in brute(rows, least=1)}
+    assert got[101][1] == 3 and got[104][1] == 1 and got[105][1] == 0

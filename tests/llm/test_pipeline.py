@@ -68,3 +68,8 @@ def test_each_stage_equals_brute_force(spark, tables):
 
     whole = corpus_pipeline.run(spark, tables)
     assert sorted(map(str, whole.collect())) == sorted(map(str, coded))
+
+
+def test_short_repeated_lines_go(spark):
+    docs = spark.createDataFrame([(1, "Les.\na b", "en", "a", 8), (2, "\nles.\nb c", "en", "a", 9)], SCHEMA)
+    assert sorted((r.doc_id, r.text, r.n_chars) for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()) == [(1, "Les.\na b", 8), (2, "\nb c", 4)]

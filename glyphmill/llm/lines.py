@@ -256,10 +256,10 @@ def parity_pairs(parity, half, a: np.ndarray, b: np.ndarray, most: int, wide: bo
     if len(a) * len(b) <= BLOCKED or most + 1 > 16:
         yield from compare(a, b)
         return
-    width = -(-64 // (most + 1))
-    for shift in range(0, 64, width):
-        mask = np.uint64((1 << width) - 1)
-        ka, kb = (parity[a] >> np.uint64(shift)) & mask, (parity[b] >> np.uint64(shift)) & mask
+    edges = [64 * i // (most + 1) for i in range(most + 2)]
+    for low, high in zip(edges, edges[1:]):
+        mask = np.uint64((1 << (high - low)) - 1)
+        ka, kb = (parity[a] >> np.uint64(low)) & mask, (parity[b] >> np.uint64(low)) & mask
         oa, ob = np.argsort(ka, kind="stable"), np.argsort(kb, kind="stable")
         ka, kb = ka[oa], kb[ob]
         for value in np.intersect1d(ka, kb):

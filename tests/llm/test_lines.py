@@ -119,3 +119,17 @@ def test_short_lines_of_the_query_take_part(spark):
     got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_sha256) for r in digests(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {i: (n, gone, hashlib.sha256((text or "").encode()).hexdigest()) for i, text, n, gone in brute(rows, least=1)}
     assert got[101][1] == 3 and got[104][1] == 1 and got[105][1] == 0
+
+
+@pytest.mark.parametrize("most", range(1, 16))
+def test_parts_of_maps_lose_no_pair(most, monkeypatch):
+    monkeypatch.setattr(lines_module, "BLOCKED", 0)
+    rng = np.random.default_rng(most)
+    width = -(-64 // (most + 1))
+    spread = [[min(63, s + int(rng.integers(0, width))) for s in range(0, 64, width)][:most] for _ in range(20)]
+    spread += [[64 * i // k + int(rng.integers(0, 64 // k)) for i in range(k)] for k in range(1, most + 1)]
+    one = rng.integers(0, 1 << 63, len(spread), dtype=np.uint64)
+    two = np.array([int(x) ^ sum(1 << b for b in set(bits)) for x, bits in zip(one, spread)], np.uint64)
+    k = len(one)
+    found = {(int(i), int(j)) for p, q in lines_module.parity_pairs(np.concatenate([one, two]), np.zeros(2 * k, np.uint64), np.arange(k), np.arange(k, 2 * k), most, False, False) for i, j in zip(p, q)}
+    assert {(i, k + i) for i in range(k)} <= found

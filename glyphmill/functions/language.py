@@ -3,7 +3,9 @@ share of kana for Han text. Any callable text -> Guess | None can take its place
 
 from __future__ import annotations
 
+import functools
 import math
+from collections import Counter
 from dataclasses import dataclass
 
 import regex
@@ -48,14 +50,28 @@ for _lang, _list in _WORDS.items():
 #: Endings and clusters typical of English prose words that aren't function words.
 _ENGLISH = regex.compile(r"(?:tion|tions|ing|ment|ness|able|ful|ally|edly|ough|ight|wh\w+|th\w+)$")
 LATIN_WORD = regex.compile(r"\p{Script=Latin}+")
+CJ = regex.compile(r"[\p{Script=Hiragana}\p{Script=Katakana}\p{Script=Han}]")
 KANA, HAN = regex.compile(r"[\p{Script=Hiragana}\p{Script=Katakana}]"), regex.compile(r"\p{Script=Han}")
 
 
+@functools.lru_cache(maxsize=1 << 17)
+def votes(word: str) -> tuple[tuple[str, float], ...]:
+    """(language, weight) of what a word, as written, speaks for."""
+    w = word.lower()
+    hit = _VOTES.get(w, ())
+    out = [(lang, 1.6 / math.sqrt(len(hit))) for lang in hit]
+    if not hit and w.isascii() and _ENGLISH.search(w):
+        out.append(("eng", 0.7))
+    if not w.isascii():
+        out += [(lang, 0.5) for lang, letters in _LETTERS.items() if any(c in letters for c in w)]
+    return tuple(out)
+
+
 def identify(text: str) -> Guess | None:
     """The likeliest language of a text, or None where nothing speaks for any."""
-    kana, han = len(KANA.findall(text)), len(HAN.findall(text))
-    words = [w.lower() for w in LATIN_WORD.findall(text)]
-    if kana + han > sum(map(len, words)):
+    kana, han = (len(KANA.findall(text)), len(HAN.findall(text))) if CJ.search(text) else (0, 0)
+    words = Counter(LATIN_WORD.findall(text))
+    if kana + han > sum(len(w) * n for w, n in words.items()):
         if kana:
             share = kana / (kana + han)
             return Guess("jpn", "Hiragana" if share >= 0.5 else "Mandarin", min(1.0, 0.8 + share), kana >= 2 and share > 0.1)
@@ -63,20 +79,14 @@ def identify(text: str) -> Guess | None:
     if not words:
         return None
     scores = dict.fromkeys(_WORDS, 0.0)
-    for w in words:
-        hit = _VOTES.get(w, ())
-        for lang in hit:
-            scores[lang] += 1.6 / math.sqrt(len(hit))
-        if not hit and w.isascii() and _ENGLISH.search(w):
-            scores["eng"] += 0.7
-        for lang, letters in _LETTERS.items():
-            if not w.isascii() and any(c in letters for c in w):
-                scores[lang] += 0.5
+    for w, n in words.items():
+        for lang, weight in votes(w):
+            scores[lang] += weight * n
     ranked = sorted(scores.items(), key=lambda x: (-x[1], x[0]))
     (best, top), (_, second) = ranked[0], ranked[1]
     if top <= 0:
         return None
-    coverage = min(1.0, top / (0.45 * len(words)))
+    coverage = min(1.0, top / (0.45 * words.total()))
     margin = (top - second) / top
     confidence = round(min(1.0, 0.35 * coverage + 0.65 * min(1.0, margin * 1.6)), 4)
     return Guess(best, "Latin", confidence, confidence >= 0.6 and top >= 1.4)

@@ -6,11 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from glyphmill.functions.options import LATIN_RULES
-from glyphmill.functions.patterns import WORD
+from glyphmill.functions.patterns import FAST_WORD as WORD
 
-#: Latin letters that some default rule gives a language; ¿ and ¡ are no letters.
-HINTED = "".join(chars for _, chars in LATIN_RULES).replace("¿", "").replace("¡", "")
 #: What the word pattern or the simple segment count can't judge: letters of other
 #: scripts, marks, emoji and what joins them, runs of underscores.
 DIFFICULT = r"[^\p{IsLatin}\P{L}]|[\p{M}\p{Nl}\p{Cf}\p{Co}\p{Cs}]|[\x{200D}\x{FE0F}\x{20E3}\x{2600}-\x{27BF}\x{2B00}-\x{2BFF}\x{1F000}-\x{1FAFF}]|__"
@@ -25,11 +22,6 @@ def latin_only(text: Column) -> Column:
     return ~text.rlike(DIFFICULT)
 
 
-def one_chunk(text: Column) -> Column:
-    """Whether default options give the text one und-Latn chunk for certain."""
-    return latin_only(text) & ~text.rlike(f"[{HINTED}]")
-
-
 def words(text: Column) -> Column:
     return matches(text, WORD)
 

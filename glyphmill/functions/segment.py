@@ -14,7 +14,7 @@ import regex
 from glyphmill.functions.options import DEFAULT_HAN, DEFAULT_LATIN, Context, CountOptions, resolve_context
 
 #: White space as ECMAScript has it.
-SPACE = "\t\n\x0b\x0c\r \xa0  -     　﻿"
+SPACE = "\t\n\x0b\x0c\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 STOPS = ",.!?;:，、。！？；：．｡､"
 HARD = frozenset("\r\n" + STOPS)
 BREAK = regex.compile(f"[{SPACE}{STOPS}]")
@@ -23,7 +23,7 @@ LAST_BREAK = regex.compile(f"(?r)[{SPACE}{STOPS}]")
 SCRIPTS = (("ja", "hiragana-katakana", r"\p{Script=Hiragana}\p{Script=Katakana}"), ("ko", "hangul", r"\p{Script=Hangul}"), ("ar", "arabic", r"\p{Script=Arabic}"), ("ru", "cyrillic", r"\p{Script=Cyrillic}"), ("hi", "devanagari", r"\p{Script=Devanagari}"), ("th", "thai", r"\p{Script=Thai}"))
 _ALL = "".join(s for *_, s in SCRIPTS)
 NOT_LATIN = _ALL + r"\p{Script=Han}"
-LATIN = regex.compile(r"\p{Script=Latin}")
+LATIN, OTHER = regex.compile(r"\p{Script=Latin}"), regex.compile(f"[{NOT_LATIN}]")
 RUNS = regex.compile(
     "|".join(f"(?P<s{i}>[{s}]+)" for i, (*_, s) in enumerate(SCRIPTS))
     + r"|(?P<han>\p{Script=Han}+)|(?P<latin>\p{Script=Latin}" + f"[^{NOT_LATIN}\r\n{STOPS}]*)"
@@ -46,6 +46,11 @@ def context_of(options: CountOptions) -> Context:
     return resolve_context(options)
 
 
+@functools.lru_cache(maxsize=256)
+def _letters(chars: str):
+    return regex.compile(f"[{regex.escape(chars, literal_spaces=True)}]").finditer
+
+
 def hinted(text: str, context: Context) -> list[tuple[int, int, str]]:
     """(start, end, tag) of the stretches of Latin letters that hint rules give a tag."""
     memo = _memo(context)
@@ -53,11 +58,11 @@ def hinted(text: str, context: Context) -> list[tuple[int, int, str]]:
     if not tags:
         return []
     out: list[tuple[int, int, str]] = []
-    for i, c in enumerate(text):
-        tag = tags.get(c)
-        if tag and out and out[-1][1] == i and out[-1][2] == tag:
+    for m in _letters("".join(sorted(tags)))(text):
+        i, tag = m.start(), tags[m.group()]
+        if out and out[-1][1] == i and out[-1][2] == tag:
             out[-1] = (out[-1][0], i + 1, tag)
-        elif tag:
+        else:
             out.append((i, i + 1, tag))
     return out
 
@@ -86,6 +91,11 @@ def scan(text: str, context: Context) -> list[Chunk]:
     out: list[Chunk] = []
     locale, begin, scripted, bounded = DEFAULT_LATIN, 0, False, False
     trace: tuple[str | None, str | None] = (None, None)
+    marks = hinted(text, context)
+    if not marks and not context.latin_hint and (text.isascii() or not OTHER.search(text)):
+        # no letter here votes for anything but undetermined Latin
+        return [Chunk(locale, text, *(("fallback", "latin-fallback") if LATIN.search(text) else trace))] if text else []
+    upto = 0
 
     def vote(at: int, found: str, how: tuple[str | None, str | None]) -> None:
         """Characters from `at` on vote for `found`."""
@@ -122,14 +132,13 @@ def scan(text: str, context: Context) -> list[Chunk]:
             bounded = True
         elif kind == "latin":
             # a Latin letter and what follows it, up to a boundary or another script
-            at = 0
-            for first, last, tag in [*hinted(m.group(), context), (m.end() - start, 0, "")]:
-                if first > at == 0:
-                    plain(start)  # later ones follow a hinted letter, whose locale they take
-                if tag:
-                    vote(start + first, tag, ("hint", "latin-hint-rule"))
-                    bounded = False
-                at = last
+            end = m.end()
+            if upto == len(marks) or marks[upto][0] > start:
+                plain(start)  # later ones follow a hinted letter, whose locale they take
+            while upto < len(marks) and marks[upto][0] < end:
+                vote(marks[upto][0], marks[upto][2], ("hint", "latin-hint-rule"))
+                bounded = False
+                upto += 1
         elif kind == "han":
             if not bounded and locale.startswith("ja"):
                 vote(start, locale, ("script", "japanese-han-carry"))

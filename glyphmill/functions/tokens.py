@@ -29,10 +29,19 @@ def plain_segments(text: str):
     at = 0
     for m in BOUNDARY.finditer(text):
         if m.start() > at:
-            yield text[at : m.start()]
+            yield from quote_apart(text[at : m.start()])
             at = m.start()
     if at < len(text):
-        yield text[at:]
+        yield from quote_apart(text[at:])
+
+
+def quote_apart(part: str):
+    """A segment; an apostrophe before a vowel, which the engine keeps with it, apart: it joins
+    letters on both sides only."""
+    if part[0] in "'’" and len(part) > 1 and part[1].isalpha():
+        yield part[0]
+        part = part[1:]
+    yield part
 
 
 def segments(text: str):

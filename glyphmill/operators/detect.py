@@ -28,6 +28,8 @@ BORNE_OUT = 0.70
 LATIN, HAN, CJ = regex.compile(r"\p{Script=Latin}"), regex.compile(r"\p{Script=Han}"), regex.compile(r"[\p{Script=Han}\p{Script=Hiragana}\p{Script=Katakana}]")
 RUN = regex.compile(r"\p{Script=Latin}+")
 BLANKS = regex.compile(f"[{SPACE}]+")
+#: What a window's normal form leaves out, by route.
+DROPPED = {DEFAULT_LATIN: regex.compile(r"[^\p{Script=Latin}]+"), DEFAULT_HAN: regex.compile(r"[^\p{Script=Han}]+")}
 TECHNICAL = (
     regex.compile(r"^[>#$]"),
     regex.compile(r"(?i)(?:^|\s)--[a-z0-9][a-z0-9-]*"),
@@ -52,9 +54,7 @@ class Sample:
 
 
 def normalize(text: str, route: str) -> str:
-    keep = HAN if route == DEFAULT_HAN else LATIN
-    bare = "".join(c if keep.match(c) or c in SPACE else " " for c in text)
-    return BLANKS.sub(" ", bare).strip(SPACE)
+    return DROPPED[route].sub(" ", text).strip(" ")
 
 
 def sample_of(chunks: list[Chunk], at: int) -> Sample:
@@ -72,7 +72,7 @@ def sample_of(chunks: list[Chunk], at: int) -> Sample:
 def eligibility(sample: Sample, route: str, gate: str = "default") -> tuple[int, int, bool]:
     """(characters of the route's script, the least that is needed, whether that is met)."""
     if route == DEFAULT_LATIN:
-        n = len(LATIN.findall(sample.text))
+        n = sum(map(len, RUN.findall(sample.text)))
     elif gate == "loose":
         n = len(HAN.findall(sample.focus))
     else:
@@ -80,15 +80,23 @@ def eligibility(sample: Sample, route: str, gate: str = "default") -> tuple[int,
     return n, least_chars(route, gate), n >= least_chars(route, gate)
 
 
+DOTTED = regex.compile(r"\.[A-Za-z0-9]")
+
+
 def technical(line: str, words: int) -> bool:
-    return any(p.search(line) for p in TECHNICAL) or bool(FIELD.search(line)) and words <= 8
+    """Whether a line is a prompt, a flag, code or a path, or a short field. What each of the
+    expressions can't do without is looked for first."""
+    prompt, flag, code, path = TECHNICAL
+    if prompt.match(line) or "--" in line and flag.search(line) or "`" in line and code.search(line) or DOTTED.search(line) and path.search(line):
+        return True
+    return words <= 8 and ":" in line and FIELD.search(line) is not None
 
 
 def content_gate(sample: Sample, route: str, gate: str = "default") -> bool:
     """Whether a Latin sample reads like prose; Han samples and gate off always pass."""
     if route != DEFAULT_LATIN or gate == "off":
         return True
-    if len(RUN.findall(sample.normal)) < (5 if gate == "strict" else 4):
+    if (sample.normal.count(" ") + 1 if sample.normal else 0) < (5 if gate == "strict" else 4):
         return False
     prose = tech = 0
     block: list[tuple[int, bool]] = []
@@ -220,8 +228,13 @@ def count(text: str, options: CountOptions = CountOptions(), gate: str = "defaul
 
 def resolve(df: DataFrame, text: str = "text", options: CountOptions = CountOptions(), gate: str = "default", engine: Callable[[str], Guess | None] = identify) -> DataFrame:
     """A row for each window of each document with its evidence and decision."""
+    if gate not in GATES:
+        raise ValueError(f"Unknown content gate: {gate}.")
+    resolve_context(options)
+    before = deferred(options)
+
     def rows(value: str):
-        for d in detect(value, options, gate, engine)[1]:
+        for d in decide(segment(value, before), gate, engine):
             look = d.raw or d.normal
             yield d.index, d.chunk, d.route, d.script_chars, d.eligible, d.gate_passed, look.lang if look else None, str(look.confidence) if look else None, look.reliable if look else None, d.accepted, d.path, d.final_tag, d.reason, BLANKS.sub(" ", d.sample.text).strip(SPACE)[:160]
 

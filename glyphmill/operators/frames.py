@@ -1,8 +1,10 @@
 """Counting over DataFrames.
 
-Texts whose letters are plain Latin take built-in expressions from start to end; the
-others pass once through an Arrow function with the kernel. The two paths are filters of
-the same scan, so columns and predicates still reach the source.
+Chunks, tokens and measures come from one Arrow pass over one scan: a text is divided and
+measured at once, in the worker, and leaves as rows or numbers. Within it, text whose
+letters are Latin is measured by one expression; other text by the boundary kernel. Word
+counts without chunks (`words_of`) are built-in expressions for Latin text, and only
+other text reaches Python.
 """
 
 from __future__ import annotations
@@ -11,12 +13,16 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from glyphmill.functions import native
 from glyphmill.functions.counting import count as count_text
-from glyphmill.functions.options import DEFAULT_LATIN, CountOptions, needs_non_words, needs_whitespace, resolve_context, resolve_mode
+from glyphmill.functions.measure import MEASURES, measure, simple
+from glyphmill.functions.measure import tokens as word_tokens
+from glyphmill.functions.options import CountOptions, needs_non_words, needs_whitespace, resolve_context, resolve_mode
 from glyphmill.functions.segment import segment
-from glyphmill.functions.tokens import count_graphemes, segments
+from glyphmill.functions.tokens import count_graphemes, count_words
+from glyphmill.operators.spread import spread
 
 WHITESPACE = "struct<spaces: bigint, tabs: bigint, newlines: bigint, other: bigint>"
 NON_WORDS = f"struct<emoji: array<string>, symbols: array<string>, punctuation: array<string>, whitespace: {WHITESPACE}, counts: struct<emoji: bigint, symbols: bigint, punctuation: bigint, whitespace: bigint>>"
@@ -24,9 +30,8 @@ ITEM = f"struct<idx: int, locale: string, text: string, words: bigint, chars: bi
 RESULT = f"struct<total: bigint, counts: struct<words: bigint, non_words: bigint, total: bigint>, mode: string, items: array<{ITEM}>, non_words: {NON_WORDS}>"
 
 
-def plain_options(options: CountOptions) -> bool:
-    """Whether the options leave chunking at its defaults."""
-    return options.use_default_latin_hints and not options.latin_hint_rules and resolve_context(options).latin_hint is None
+#: Characters of texts whose rows are held before they flow on.
+HELD = 4_000_000
 
 
 def carried(df: DataFrame, text: str) -> tuple[list[str], str]:
@@ -35,7 +40,8 @@ def carried(df: DataFrame, text: str) -> tuple[list[str], str]:
 
 
 def through_arrow(df: DataFrame, text: str, fields: str, rows) -> DataFrame:
-    """df's other columns beside the rows that rows(text) gives for each text."""
+    """df's other columns beside the rows that rows(text) gives for each text. A small table
+    is dealt out to all cores first; what is held at once is bounded by HELD."""
     keep, schema = carried(df, text)
     names = [f.strip().split(" ")[0] for f in fields.split(", ")]
     arrow = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
@@ -43,91 +49,74 @@ def through_arrow(df: DataFrame, text: str, fields: str, rows) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            owner, columns = [], [[] for _ in names]
-            for i, value in enumerate(batch.column(len(keep)).to_pylist()):
+            texts = batch.column(len(keep))
+            owner, columns, held = [], [[] for _ in names], 0
+
+            def flow():
+                at = pa.array(owner, pa.int32())
+                kept = [batch.column(k).take(at) for k in range(len(keep))]
+                return pa.RecordBatch.from_arrays([*kept, *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[*keep, *names])
+
+            for i in range(batch.num_rows):
+                value = texts[i].as_py()
                 if value is None:
                     continue
-                for row in rows(value):
-                    owner.append(i)
-                    for c, v in zip(columns, row):
-                        c.append(v)
-            at = pa.array(owner, pa.int32())
-            kept = [batch.column(k).take(at) for k in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[*keep, *names])
+                own = list(zip(*rows(value)))
+                if own:
+                    owner += [i] * len(own[0])
+                    for c, v in zip(columns, own):
+                        c.extend(v)
+                held += len(value)
+                if held > HELD:
+                    yield flow()
+                    owner, columns, held = [], [[] for _ in names], 0
+            yield flow()
 
-    return df.select(*keep, text).mapInArrow(run, ", ".join(x for x in (schema, fields) if x))
+    return spread(df.select(*keep, text)).mapInArrow(run, ", ".join(x for x in (schema, fields) if x))
 
 
 def chunks(df: DataFrame, text: str = "text", options: CountOptions = CountOptions()) -> DataFrame:
     """One row for each locale chunk of each text: df's other columns, chunk_index, locale,
     text. Null and empty texts have none."""
     resolve_context(options)
-    keep, _ = carried(df, text)
-    fields = "chunk_index int, locale string, chunk_text string"
     rows = lambda value: ((i, c.locale, c.text) for i, c in enumerate(segment(value, options)))
-    if plain_options(options):
-        simple = native.one_chunk(F.col(text))
-        fast = df.filter(simple & (F.col(text) != "")).select(*keep, F.lit(0).alias("chunk_index"), F.lit(DEFAULT_LATIN).alias("locale"), F.col(text).alias("chunk_text"))
-        out = fast.unionByName(through_arrow(df.filter(~simple), text, fields, rows))
-    else:
-        out = through_arrow(df, text, fields, rows)
-    return out.withColumnRenamed("chunk_text", "text")
+    return through_arrow(df, text, "chunk_index int, locale string, chunk_text string", rows).withColumnRenamed("chunk_text", "text")
 
 
 def tokens(df: DataFrame, text: str = "text", options: CountOptions = CountOptions()) -> DataFrame:
     """One row for each word: df's other columns, chunk_index, locale, token_index, token."""
-    from glyphmill.functions.tokens import word_list
+    resolve_context(options)
+
+    def rows(value: str):
+        easy = simple(value)
+        for i, c in enumerate(segment(value, options)):
+            for k, token in enumerate(word_tokens(c.text, easy)):
+                yield i, c.locale, k, token
 
-    parts = chunks(df, text, options)
-    keep = [c for c in parts.columns if c != "text"]
-    simple = native.latin_only(F.col("text"))
-    fast = parts.filter(simple).select(*keep, F.posexplode(native.word_list(F.col("text"))).alias("token_index", "token"))
-    slow = through_arrow(parts.filter(~simple), "text", "token_index int, token string", lambda v: enumerate(word_list(v)))
-    return fast.unionByName(slow)
+    return through_arrow(df, text, "chunk_index int, locale string, token_index int, token string", rows)
 
 
 def measured(df: DataFrame, text: str = "text", options: CountOptions = CountOptions()) -> DataFrame:
-    """One row for each chunk with its measures: words, word_chars, emoji, symbols,
-    punctuation, spaces, tabs, newlines, other and non_word_chars (graphemes of what
-    counts as a non-word)."""
-    parts = chunks(df, text, options)
-    keep = [c for c in parts.columns if c != "text"]
-    simple = native.latin_only(F.col("text"))
-    blank = native.whitespace(F.col("text"))
-    zero = F.lit(0).cast("long")
-    bare = native.between_words(F.col("text"))
-    others = native.matches(bare, r"\p{P}") + native.matches(bare, r"\p{S}")
-    inner = F.col("text").rlike(native.WORD)
-    word_chars = F.when(inner, native.graphemes(F.col("text")) - native.graphemes(bare)).otherwise(zero)
-    fast = parts.filter(simple).select(
-        *keep, "text", native.words(F.col("text")).alias("words"), word_chars.alias("word_chars"), zero.alias("emoji"), native.symbols(F.col("text")).alias("symbols"), native.punctuation(F.col("text")).alias("punctuation"),
-        *(c.alias(n) for n, c in blank.items()), (others + (native.matches(bare, native.SPACE_CLASS) if options.include_whitespace else zero)).alias("non_word_chars"),
-    )
-
-    def measure(value: str):
-        from glyphmill.functions.tokens import NonWords, Whitespace
-
-        found, blanks, words, chars, rest = NonWords(), Whitespace(), 0, 0, 0
-        for part, is_word in segments(value):
-            if is_word:
-                words += 1
-                chars += count_graphemes(part)
-            elif found.add(part, options.include_whitespace):
-                rest += count_graphemes(part)
-        blanks.add(value)
-        yield value, words, chars, len(found.emoji), len(found.symbols), len(found.punctuation), blanks.spaces, blanks.tabs, blanks.newlines, blanks.other, rest
-
-    fields = "chunk_text string, words bigint, word_chars bigint, emoji bigint, symbols bigint, punctuation bigint, spaces bigint, tabs bigint, newlines bigint, other bigint, non_word_chars bigint"
-    slow = through_arrow(parts.filter(~simple), "text", fields, measure).withColumnRenamed("chunk_text", "text")
-    return fast.unionByName(slow)
+    """One row for each chunk with its measures: df's other columns, chunk_index, locale,
+    words, word_chars, emoji, symbols, punctuation, spaces, tabs, newlines, other and
+    non_word_chars (graphemes of what counts as a non-word). Texts are divided and
+    measured in one pass that gives numbers, not texts."""
+    resolve_context(options)
+    blank = options.include_whitespace
+
+    def rows(value: str):
+        easy = simple(value)
+        for i, c in enumerate(segment(value, options)):
+            yield i, c.locale, *measure(c.text, easy, blank)
+
+    return through_arrow(df, text, "chunk_index int, locale string, " + ", ".join(f"{m} bigint" for m in MEASURES), rows)
 
 
 def by_locale(measures: DataFrame, *keys: str) -> DataFrame:
     """Collector rows: sums by keys and locale, with first_at, the place where the locale
     first appears (order by it; a struct if keys don't fix the document)."""
     order = F.struct(*(F.col(c) for c in ("doc_id", "chunk_index") if c in measures.columns and c not in keys)) if "doc_id" not in keys else F.col("chunk_index")
-    sums = ("words", "word_chars", "emoji", "symbols", "punctuation", "spaces", "tabs", "newlines", "other", "non_word_chars")
-    return measures.groupBy(*keys, "locale").agg(F.min(order).alias("first_at"), *(F.sum(c).alias(c) for c in sums if c in measures.columns))
+    return measures.groupBy(*keys, "locale").agg(F.min(order).alias("first_at"), *(F.sum(c).alias(c) for c in MEASURES if c in measures.columns))
 
 
 def total_of(measures: DataFrame, parts: tuple[str, ...], *keys: str) -> DataFrame:
@@ -162,11 +151,13 @@ def count(df: DataFrame, text: str = "text", options: CountOptions = CountOption
     at = df.columns.index(text)
 
     def run(batches):
-        for batch in batches:
-            values = [None if t is None else result_struct(count_text(t, options)) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, kind)], names=[*batch.schema.names, "result"])
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 500):
+                batch = whole.slice(begin, 500)
+                values = [None if t is None else result_struct(count_text(t, options)) for t in batch.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, kind)], names=[*batch.schema.names, "result"])
 
-    return df.mapInArrow(run, f"{schema}, result {RESULT}")
+    return spread(df).mapInArrow(run, f"{schema}, result {RESULT}")
 
 
 def collected_options(options: CountOptions, parts: tuple[str, ...]) -> CountOptions:
@@ -179,12 +170,6 @@ def collected_options(options: CountOptions, parts: tuple[str, ...]) -> CountOpt
 def register(spark: SparkSession) -> None:
     """count_words, count_graphemes and segment_by_locale for SQL, and the table function
     locale_chunks(text) for LATERAL."""
-    from glyphmill.functions.tokens import count_words
-
-    @F.pandas_udf("bigint")
-    def words(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else count_words(t)).astype("Int64")
-
     @F.pandas_udf("bigint")
     def graphemes(s: pd.Series) -> pd.Series:
         return s.map(lambda t: None if t is None else count_graphemes(t)).astype("Int64")
@@ -199,13 +184,17 @@ def register(spark: SparkSession) -> None:
             for i, c in enumerate(segment(text) if text else []):
                 yield i, c.locale, c.text
 
-    spark.udf.register("count_words", words)
+    spark.udf.register("count_words", _words)
     spark.udf.register("count_graphemes", graphemes)
     spark.udf.register("segment_by_locale", locales)
     spark.udtf.register("locale_chunks", LocaleChunks)
 
 
+@F.pandas_udf(LongType())
+def _words(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: None if t is None else count_words(t)).astype("Int64")
+
+
 def words_of(text: Column) -> Column:
-    """Words of any text as one expression: built in where letters are Latin. For columns
-    of unknown script use measured(), which splits the rows before Python is reached."""
-    return native.words(text)
+    """Words of any text: built in where letters are Latin; only other texts reach Python."""
+    return F.when(native.latin_only(text), native.words(text)).otherwise(_words(F.when(~native.latin_only(text), text)))

@@ -9,6 +9,8 @@ from glyphmill.functions import native
 from glyphmill.functions.options import LATIN_RULES
 from glyphmill.functions.patterns import WORD
 from glyphmill.operators import detect, frames
+from glyphmill.operators.frames import words_of
+from glyphmill.operators.spread import spread
 from glyphmill.sources import corpus, frontmatter
 from glyphmill.streaming import live
 
@@ -30,7 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", *more, "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", *more, "text"))
 
 
 def count_sql(text: str, pattern: str) -> str:
@@ -73,17 +75,17 @@ def query(sql: str | None = None):
 
 @query(f"SELECT doc_id, {words_sql('text')} AS words FROM documents")
 def words_per_document(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", native.words(F.col("text")).alias("words"))
+    return documents(spark, sf_dir).select("doc_id", words_of(F.col("text")).alias("words"))
 
 
 @query(f"SELECT lang, CAST(sum({words_sql('text')}) AS BIGINT) AS words, count(*) AS docs FROM documents GROUP BY lang")
 def words_by_lang(spark, sf_dir):
-    return documents(spark, sf_dir, "lang").groupBy("lang").agg(F.sum(native.words(F.col("text"))).alias("words"), F.count("*").alias("docs"))
+    return documents(spark, sf_dir, "lang").groupBy("lang").agg(F.sum(words_of(F.col("text"))).alias("words"), F.count("*").alias("docs"))
 
 
 @query(f"SELECT source, CAST(sum({words_sql('text')}) AS BIGINT) AS words FROM documents GROUP BY source")
 def words_by_source(spark, sf_dir):
-    return documents(spark, sf_dir, "source").groupBy("source").agg(F.sum(native.words(F.col("text"))).alias("words"))
+    return documents(spark, sf_dir, "source").groupBy("source").agg(F.sum(words_of(F.col("text"))).alias("words"))
 
 
 @query("SELECT doc_id, CAST(length_grapheme(text) AS BIGINT) AS graphemes FROM documents")
@@ -179,12 +181,12 @@ def section_aggregate(spark, sf_dir):
 
 @query(f"SELECT conv_id, role, CAST(sum({words_sql('text')}) AS BIGINT) AS words FROM conversations GROUP BY conv_id, role")
 def conversation_words(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(F.sum(native.words(F.col("text"))).alias("words"))
+    return spread(table(spark, sf_dir, "conversations")).groupBy("conv_id", "role").agg(F.sum(words_of(F.col("text"))).alias("words"))
 
 
 @query(f"SELECT page_id, {words_sql('html')} AS words FROM pages")
 def page_words(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", native.words(F.col("html")).alias("words"))
+    return spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", words_of(F.col("html")).alias("words"))
 
 
 PATH_SQL = r"regexp_extract(url, '^[a-z]+://[^/]*(/[^?#]*)?', 1)"
@@ -240,27 +242,33 @@ def benchmark_vocabulary(spark, sf_dir):
 
 @query(f"SELECT toxic, quality, CAST(sum({words_sql('text')}) AS BIGINT) AS words, count(*) AS docs FROM documents JOIN labels USING (doc_id) GROUP BY toxic, quality")
 def words_by_label(spark, sf_dir):
-    words = documents(spark, sf_dir).select("doc_id", native.words(F.col("text")).alias("words"))
+    words = documents(spark, sf_dir).select("doc_id", words_of(F.col("text")).alias("words"))
     return words.join(table(spark, sf_dir, "labels"), "doc_id").groupBy("toxic", "quality").agg(F.sum("words").alias("words"), F.count("*").alias("docs"))
 
 
 @query(f"SELECT source, lang, CAST(sum({words_sql('text')}) AS BIGINT) AS words FROM documents GROUP BY ROLLUP (source, lang)")
 def words_rollup(spark, sf_dir):
-    words = documents(spark, sf_dir, "source", "lang").withColumn("words", native.words(F.col("text")))
+    words = documents(spark, sf_dir, "source", "lang").withColumn("words", words_of(F.col("text")))
     return words.rollup("source", "lang").agg(F.sum("words").alias("words"))
 
 
 @query(f"SELECT lang, CAST(sum({words_sql('text')}) AS BIGINT) AS words FROM documents GROUP BY lang")
 def streaming_words(spark, sf_dir):
-    return live.run_to_end(live.words_by(live.read_parquet(spark, f"{sf_dir}/documents.parquet"), "lang"), "complete")
+    return live.run_to_end(live.words_by(live.read_parquet(spark, f"{sf_dir}/documents.parquet", deal=True), "lang"), "complete")
 
 
-@query()
+NON_WORD = "[" + chr(92) + "p{P}" + chr(92) + "p{S}]"
+
+
+@query(
+    f"WITH {chunk_sql()}, c AS (SELECT doc_id, locale, {words_sql('text')} AS w, {count_sql(bare_sql('text'), NON_WORD)} AS n FROM chunks) "
+    "SELECT doc_id, CAST(sum(w) + sum(n) AS BIGINT) AS total, CAST(sum(w) AS BIGINT) AS words, CAST(sum(n) AS BIGINT) AS non_words, 'collector' AS mode, CAST(count(DISTINCT locale) AS INTEGER) AS locales FROM c GROUP BY doc_id"
+)
 def nested_results(spark, sf_dir):
     from glyphmill.functions.options import CountOptions
 
     out = frames.count(documents(spark, sf_dir), options=CountOptions("collector", non_words=True))
-    return out.select("doc_id", "result.total", "result.counts", "result.mode", F.size("result.items").alias("locales"))
+    return out.select("doc_id", "result.total", "result.counts.words", "result.counts.non_words", "result.mode", F.size("result.items").alias("locales"))
 
 
 @query()
@@ -275,4 +283,4 @@ def detector_summary(spark, sf_dir):
 
 @query()
 def detected_locales(spark, sf_dir):
-    return detect.chunks(documents(spark, sf_dir)).groupBy("locale").agg(F.count("*").alias("chunks"), F.sum(native.words(F.col("text"))).alias("words"))
+    return detect.chunks(documents(spark, sf_dir)).groupBy("locale").agg(F.count("*").alias("chunks"), F.sum(words_of(F.col("text"))).alias("words"))

@@ -8,30 +8,25 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.functions import native
+from glyphmill.operators.frames import words_of
 
 
-def read_parquet(spark: SparkSession, path: str, files_at_once: int | None = None) -> DataFrame:
-    """A stream of the Parquet files at path (a folder or one file)."""
-    schema = spark.read.parquet(path).schema
-    reader = spark.readStream.schema(schema)
+def read_parquet(spark: SparkSession, path: str, files_at_once: int | None = None, deal: bool = False) -> DataFrame:
+    """A stream of the Parquet files at path (a folder or one file). With `deal`, rows are
+    dealt out to the shuffle partitions: for files of few, large row groups."""
+    batch = spark.read.parquet(path)
+    reader = spark.readStream.schema(batch.schema)
     if files_at_once:
         reader = reader.option("maxFilesPerTrigger", files_at_once)
-    if path.endswith(".parquet") and not _is_folder(spark, path):
-        folder, _, name = path.rpartition("/")
-        return reader.option("pathGlobFilter", name).parquet(folder)
-    return reader.parquet(path)
-
-
-def _is_folder(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+    folder, _, name = path.rstrip("/").rpartition("/")
+    single = [f.rpartition("/")[2] for f in batch.inputFiles()] == [name]
+    out = reader.option("pathGlobFilter", name).parquet(folder) if single else reader.parquet(path)
+    return out.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))) if deal else out
 
 
 def words_by(stream: DataFrame, *keys: str | Column, text: str = "text") -> DataFrame:
     """Words by keys (also windows of event time on a watermarked stream)."""
-    return stream.groupBy(*keys).agg(F.sum(native.words(F.col(text))).alias("words"))
+    return stream.groupBy(*keys).agg(F.sum(words_of(F.col(text))).alias("words"))
 
 
 def words_over_time(stream: DataFrame, time: str, width: str, late: str, *keys: str, text: str = "text", slide: str | None = None) -> DataFrame:

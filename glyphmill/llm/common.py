@@ -10,12 +10,16 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from glyphmill.operators.spread import input_bytes
 
 M64 = (1 << 64) - 1
 
@@ -25,16 +29,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; where that is unset
-    (single-machine tests), a temporary folder of this process."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(shared_dir, "own", None)
+    """The folder that all executors share: spark.checkpoint.dir; where that is unset and the
+    master is local (tests), a temporary folder of this process. On a cluster it must be set."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or getattr(shared_dir, "own", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share.")
         keep = tempfile.TemporaryDirectory(prefix="glyphmill-")
         atexit.register(keep.cleanup)
         shared_dir.own = found = f"file://{keep.name}"
     return found.rstrip("/")
 
 
+def col(name: str) -> Column:
+    """The column of that name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, written to the shared folder as Parquet and read again: its lineage ends
     there, and a lost executor costs no more than reading the files again."""
@@ -44,12 +55,6 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of df's size. It sets numbers of buckets, never results."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(size, 1 << 50)
-
-
 def buckets(df: DataFrame, factor: float = 1.0, each: int = 16 << 20) -> int:
     """Buckets of about `each` bytes for factor times df's size, at least the
     session's shuffle partitions."""

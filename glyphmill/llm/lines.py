@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import buckets, cut, mix, split_blobs, text_buffers, tidy_group, tidy_map, unused
+from glyphmill.llm.common import buckets, col, cut, mix, split_blobs, text_buffers, tidy_group, tidy_map, unused
 from glyphmill.llm.graph import components, lowest
 from glyphmill.llm.jaccard import PAIRS, Share, shared_enough, tile_pairs
 from glyphmill.llm.shingles import words
@@ -340,23 +340,23 @@ def first_lines(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[new], places(x[~new & ~repeated(x)])
 
 
-def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100, least: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100, least: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs' rows and columns, with text without the lines that repeat earlier ones, and
-    `lines_` and `removed_` (numbers of lines): a line goes if an earlier line, by (doc_id,
-    line number), has Jaccard >= num/den of word sets with it, judged on the input.
+    `lines_` and `removed_` (numbers of lines; with more underscores where docs have columns
+    called so): a line goes if an earlier line, by (doc_id, line number), has Jaccard >=
+    num/den of word sets with it, judged on the input.
 
     Lines are divided by \\n; words are runs without ASCII white space, A-Z lower-cased.
-    Lines with under `least` distinct words always stay and remove nothing; with `least` 1
-    that is blank lines alone. A line without ASCII white space (Chinese, Japanese, Thai)
+    Blank lines always stay; with a larger `least`, all lines under so many distinct words do,
+    and remove nothing. A line without ASCII white space (Chinese, Japanese, Thai)
     is one word, so only its copies go. Null texts stay null, empty ones empty; texts and lines of any length
     are handled whole. A null doc_id counts as larger than all others. Rows with equal
     doc_ids are ordered by a hash of their texts; of fully equal rows each keeps the same
-    lines. Columns called doc, tag, lines_ or removed_ don't clash but for the last two,
-    which are replaced. An empty table gives no rows.
+    lines. Columns of docs called as any used here don't clash. An empty table gives no rows.
     """
     share = Share(num, den)
-    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in (text_col, "lines_", "removed_")), F.lit(0).alias(unused(docs, "none"))).alias("row_")
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).cast("string").alias("text_"), own)
+    own = F.struct(*(col(c) for c in docs.columns if c != text_col), F.lit(0).alias(unused(docs, "none"))).alias("row_")
+    keyed = docs.select(F.coalesce(col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), col(text_col).cast("string").alias("text_"), own)
     unique = keyed.groupBy("doc").count().filter("count > 1").isEmpty()
     keyed = keyed.withColumn("tag", F.lit(0).cast("long") if unique else F.coalesce(F.xxhash64("text_"), F.lit(0)))
     texts = keyed.select("doc", "tag", F.col("text_").alias("text"))
@@ -477,10 +477,10 @@ def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100, least: int = 5,
     joined = with_rows(gone, "left", keyed)
     kept = F.array_join(F.filter(lines, lambda s, i: ~F.array_contains("gone", i.cast("long"))), "\n")
     text = F.when(F.col("gone").isNull(), F.col("text_")).otherwise(kept)
-    columns = [text.alias(c) if c == text_col else F.col("row_")[c].alias(c) for c in docs.columns if c not in ("lines_", "removed_")]
-    return joined.select(*columns, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("lines_"), F.coalesce(F.array_size("gone"), F.lit(0)).cast("long").alias("removed_"))
+    columns = [text.alias(c) if c == text_col else F.col("row_")[c].alias(c) for c in docs.columns]
+    return joined.select(*columns, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(unused(docs, "lines_")), F.coalesce(F.array_size("gone"), F.lit(0)).cast("long").alias(unused(docs, "removed_")))
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept_sha256), with all lines that aren't blank taking part."""
-    return dedup_lines(docs.select("doc_id", "text"), least=1).select("doc_id", F.col("lines_").alias("n_lines"), F.col("removed_").alias("n_removed"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
+    return dedup_lines(docs.select("doc_id", "text")).select("doc_id", F.col("lines_").alias("n_lines"), F.col("removed_").alias("n_removed"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))

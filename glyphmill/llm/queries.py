@@ -96,6 +96,22 @@ WITH RECURSIVE v AS (
 ), n AS (SELECT a AS r, count(*) AS n FROM link GROUP BY a)
 SELECT v.vec_id, coalesce(n.n, 0) AS n_links, low.component_id, v.vec_id IS NOT DISTINCT FROM low.component_id AS kept
 FROM v JOIN low ON low.r = v.r LEFT JOIN n ON n.r = v.r""",
+    # words ordered from the rarest on: sets that reach 0.8 share one of the first ones
+    "op10_line_dedup": r"""
+WITH b AS (SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, text) AS r, doc_id, text FROM documents),
+l AS (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM b WHERE text IS NOT NULL),
+s AS (SELECT r, i, line, list_sort(list_distinct(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'))) AS w FROM l),
+c AS (SELECT row_number() OVER () AS c, w, min((r, i)) AS low FROM s WHERE len(w) > 0 GROUP BY w),
+x AS (SELECT c, len(w) AS n, unnest(w) AS t FROM c),
+k AS (SELECT t, count(*) AS k FROM x GROUP BY t),
+p AS (SELECT c, n, t FROM (SELECT x.c, x.n, x.t, row_number() OVER (PARTITION BY x.c ORDER BY k.k, x.t) AS nth FROM x JOIN k USING (t)) WHERE nth <= n - (4 * n + 4) // 5 + 1),
+d AS (SELECT DISTINCT p.c AS a, q.c AS b FROM p JOIN p q ON p.t = q.t AND p.c < q.c AND 5 * least(p.n, q.n) >= 4 * greatest(p.n, q.n)),
+e AS (SELECT d.a, d.b, ca.low AS la, cb.low AS lb, len(list_intersect(ca.w, cb.w)) AS m, len(ca.w) + len(cb.w) AS n FROM d JOIN c ca ON ca.c = d.a JOIN c cb ON cb.c = d.b),
+f AS (SELECT a AS c, min(lb) AS low FROM e WHERE 5 * m >= 4 * (n - m) GROUP BY a UNION ALL SELECT b, min(la) FROM e WHERE 5 * m >= 4 * (n - m) GROUP BY b),
+g AS (SELECT c.w, least(min(c.low), min(f.low)) AS low FROM c LEFT JOIN f USING (c) GROUP BY c.w),
+h AS (SELECT s.r, s.i, s.line, coalesce(g.low < (s.r, s.i), false) AS gone FROM s LEFT JOIN g ON g.w = s.w),
+t AS (SELECT r, count(*) AS n_lines, count_if(gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS kept FROM h GROUP BY r)
+SELECT b.doc_id, CAST(coalesce(t.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(t.n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(t.kept, '')) AS kept_sha256 FROM b LEFT JOIN t USING (r)""",
     "op9_ngram_jaccard": r"""
 WITH RECURSIVE w AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents

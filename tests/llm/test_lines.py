@@ -18,7 +18,7 @@ def bag(line):
     return frozenset(re.findall(r"[^\x20\x09-\x0D]+", low))
 
 
-def brute(rows, least=5):
+def brute(rows, least=1):
     order = sorted(range(len(rows)), key=lambda i: (1 << 63) - 1 if rows[i][0] is None else rows[i][0])
     seen, out = [], {}
     for i in order:
@@ -106,6 +106,20 @@ def test_lists_lose_no_pair(longest, blocked, paired, monkeypatch):
     assert found > 50
 
 
+@pytest.mark.parametrize("least", [1, 5])
+def test_shortest_lines_that_take_part(spark, least):
+    rows = [(i, "\n".join(" ".join(f"w{(i * k + k) % 11}" for k in range(1, n)) for n in range(1, 9)), 1) for i in range(40)]
+    got = sorted(((r.doc_id, r.text, r.lines_, r.removed_) for r in dedup_lines(spark.createDataFrame(rows, SCHEMA), least=least).collect()), key=str)
+    assert got == brute(rows, least)
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b", "x", 7, "m", None), (2, "A b\nc", "y", 8, "n", None)], "doc_id long, text string, lines_ string, removed_ int, `meta.k` string, doc void")
+    out = dedup_lines(df)
+    assert out.columns == [*df.columns, "lines__", "removed__"]
+    assert sorted(map(tuple, out.collect())) == [(1, "a b", "x", 7, "m", None, 1, 0), (2, "c", "y", 8, "n", None, 2, 1)]
+
+
 def test_empty(spark):
     assert dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
 

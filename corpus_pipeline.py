@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.llm import bpe, jaccard, lines, mixing, toxicity
-from glyphmill.llm.common import cut, table
+from glyphmill.llm.common import col, cut, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: lines that repeat an earlier one go, blank ones apart; every document stays,
     with n_chars as its text now has."""
-    out = lines.dedup_lines(docs, num=80, den=100, least=1).select(docs.columns)
+    out = lines.dedup_lines(docs, num=80, den=100).select(*(col(c) for c in docs.columns))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 

@@ -7,15 +7,21 @@ is that of seven letters, and so on to the base rate, so inflected and compound
 of an offensive stem share its evidence. Rates are taken at a lower confidence bound. Tokens without evidence of their own are one
 pooled category with a small negative score. All maximal-scoring segments of a text
 are found by the linear-time algorithm of Ruzzo and Tompa over its positive tokens and
-the gaps between them. Segment scores are calibrated by extreme-value statistics: with
+the gaps between them: each candidate keeps a pointer to the nearest one before it that
+starts lower, so none is passed twice. Segment scores are calibrated by extreme-value statistics: with
 lambda from the score distribution of clean texts and K from their maxima, a segment
 of score S among n tokens has E = K n exp(-lambda S); a logistic curve over the best
 and the summed excess turns that into a score from 0 to 1.
 
-Bounded fit. The model is fitted on at most `rows` labelled documents, chosen by a
-keyed hash of doc_id, and keeps at most FEATURES features; two halves of them (by
-crc32) count and calibrate. Scoring is one pass over all documents, without exchange.
-Labels, lang, source and doc_id are no inputs of a score.
+Bounded fit. The model is fitted on at most `rows` labelled documents of at most `size`
+bytes together, the first by a keyed hash of doc_id; two thirds of them (by crc32) count,
+one third calibrates. Within that sample nothing is left out: features are counted and
+estimated on the executors, by word beginning, and only those that can score reach the
+driver, as do histograms and three numbers a document for the calibration. Scoring is
+one pass over all documents, without exchange. Labels, lang, source and doc_id are no
+inputs of a score. The negative score of pooled tokens is a chosen scale (a tenth of the
+log share of pooled tokens, at least 0.1), not an estimate: it sets how far apart scored
+tokens of one passage may be.
 """
 
 from __future__ import annotations
@@ -29,11 +35,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from glyphmill.llm.common import cut, slices, tidy_map
+from glyphmill.llm.common import cut, slices, tidy_group, tidy_map
 
-#: Labelled documents that the model is fitted on, at most; features it keeps, at most.
-ROWS, FEATURES = 24_000, 200_000
+#: Labelled documents that the model is fitted on, and their bytes, at most.
+ROWS, SIZE = 24_000, 512 << 20
+#: Steps of a score's unit in the histogram of clean tokens' scores.
+STEPS_A_UNIT = 64
 #: Lengths of word beginnings in the chain of priors, the prior's weight in documents,
 #: and the standard deviations by which a token's rate is taken lower than estimated.
 STEMS, PRIOR, DOUBT = (4, 5, 6, 7, 8), 2.0, 1.64
@@ -42,6 +51,8 @@ LEAST = 1.0
 #: A passage is significant if clean texts of its length hold such a one this rarely.
 SIGNIFICANT = 0.05
 REMEMBERED = 500_000
+#: Groups of word beginnings that are estimated apart.
+GROUPS = 256
 WORD = re.compile(r"\w+")
 
 
@@ -57,34 +68,46 @@ def chain(word: str) -> list[str]:
 
 def segments(positive: list[int], scores: list[float], gap: float) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (first, last token, score) of a sequence whose tokens
-    at `positive` have `scores` and whose others have -gap each. Linear time."""
-    out: list[tuple[int, int, float, float]] = []  # first, last, sum before, sum after
-    stack: list[tuple[int, int, float, float]] = []
+    at `positive` have `scores` and whose others have -gap each. Linear time: `lower` leads
+    from a candidate to the nearest one before it whose sum before is lower (-1: none)."""
+    first: list[int] = []
+    final: list[int] = []
+    before: list[float] = []
+    after: list[float] = []
+    lower: list[int] = []
+    out: list[tuple[int, int, float]] = []
     total, last = 0.0, -1
     for i, s in zip(positive, scores):
         left = total - gap * (i - last - 1)
         total, last = left + s, i
-        item = (i, i, left, total)
-        while stack:
-            n = len(stack) - 1
-            while n >= 0 and stack[n][2] >= item[2]:
-                n -= 1
+        begin, n = i, len(first) - 1
+        while True:
+            while n >= 0 and before[n] >= left:
+                n = lower[n]
             if n < 0:
-                # no earlier segment starts below: what is on the stack is final
-                out += stack
-                stack = []
+                # no earlier candidate starts below: all of them are final
+                out += [(p, q, y - x) for p, q, x, y in zip(first, final, before, after)]
+                for kept in (first, final, before, after, lower):
+                    kept.clear()
                 break
-            if stack[n][3] >= item[3]:
+            if after[n] >= total:
                 break
-            item = (stack[n][0], item[1], stack[n][2], item[3])
-            del stack[n:]
-        stack.append(item)
-    return [(a, b, r - lo) for a, b, lo, r in out + stack]
+            begin, left = first[n], before[n]
+            for kept in (first, final, before, after):
+                del kept[n:]
+            n = lower[n]
+            del lower[len(first) :]
+        first.append(begin)
+        final.append(i)
+        before.append(left)
+        after.append(total)
+        lower.append(n)
+    return out + [(p, q, y - x) for p, q, x, y in zip(first, final, before, after)]
 
 
 @dataclass
 class Model:
-    """Token scores, calibration and curve. Its size is bounded by FEATURES."""
+    """Token scores, calibration and curve. Its size is bounded by that of the sample."""
 
     scores: dict[str, float] = field(default_factory=dict)
     gap: float = 0.1
@@ -155,7 +178,7 @@ def count_features(batches):
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             own: set[str] = set()
             for word in set(WORD.findall(text or "")):
-                own.update(chain(word.lower()[:64]))
+                own.update(chain(word.lower()))
             counts[label].update(own)
             if len(counts[0]) + len(counts[1]) > 400_000:
                 yield rows()
@@ -181,6 +204,13 @@ def estimate(features: dict[str, tuple[int, int]], base: float) -> dict[str, flo
     return out
 
 
+def useful(scores: dict[str, float]) -> dict[str, float]:
+    """Scores that a word can get: those of LEAST or more, and those of forms under such a
+    beginning, which speak against themselves."""
+    marked = {f[:-1] for f, s in scores.items() if s >= LEAST and f.endswith("*")}
+    return {f: s for f, s in scores.items() if s >= LEAST or any(f[:n] in marked for n in STEMS)}
+
+
 def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Ridge logistic regression by Newton's method; x has a column of ones first."""
     w = np.zeros(x.shape[1])
@@ -195,45 +225,75 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def calibrate(model: Model, seen: list[tuple[int, int, list, list]]) -> Model:
-    """Fits decay, rate and curve to (label, tokens, segments, positive scores) rows."""
-    clean = [x for x in seen if not x[0]]
-    positive = np.array([s for x in clean for s in x[3]])
-    tokens = sum(x[1] for x in clean)
-    highest = max(model.scores.values(), default=1.0)
-    weights = np.append(np.ones(len(positive)), 0.5) / (tokens + 1)  # half a token of the highest score, unseen
-    values = np.append(positive, max(highest, LEAST))
+def decay_of(values: np.ndarray, counts: np.ndarray, tokens: int, gap: float, highest: float) -> float:
+    """Karlin and Altschul's lambda of clean text: positive scores with their counts among
+    `tokens`; half a token of the highest score counts as unseen."""
+    weights = np.append(counts, 0.5) / (tokens + 1)
+    values = np.append(values, max(highest, LEAST))
     rest = max(1 - weights.sum(), 1e-9)
     low, high = 1e-3, 20.0
     for _ in range(80):
         mid = (low + high) / 2
-        if (weights * np.exp(np.minimum(mid * values, 300))).sum() + rest * math.exp(-mid * model.gap) > 1:
+        if (weights * np.exp(np.minimum(mid * values, 300))).sum() + rest * math.exp(-mid * gap) > 1:
             high = mid
         else:
             low = mid
-    model.decay = low
-    tops = [(max((s for _, _, s in x[2]), default=0.0), x[1]) for x in clean]
-    model.rate = max(len(tops), 1) / max(sum(max(n, 1) * math.exp(-model.decay * s) for s, n in tops), 1e-9)
-    x = np.array([[1.0, *model.features(f, n)] for _, n, f, _ in seen])
-    y = np.array([float(label) for label, *_ in seen])
+    return low
+
+
+def curve_of(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """Intercept and slopes of a score over (best, total) rows."""
     if 0 < y.sum() < len(y):
-        model.curve = tuple(map(float, logistic(x, y)))
-    else:
-        share = (y.sum() + 0.5) / (len(y) + 1)
-        model.curve = (math.log(share / (1 - share)), 0.0, 0.0)
+        return tuple(map(float, logistic(np.column_stack([np.ones(len(y)), x]), y)))
+    share = (y.sum() + 0.5) / (len(y) + 1)
+    return (math.log(share / (1 - share)), 0.0, 0.0)
+
+
+def calibrate(model: Model, seen: DataFrame) -> Model:
+    """Fits decay, rate and curve to rows (label, n, found, counts): a document's label,
+    tokens, segment scores and histogram of positive token scores."""
+    clean = seen.filter("label = 0")
+    hist = clean.select(F.explode("counts").alias("step", "k")).groupBy("step").agg(F.sum("k").alias("k")).orderBy("step").collect()
+    tokens = clean.agg(F.sum("n")).first()[0] or 0
+    highest = max(model.scores.values(), default=1.0)
+    model.decay = decay_of(np.array([r.step / STEPS_A_UNIT for r in hist]), np.array([r.k for r in hist], float), tokens, model.gap, highest)
+    length = F.greatest("n", F.lit(1))
+    top = F.coalesce(F.array_max("found"), F.lit(0.0))
+    n, below = clean.agg(F.count("*"), F.sum(length * F.exp(-F.lit(model.decay) * top))).first()
+    model.rate = max(n, 1) / max(below or 0.0, 1e-9)
+
+    def features(batches):
+        for batch in batches:
+            rows = [model.features([(0, 0, s) for s in found], n) for found, n in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a for a, _ in rows], pa.float64()), pa.array([b for _, b in rows], pa.float64())], names=["label", "best", "total"])
+
+    rows = seen.select("label", "n", "found").mapInArrow(tidy_map(features), "label int, best double, total double").orderBy("label", "best", "total").toArrow()
+    x = np.column_stack([rows.column(c).to_numpy() for c in ("best", "total")])
+    model.curve = curve_of(x, rows.column("label").to_numpy().astype(float))
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
-    """The model of docs (doc_id, text) and labels (doc_id, toxic), from rows whose crc32
-    remainder isn't 2. Rows with a null label, doc_id or text don't count; of several
-    labels of a document the highest does. Without labels of both kinds, all documents
-    get the base rate."""
+def sampled(docs: DataFrame, labels: DataFrame, rows: int, size: int) -> DataFrame:
+    """(text, toxic, part) of at most `rows` labelled rows of at most `size` bytes, cut."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.least(F.greatest(F.col("toxic").cast("int"), F.lit(0)), F.lit(1)).alias("toxic"))
     known = known.filter(remainder(F.col("doc_id")) != 2).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    sample = cut(texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic", remainder(F.col("doc_id")).alias("part")))
+    found = cut(texts.join(F.broadcast(chosen), "doc_id").withColumns({"order": F.xxhash64("doc_id"), "bytes": F.octet_length("text"), "h": F.xxhash64("text"), "row": F.monotonically_increasing_id()}))
+    # ids may repeat: the rows that the ids gave are bounded, too
+    order = F.struct("order", "doc_id", "h", "row").alias("o")
+    first = found.select(order, "bytes", "row").orderBy("o").limit(rows)
+    upto = F.sum("bytes").over(Window.orderBy("o").rowsBetween(Window.unboundedPreceding, 0))
+    kept = first.withColumn("upto", upto).filter(F.col("upto") <= size).select(F.col("row").alias("kept_row"))
+    return cut(found.join(F.broadcast(kept), F.col("row") == F.col("kept_row")).select("text", "toxic", remainder(F.col("doc_id")).alias("part")))
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, size: int = SIZE) -> Model:
+    """The model of docs (doc_id, text) and labels (doc_id, toxic), from rows whose crc32
+    remainder isn't 2. Rows with a null label, doc_id or text don't count; of several
+    labels of a document the highest does. Without labels of both kinds, all documents
+    get the base rate."""
+    sample = sampled(docs, labels, rows, size)
     base = {r.toxic: r.n for r in sample.filter("part != 3").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     model = Model()
     if base.get(0) and base.get(1):
@@ -241,42 +301,39 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
 
     def look(batches):
         memory = Memory(model)
+        kinds = (pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.map_(pa.int32(), pa.int64()))
         for batch in slices(batches):
             out = []
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found, n = find(text, memory)
-                tokens = [s for s in map(memory.__getitem__, WORD.findall(text)) if s] if found else []
-                out.append((label, n, [float(s) for _, _, s in found], tokens))
+                tokens = Counter(round(s * STEPS_A_UNIT) for s in map(memory.__getitem__, WORD.findall(text)) if s) if found else {}
+                out.append((label, n, [float(s) for _, _, s in found], list(tokens.items())))
             cols = list(zip(*out)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())))], names=["label", "n", "found", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["label", "n", "found", "counts"])
 
-    held = sample.filter("part = 3").select("text", "toxic").mapInArrow(tidy_map(look), "label int, n long, found array<double>, tokens array<double>")
-    seen = [(r.label, r.n, [(0, 0, s) for s in r.found], list(r.tokens)) for r in held.collect()]
-    return calibrate(model, seen)
+    held = sample.filter("part = 3").select("text", "toxic").mapInArrow(tidy_map(look), "label int, n long, found array<double>, counts map<int, long>")
+    return calibrate(model, cut(held))
 
 
 def weigh(sample: DataFrame, base: float) -> Model:
-    """Token scores from the counting part of the sample."""
+    """Token scores from the counting part of the sample. A word and its beginnings share
+    their first letters, so each group of these is estimated by itself."""
     raw = sample.select("text", "toxic").mapInArrow(tidy_map(count_features), "feature string, clean long, toxic long")
-    counts = cut(raw.groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
-    rate = (F.col("toxic") + PRIOR * base) / (F.col("toxic") + F.col("clean") + PRIOR)
-    strong = counts.filter("toxic >= 2").orderBy(rate.desc(), "feature").limit(FEATURES)
-    features = {r.feature: (r.clean, r.toxic) for r in strong.collect()}
-    scores = estimate(features, base)
-    suspect = [f for f, s in scores.items() if s >= LEAST and f.endswith("*")]
-    if suspect:
-        # rarer forms under suspect beginnings, which speak against (or for) themselves
-        stems = sample.sparkSession.createDataFrame([(f[:-1],) for f in suspect], "stem string")
-        word = F.regexp_replace("feature", r"\*$", "")
-        own = counts.filter("toxic < 2").withColumn("word", word).withColumn("stem", F.explode(F.array(*(F.substring("word", 1, n) for n in STEMS)))).filter("length(word) > length(stem)")
-        more = own.join(F.broadcast(stems), "stem").select("feature", "clean", "toxic").distinct().orderBy(F.col("clean").desc(), "feature").limit(FEATURES)
-        features |= {r.feature: (r.clean, r.toxic) for r in more.collect()}
-        scores = estimate(features, base)
-    marked = {f[:-1] for f, s in scores.items() if s >= LEAST and f.endswith("*")}
-    kept = {f: s for f, s in scores.items() if s >= LEAST or any(f[:n] in marked for n in STEMS)}
-    tokens = sum(c + t for f, (c, t) in features.items() if not f.endswith("*")) or 1
-    lost = sum(c + t for f, (c, t) in features.items() if not f.endswith("*") and kept.get(f, 0) < LEAST)
-    return Model(scores=kept, gap=max(0.1, -math.log(max(lost / tokens, 1e-3)) * 0.1))
+    counts = raw.groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    group = F.pmod(F.xxhash64(F.substring("feature", 1, STEMS[0])), F.lit(GROUPS)).alias("group")
+
+    def score_group(table: pa.Table) -> pa.Table:
+        names = table.column("feature").to_pylist()
+        clean, toxic = table.column("clean").to_pylist(), table.column("toxic").to_pylist()
+        kept = useful(estimate({f: (c, t) for f, c, t in zip(names, clean, toxic)}, base))
+        words = [(c + t, kept.get(f, 0) < LEAST) for f, c, t in zip(names, clean, toxic) if not f.endswith("*")]
+        rows = [(f, s, 0, 0) for f, s in kept.items()] + [(None, 0.0, sum(n for n, _ in words), sum(n for n, pooled in words if pooled))]
+        return pa.table({n: pa.array(c, k) for n, c, k in zip(("feature", "score", "words", "pooled"), zip(*rows), (pa.string(), pa.float64(), pa.int64(), pa.int64()))})
+
+    found = cut(counts.select("feature", "clean", "toxic", group).groupBy("group").applyInArrow(tidy_group(score_group), "feature string, score double, words long, pooled long"))
+    words, pooled = found.agg(F.sum("words"), F.sum("pooled")).first()
+    scores = {r.feature: r.score for r in found.filter("feature is not null").select("feature", "score").collect()}
+    return Model(scores=scores, gap=max(0.1, -math.log(max((pooled or 0) / (words or 1), 1e-3)) * 0.1))
 
 
 PASSAGES = "array<struct<start: long, end: long, score: double, expected: double>>"

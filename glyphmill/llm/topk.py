@@ -1,13 +1,15 @@
 """Operator 3: exact top-k inner products over integer vectors by MaxScore.
 
 Method. Dimensions are the query's terms, a shard's column of a dimension its posting
-list. For a block of queries the terms are ordered by what they can contribute, and
-split into essential ones (the leading terms) and non-essential ones: a candidate's
-score is at most its sum over the essential postings plus a bound of the rest, the
-smaller of the terms' own extremes and of the product of the rests' norms. Essential
-postings are traversed for all candidates at once (a matrix product), and the others
-are probed only for candidates still competitive with the query's k-th score so far.
-Every shard gives its best k for each query; they are merged by score and id.
+list, and a term's bound the most that it can add within the shard (the query's weight
+times the list's highest or lowest value). For each query the terms are ordered by
+bound. Non-essential are those of the longest tail whose bounds together stay below the
+query's k-th score so far: what a row gets from them alone can't make it a result. The
+tail grows as that score rises. The essential postings are traversed, and a row whose
+sum and the tail's bound reach the k-th score is a candidate; the others' lists are
+probed for it term by term, some at a time, while it can still reach it. The first part
+of a shard is short, to have a k-th score soon; parts then double. Every shard gives its
+best k for each query; they are merged by score and id.
 
 Scale. Query blocks meet candidate shards by equal tile keys, both packed to blocks of
 bounded size, so no task holds more than two blocks and no row pair is ever emitted.
@@ -26,10 +28,8 @@ from glyphmill.llm.common import blob_batch, cut, tidy_group, tidy_map
 
 #: Most rows of a candidate shard and of a query block.
 SHARD, BLOCK = 1 << 16, 1 << 14
-#: Queries and candidates that are scored at once.
-QUERIES, CHUNK = 256, 4096
-#: Share of the terms' energy that is essential.
-ESSENTIAL = 0.8
+#: Rows of a shard's first part, and of a part at most; terms that are probed at once.
+FIRST, CHUNK, PROBED = 128, 4096, 8
 
 
 def sound(vector: Column) -> Column:
@@ -42,19 +42,19 @@ def record(dim: int, wide: bool) -> np.dtype:
     return np.dtype([("row", "<i8"), ("id", "<i8"), ("known", "u1"), ("x", "<i8" if wide else "<i4", (dim,))])
 
 
-def lowest_of(kind):
-    return -np.inf if np.dtype(kind).kind == "f" else np.iinfo(kind).min
-
-
 class Scorer:
-    """Best k of one shard for blocks of queries."""
+    """Best k of one shard for each query. `postings` counts the values read from posting
+    lists, `pruned` the rows dropped before all of their terms were read."""
 
-    def __init__(self, shard: np.ndarray, k: int):
-        self.k, self.shard = k, shard
+    def __init__(self, shard: np.ndarray, k: int, first: int = FIRST, chunk: int = CHUNK):
+        self.k, self.shard, self.first, self.chunk = k, shard, first, chunk
         x = shard["x"].astype(np.int64)
-        top = int(np.abs(x).max(initial=0))
-        self.x, self.top = x, top
+        self.top = int(np.abs(x).max(initial=0))
+        self.low, self.high = (x.min(0), x.max(0)) if len(x) else (np.zeros(x.shape[1], np.int64),) * 2
+        self.x = x
         self.order_id = np.where(shard["known"] == 1, shard["id"], np.iinfo(np.int64).max)
+        self.postings = self.pruned = 0
+        self.lists: dict = {}
 
     def kind(self, q: np.ndarray):
         """The narrowest type whose sums are exact."""
@@ -65,54 +65,60 @@ class Scorer:
         """(query number, candidate number, score) arrays with the k best of each query."""
         q = queries["x"].astype(np.int64)
         kind = self.kind(q)
-        exact = np.dtype(kind).kind == "i"
-        energy = (q.astype(np.float64) ** 2).mean(0) * ((self.x.astype(np.float64) ** 2).mean(0) if len(self.x) else 1)
-        order = np.argsort(-energy, kind="stable")
-        sums = np.cumsum(energy[order])
-        n = len(order) if exact or not len(order) or not sums[-1] else int(np.searchsorted(sums, ESSENTIAL * sums[-1])) + 1
-        lead, rest = order[:n], order[n:]
-        qa, qb = q[:, lead].astype(kind), q[:, rest].astype(kind)
-        qnorm = np.sqrt((qb.astype(np.float64) ** 2).sum(1)) * (1 + 1e-9)
-        low, high = (self.x[:, rest].min(0), self.x[:, rest].max(0)) if len(self.x) else (np.zeros(len(rest)),) * 2
-        extreme = np.maximum(qb * low, qb * high).sum(1).astype(np.float64) if len(rest) else np.zeros(len(q))
-        floor = np.full(len(q), lowest_of(kind), kind)
-        kept = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, kind))]
-        for at in range(0, len(self.x), CHUNK):
-            part = self.x[at : at + CHUNK]
-            ca, cb = part[:, lead].astype(kind), part[:, rest].astype(kind)
-            s = qa @ ca.T
-            own = queries["row"][:, None] == self.shard["row"][at : at + CHUNK][None, :]
-            i = None
-            if len(rest):
-                if at:
-                    bound = np.minimum(qnorm[:, None] * np.sqrt((cb.astype(np.float64) ** 2).sum(1))[None, :] + 1e-6, extreme[:, None])
-                    i, j = np.nonzero((s + bound >= floor[:, None]) & ~own)
-                if i is None or len(i) > s.size // 8:
-                    s, i = s + qb @ cb.T, None
-                else:
-                    v = s[i, j] + np.einsum("ij,ij->i", qb[i], cb[j])
-                    fine = v >= floor[i]
-                    i, j, v = i[fine], j[fine], v[fine]
-            if i is None:
-                # the chunk's own k-th score is a floor too: few pass it
-                s[own] = lowest_of(kind)
-                if s.shape[1] > self.k:
-                    floor = np.maximum(floor, np.partition(s, s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k])
-                i, j = np.nonzero((s >= floor[:, None]) & ~own)
-                v = s[i, j]
-            i, j, v = (np.concatenate([a, b]) for a, b in zip(kept[0], (i, j + at, v)))
-            order = np.lexsort((self.order_id[j], -v, i))
-            i, j, v = i[order], j[order], v[order]
-            first = np.concatenate(([0], np.flatnonzero(np.diff(i)) + 1)) if len(i) else np.empty(0, np.int64)
-            nth = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
-            last = nth == self.k - 1
-            floor[i[last]] = v[last]
-            few = nth < self.k
-            kept = [(i[few], j[few], v[few])]
-        return kept[0]
-
-
-def search(vectors: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 64.0) -> DataFrame:
+        if kind not in self.lists:
+            self.lists = {kind: np.ascontiguousarray(self.x.T.astype(kind))}
+        bounds = np.maximum(q * self.low, q * self.high)
+        order = np.argsort(-bounds, axis=1, kind="stable")
+        # rest[:, m]: what the terms from the m-th on can add together
+        rest = np.zeros((len(q), q.shape[1] + 1), np.int64)
+        rest[:, :-1] = np.take_along_axis(bounds, order, 1)[:, ::-1].cumsum(1)[:, ::-1]
+        weights = np.take_along_axis(q, order, 1).astype(kind)
+        out = [self.one(weights[i], order[i], rest[i], queries["row"][i], self.lists[kind]) for i in range(len(q))]
+        number = np.repeat(np.arange(len(q)), [len(j) for j, _ in out])
+        none = np.empty(0, np.int64)
+        return number, np.concatenate([none, *(j for j, _ in out)]), np.concatenate([none, *(v for _, v in out)])
+
+    def one(self, weights, order, rest, row, lists) -> tuple[np.ndarray, np.ndarray]:
+        """(candidate numbers, scores) of one query's k best."""
+        n, d = lists.shape[1], len(order)
+        own = np.flatnonzero(self.shard["row"] == row)
+        found, score, floor = np.empty(0, np.int64), np.empty(0, lists.dtype), None
+        at, width = 0, self.first
+        while at < n:
+            part = lists[:, at : at + width]
+            essential = d if floor is None or not (rest < floor).any() else int((rest < floor).argmax())
+            s = weights[:essential] @ part[order[:essential]] if essential else np.zeros(part.shape[1], lists.dtype)
+            self.postings += essential * part.shape[1]
+            if floor is None:
+                rows = np.arange(part.shape[1])
+            else:
+                rows = np.flatnonzero(s + rest[essential] >= floor)
+                s = s[rows]
+                for t in range(essential, d, PROBED):
+                    if not len(rows):
+                        break
+                    more = order[t : t + PROBED]
+                    s = s + weights[t : t + PROBED] @ part[more[:, None], rows]
+                    self.postings += len(more) * len(rows)
+                    able = s + rest[min(t + PROBED, d)] >= floor
+                    rows, s = rows[able], s[able]
+                if essential < d:
+                    self.pruned += part.shape[1] - len(rows)
+            rows = rows + at
+            if len(own):
+                other = ~np.isin(rows, own)
+                rows, s = rows[other], s[other]
+            if len(rows):
+                found, score = np.concatenate([found, rows]), np.concatenate([score, s])
+                best = np.lexsort((self.order_id[found], -score))[: self.k]
+                found, score = found[best], score[best]
+                if len(found) == self.k:
+                    floor = int(score[-1])
+            at, width = at + width, min(2 * width, self.chunk)
+        return found, score.astype(np.int64)
+
+
+def search(vectors: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 64.0, shard: int = SHARD, block: int = BLOCK, first: int = FIRST, chunk: int = CHUNK) -> DataFrame:
     """For each row of vectors where `query` holds, the k rows (not itself) of the highest
     inner product of floor(scale * component), ties to the smaller id: (query_id, rank
     from 1, vec_id, score). All rows, if fewer than k.
@@ -133,8 +139,8 @@ def search(vectors: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id
     n, queries, dim, top = rows.agg(F.count("*"), F.count_if("is_query"), F.max(F.size("x")), F.max(F.greatest(F.abs(F.array_max("x")), F.abs(F.array_min("x"))))).first()
     dim, wide = dim or 0, (top or 0) >= 1 << 31 or (top or 0) < 0
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shards = max(1, -(-n // SHARD), min(parts, n // 2048))
-    blocks = max(1, -(-queries // BLOCK))
+    shards = max(1, -(-n // shard), min(parts, n // 8192))
+    blocks = max(1, -(-queries // block))
     kind = record(dim, wide)
 
     def pack(batches, number: int, copies: int, side: int):
@@ -161,14 +167,10 @@ def search(vectors: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id
 
     def tile(table: pa.Table) -> pa.Table:
         read = lambda s: np.concatenate([np.empty(0, kind), *(np.frombuffer(b, kind) for b, side in zip(table.column("blob").to_pylist(), table.column("side").to_pylist()) if side == s)])
-        shard, asked = read(1), read(0)
-        scorer, out = Scorer(shard, k), []
-        for at in range(0, len(asked), QUERIES):
-            block = asked[at : at + QUERIES]
-            i, j, v = scorer.best(block)
-            out.append((block["row"][i], block["id"][i], shard["id"][j], shard["known"][j] == 0, v.astype(np.int64)))
-        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64)] * 5
-        return pa.table({"row": cols[0], "query_id": cols[1], "vec_id": pa.array(cols[2], pa.int64(), mask=cols[3].astype(bool)), "score": cols[4]})
+        rows, asked = read(1), read(0)
+        i, j, v = Scorer(rows, k, first, chunk).best(asked)
+        out = (asked["row"][i], asked["id"][i], rows["id"][j], rows["known"][j] == 0, v)
+        return pa.table({"row": out[0], "query_id": out[1], "vec_id": pa.array(out[2], pa.int64(), mask=out[3]), "score": out[4]})
 
     best = candidates.union(wanted).groupBy("tile").applyInArrow(tidy_group(tile), "row long, query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("row").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last()))

@@ -2,24 +2,26 @@
 
 What it computes. A byte goes if a string of LENGTH bytes that covers it also starts in
 a document with a smaller id. In terms of the corpus's suffix array, with documents as
-positions: a suffix's longest previous factor follows from the previous and the next
-suffix in order that start in a smaller document; it goes where that factor reaches
-LENGTH, that is, where the run of suffixes with common prefixes >= LENGTH around it
-holds a smaller document.
+positions: a suffix's longest previous factor (LPF) is the longer of its common prefixes
+with the previous and the next suffix in order that start in a smaller document; it goes
+where that reaches LENGTH.
 
 How it is distributed. Only suffixes that agree in LENGTH bytes matter to one another,
-so the array is built in parts that never divide such a run. Every window of LENGTH
-bytes has a content-defined anchor (see anchors.py), and equal windows have equal ones:
+so the array is built in parts that never divide such a run, to a depth of LENGTH bytes
+(equal ones by document). Every window of LENGTH bytes has a content-defined anchor (see
+anchors.py), and equal windows have equal ones:
 1. Each task reduces its texts to anchors: hashes of the anchor's gram and of its
-   context (the union of its windows). Of equal contexts only that of the smallest
-   document leaves the task; the others are known to go. So a passage that a third of
-   all documents hold costs a record for each task, not for each document.
-2. Records meet by gram. Equal contexts (gram and context hashes, over 96 bits): all but
-   the smallest document's go, whole. A gram in one document only is done. What is left
-   are contexts that differ while their grams agree, as at the ends of a repeat.
-3. For those alone the bytes are fetched, keyed by the gram and 17 bytes beside it (left
-   for windows that reach there, else right), and the suffix array of each part gives
-   the longest previous factors exactly.
+   context (the union of its windows). Copies collapse first: of contexts that agree in
+   96 bits of hash only that of the smallest document leaves the task; the others are
+   known to go. So a passage that a third of all documents hold costs a record for each
+   task, not for each document. This is by hash; their bytes aren't compared.
+2. Records meet by gram. Of contexts that agree in those 96 bits all but the smallest
+   document's go, whole. A gram in one document only is done. What is left are contexts
+   that differ while their grams agree, as at the ends of a repeat.
+3. For those the bytes are fetched, keyed by the gram and 17 bytes beside it (left for
+   windows that reach there, else right). Each part is put in suffix order, common
+   prefixes of neighbours follow from their bytes, and previous and next smaller
+   documents, found by jumping along pointers, give the LPF array.
 4. The removed ranges of a document are united and cut from its text.
 Texts are exchanged once (the exchange is reused); all else is a fraction of them.
 """
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm.anchors import anchors
-from glyphmill.llm.common import buckets, cut, mix, read_blobs, slices, text_buffers, tidy_group, tidy_map
+from glyphmill.llm.common import buckets, col, cut, mix, read_blobs, slices, text_buffers, tidy_group, tidy_map
 
 #: Length of a repeat, of an anchor's gram, and of what keys a part beside the gram.
 LENGTH, GRAM, BESIDE = 50, 16, 17
@@ -144,7 +146,7 @@ def gather(docs: DataFrame, length: int, n: int) -> DataFrame:
             owner = np.concatenate([np.empty(0, np.int64), *(h[1] for h in held)])
             order = np.argsort(x["h2"])
             x, owner = x[order], owner[order]
-            new = np.concatenate(([True], x["h2"][1:] != x["h2"][:-1])) if len(x) else np.empty(0, bool)
+            new = np.concatenate(([True], (x["h2"][1:] != x["h2"][:-1]) | (x["h1"][1:] != x["h1"][:-1]))) if len(x) else np.empty(0, bool)
             first = np.flatnonzero(new)
             lowest = np.repeat(np.minimum.reduceat(x["doc"], first), np.diff(np.append(first, len(x)))) if len(x) else x["doc"]
             later = x["doc"] > lowest
@@ -269,19 +271,60 @@ def fetch(batches, length: int, n: int):
         yield rows_batch(rows)
 
 
+def common_prefixes(keys: list[np.ndarray], steps: list[int], length: int, order: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Bytes, `length` at most, that each suffix in order shares with the one before it; 0 at
+    the first of a part. keys hold the 8 bytes at each of `steps` as big-endian integers."""
+    out = np.full(len(order), length, np.int64)
+    for k, at in zip(reversed(keys), reversed(steps)):
+        x = k[order[1:]] ^ k[order[:-1]]
+        differ = np.flatnonzero(x)
+        out[differ + 1] = at + (x[differ].astype(">u8").view(np.uint8).reshape(-1, 8) != 0).argmax(1)
+    out[1:][part[order[1:]] != part[order[:-1]]] = 0
+    out[:1] = 0
+    return out
+
+
+def smaller_before(doc: np.ndarray, shared: np.ndarray, least: int) -> np.ndarray:
+    """For each place, bytes shared with the previous smaller: the nearest place before it
+    with a smaller document (0 if none, or if fewer than `least`). A pointer to the place
+    before is replaced by that one's own pointer until it leads to a smaller document,
+    all at once; `shared` (with the place before) is carried along as a minimum."""
+    to, low = np.arange(len(doc)) - 1, shared.copy()
+    going = np.flatnonzero(to >= 0)
+    while True:
+        going = going[(low[going] >= least) & (low[going] > 0)]
+        going = going[doc[to[going]] >= doc[going]]
+        if not len(going):
+            break
+        via = to[going]
+        low[going], to[going] = np.minimum(low[going], low[via]), to[via]
+        going = going[to[going] >= 0]
+    low[(to < 0) | (low < least)] = 0
+    reached = np.flatnonzero(low)
+    low[reached[doc[to[reached]] >= doc[reached]]] = 0
+    return low
+
+
+def longest_previous_factors(doc: np.ndarray, shared: np.ndarray, least: int = 0) -> np.ndarray:
+    """LPF of each place of a suffix order, from the previous and the next smaller document;
+    values below `least` may come out as 0."""
+    after = np.append(shared[1:], 0)[::-1].copy()
+    return np.maximum(smaller_before(doc, shared, least), smaller_before(doc[::-1], after, least)[::-1])
+
+
 def previous_factors(x: np.ndarray, body: np.ndarray, length: int) -> np.ndarray:
     """Step 3b: removed ranges of the contexts of a bucket, from their suffix array."""
     if not len(x):
         return np.empty(0, RANGE)
     size = x["windows"].astype(np.int64) + length - 1
     begin = np.cumsum(size) - size
-    # parts where no target follows a source can't remove anything
+    # parts where no target follows another document can't remove anything
     order = np.argsort(x["key"], kind="stable")
     x, begin = x[order], begin[order]
     first = np.flatnonzero(np.concatenate(([True], x["key"][1:] != x["key"][:-1])))
     part = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(x))))
-    is_source, is_target = (x["role"] & SOURCE) > 0, (x["role"] & TARGET) > 0
-    least = np.minimum.reduceat(np.where(is_source, x["doc"], NO_ID), first)
+    is_target = (x["role"] & TARGET) > 0
+    least = np.minimum.reduceat(x["doc"], first)
     most = np.maximum.reduceat(np.where(is_target, x["doc"], -NO_ID - 1), first)
     alive = (least < most)[part]
     x, begin, part = x[alive], begin[alive], part[alive]
@@ -299,20 +342,12 @@ def previous_factors(x: np.ndarray, body: np.ndarray, length: int) -> np.ndarray
         eight |= wide[i : len(wide) - 8 + i]
     steps = [*range(0, length - 8, 8), length - 8]
     keys = [eight[at + s] for s in steps]
-    suffixes = np.lexsort([*reversed(keys), part[owner]])
-    # common prefixes of neighbours that reach `length`
-    same = part[owner[suffixes]][1:] == part[owner[suffixes]][:-1]
-    for k in keys:
-        k = k[suffixes]
-        same &= k[1:] == k[:-1]
-    run = np.flatnonzero(np.concatenate(([True], ~same)))
-    own = owner[suffixes]
-    doc = x["doc"][own]
-    source = ((x["role"] & SOURCE) > 0)[own]
-    # a previous or next smaller document within the run is one below its lowest source
-    low = np.repeat(np.minimum.reduceat(np.where(source, doc, NO_ID), run), np.diff(np.append(run, len(own))))
-    gone = np.zeros(len(own), bool)
-    gone[suffixes] = ((x["role"] & TARGET) > 0)[own] & (low < doc)
+    doc, own = x["doc"][owner], part[owner]
+    suffixes = np.lexsort([doc, *reversed(keys), own])
+    shared = common_prefixes(keys, steps, length, suffixes, own)
+    factors = longest_previous_factors(doc[suffixes], shared, length)
+    gone = np.zeros(len(suffixes), bool)
+    gone[suffixes] = (factors >= length) & ((x["role"] & TARGET) > 0)[owner[suffixes]]
     # neighbouring windows of a context make one range
     head = gone & ~np.concatenate(([False], gone[:-1] & (owner[1:] == owner[:-1])))
     tail = gone & ~np.concatenate((gone[1:] & (owner[1:] == owner[:-1]), [False]))
@@ -350,7 +385,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     Other columns are ignored; an empty table gives no rows.
     """
     assert length >= GRAM + 2 * BESIDE, "a window must hold the gram and what keys its part"
-    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    docs = docs.select(F.coalesce(col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
     # where ids repeat, a hash of the text tells their rows apart
     unique = docs.groupBy("doc").count().filter("count > 1").isEmpty()
     tag = F.lit(0).cast("long") if unique else F.xxhash64("text")

@@ -6,7 +6,7 @@ import pytest
 
 from glyphmill.llm import anchors as anchors_module
 from glyphmill.llm.anchors import anchors
-from glyphmill.llm.suffix import RANGE, REQUEST, digests, merged, pack, remove_repeats, unpack
+from glyphmill.llm.suffix import RANGE, REQUEST, common_prefixes, digests, longest_previous_factors, merged, pack, remove_repeats, unpack
 
 SCHEMA = "doc_id long, text string, kept int"
 
@@ -97,5 +97,34 @@ def test_packing_and_merging():
     assert merged(y)[["doc", "start", "end"]].tolist() == [(1, 0, 8), (1, 9, 10), (2, 5, 6)]
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_longest_previous_factors(seed):
+    rng = random.Random(seed)
+    length, steps = 20, [0, 8, 12]
+    pool = ["".join(rng.choices("ab", k=length)).encode() for _ in range(6)]
+    suffixes = []
+    for _ in range(250):
+        w = bytearray(rng.choice(pool))
+        if rng.random() < 0.6:
+            w[rng.randrange(length) :] = bytes(length)
+            w = w[:length]
+        suffixes.append((rng.randrange(2), rng.randrange(1, 40 if seed else 3), bytes(w).ljust(length, b"c")))
+    part, doc = np.array([p for p, *_ in suffixes]), np.array([d for _, d, _ in suffixes])
+    keys = [np.array([int.from_bytes(w[s : s + 8], "big") for *_, w in suffixes], np.uint64) for s in steps]
+    order = np.lexsort([doc, *reversed(keys), part])
+    got = np.empty(len(order), np.int64)
+    shared = common_prefixes(keys, steps, length, order, part)
+    got[order] = longest_previous_factors(doc[order], shared)
+
+    def common(a, b):
+        return next((i for i in range(length) if a[i] != b[i]), length)
+
+    for n, (p, d, w) in enumerate(suffixes):
+        assert got[n] == max((common(w, v) for q, e, v in suffixes if q == p and e < d), default=0)
+    whole = np.empty(len(order), np.int64)
+    whole[order] = longest_previous_factors(doc[order], shared, length)
+    assert ((whole >= length) == (got >= length)).all() and (got >= length).any() and ((got > 0) & (got < length)).any()
+
+
 def test_empty(spark):
     assert digests(spark.createDataFrame([], SCHEMA)).count() == 0

@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from glyphmill.llm import bpe, chat, jaccard, lines, mixing, neardup, secrets, suffix, topk, toxicity
 from glyphmill.llm.common import table
@@ -51,10 +52,24 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_topk_maxscore, op4_bpe_roundtrip, op5_embedding_near_dedup, op6_quotation_linking, op7_source_mixing, op8_secret_scan, op9_ngram_jaccard, op10_line_dedup)}
+def quoted_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op6 on mail made of the conversations, which quote nothing themselves: each message
+    quotes the one before it and, one level deeper, the one before that."""
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    quote = lambda text, mark: F.concat(F.lit(mark), F.replace(text, F.lit("\n"), F.lit("\n" + mark)), F.lit("\n"))
+    rows = table(spark, sf_dir, "conversations").withColumns({"one": F.lag("text").over(before), "two": F.lag("text", 2).over(before)})
+    mail = F.concat(F.coalesce(F.concat(F.lit("B wrote:\n"), F.coalesce(F.concat(F.lit("> A wrote:\n"), quote(F.col("two"), "> > ")), F.lit("")), quote(F.col("one"), "> "), F.lit("\n")), F.lit("")), "text")
+    return chat.linked_conversations(rows.withColumn("text", mail)).withColumn("parent_turn", F.coalesce("parent_turn", F.lit(-1)))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_topk_maxscore, op4_bpe_roundtrip, op5_embedding_near_dedup, op6_quotation_linking, op7_source_mixing, op8_secret_scan, op9_ngram_jaccard, op10_line_dedup, quoted_replies)}
 
 #: DuckDB SQL for the queries that SQL can express.
+MAIL = """(SELECT conv_id, turn, role, coalesce('B wrote:' || chr(10) || coalesce('> A wrote:' || chr(10) || '> > ' || replace(two, chr(10), chr(10) || '> > ') || chr(10), '')
+  || '> ' || replace(one, chr(10), chr(10) || '> ') || chr(10) || chr(10), '') || text AS text
+  FROM (SELECT *, lag(text) OVER w AS one, lag(text, 2) OVER w AS two FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)))"""
 ORACLE_SQL: dict[str, str] = {
+    "quoted_replies": f"SELECT * REPLACE (coalesce(parent_turn, -1) AS parent_turn) FROM ({chat.ORACLE.replace('FROM conversations', 'FROM ' + MAIL)})",
     "op6_quotation_linking": f"SELECT * REPLACE (coalesce(parent_turn, -1) AS parent_turn) FROM ({chat.ORACLE})",
     "op2_suffix_dedup": """
 WITH b AS (

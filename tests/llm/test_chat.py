@@ -23,6 +23,12 @@ ROWS = [
     (4, 7, "user", "> later text", "x"),
     (4, 8, "user", "later text", "x"),
     (4, 9, "user", "later text\n" + "> later text\n" * 3000, "x"),
+    (6, 0, "user", "A passage of\nseveral lines that is\nquoted whole.\n\nThanks", "x"),
+    (6, 1, "assistant", "Another one.\n\nThanks", "x"),
+    (6, 2, "user", "> A passage of several\n> lines   that is quoted whole.\n>\n> Thanks\nwrapped anew", "x"),
+    (6, 3, "user", "> several lines that is\n> not a line of it\npart of it", "x"),
+    (6, 4, "user", "x" * 700 + " wrote:\n> wrapped anew\na long line of addressees", "x"),
+    (6, 5, "user", "> WRAPPED\n> anew\n> > several lines that is\n> Thanks\n\x01\n>\x02 part\tof it", "x"),
 ] + [(5, i, "user", (f"> line {i - 1} of the chain\n" if i else "") + f"line {i} of the chain", "x") for i in range(40)]
 NAMES = ["conv_id", "turn", "role", "text", "parent_turn", "thread_turn", "depth", "n_quoted", "n_linked", "chat"]
 
@@ -36,6 +42,10 @@ def test_links_and_texts(spark):
     assert got[2, 0].parent_turn is None and got[2, 0].text == "other conversation"
     assert got[4, 7].parent_turn is None and got[4, 9].n_linked == 3000 and got[4, 9].parent_turn == 8
     assert (got[5, 39].depth, got[5, 39].thread_turn) == (39, 0)
+    assert (got[6, 2].parent_turn, got[6, 2].n_quoted, got[6, 2].n_linked) == (0, 3, 3)
+    assert (got[6, 3].parent_turn, got[6, 3].n_linked) == (0, 1)
+    assert (got[6, 4].parent_turn, got[6, 4].text) == (2, "a long line of addressees")
+    assert (got[6, 5].parent_turn, got[6, 5].n_quoted, got[6, 5].n_linked) == (2, 5, 5)
     assert got[3, 1].text.startswith("a > b") and got[3, 2].text == ""
 
 

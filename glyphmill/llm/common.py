@@ -160,3 +160,29 @@ def unused(df: DataFrame, name: str) -> str:
     while name in taken:
         name += "_"
     return name
+
+
+def numbered(df: DataFrame, order: Column) -> DataFrame:
+    """df with `nth` (a name that df must not have), its rows' numbers from 0 in the given order: ranges are sorted
+    apart, and only their row counts meet on the driver."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part_, at_ = unused(df, "part"), unused(df, "at")
+
+    def number(batches):
+        from pyspark import TaskContext
+
+        part, at = TaskContext.get().partitionId(), 0
+        for b in batches:
+            n = b.num_rows
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([part] * n, pa.int32()), pa.array(range(at, at + n), pa.int64())], names=[*b.schema.names, part_, at_])
+            at += n
+
+    fields = ", ".join("`" + n.replace("`", "``") + f"` {t}" for n, t in df.dtypes)
+    rows = cut(df.repartitionByRange(parts, order).sortWithinPartitions(order).mapInArrow(tidy_map(number), f"{fields}, {part_} int, {at_} long"))
+    starts, total = [], 0
+    for r in sorted(rows.groupBy(part_).count().collect()):
+        starts += [F.lit(r[part_]), F.lit(total)]
+        total += r["count"]
+    if not starts:
+        return rows.select(*(col(c) for c in df.columns), F.col(at_).alias("nth"))
+    return rows.select(*(col(c) for c in df.columns), (F.col(at_) + F.create_map(*starts)[F.col(part_)]).alias("nth"))

@@ -4,8 +4,9 @@ Method. A document is the set of its word shingles (64-bit hashes), ordered rare
 first. Two sets of sizes n and m reach Jaccard t only if they share T = ceil(t/(1+t) *
 (n + m)) shingles, so each must show one among its first n - ceil(t n) + 1. These
 prefixes give candidates; the search itself is T-occurrence: with the inverted lists
-of a block of documents, a query's longest lists are set aside, the others are merged,
-documents found often enough there are probed for in the long lists by binary search,
+of a block of documents, a query's longest lists are set aside, the others are merged
+(by a merge sort of lists that ascend, which gives what a heap would), documents found
+often enough there are probed for in the long lists by binary search,
 and those that reach the required overlap are kept. Overlaps are exact counts.
 
 How it scales.
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import blob_batch, buckets, cut, mix, read_blobs, split_blobs, text_buffers, tidy_group, tidy_map, unused
+from glyphmill.llm.common import blob_batch, buckets, col, cut, mix, numbered, read_blobs, split_blobs, text_buffers, tidy_group, tidy_map, unused
 from glyphmill.llm.graph import components, lowest
 from glyphmill.llm.shingles import shingle_sets
 
@@ -42,8 +43,9 @@ PAIRED = 32
 HELD, BLOCK_DOCS, BLOCK_SHINGLES = 1_000_000, 2048, 1_000_000
 #: Shingles of a tile's block up to which it shares a task call with other tiles.
 SMALL_TILE = 200_000
-#: Most bits of the filter that spares the third reading most documents.
-FILTER_BITS = 1 << 28
+#: Most bits of the filter that spares the third reading most documents, a document's bits
+#: in it, and bits of a part of it that a task sends as one blob.
+FILTER_BITS, EACH, PAGE = 1 << 28, 16, 1 << 20
 
 COUNTS = np.dtype([("h", "<u8"), ("n", "<u4")])
 PREFIX = np.dtype([("h", "<u8"), ("node", "<i8"), ("n", "<u4")])
@@ -293,18 +295,22 @@ class Index:
         typical = max(1, int(length[len(length) // 2]))
         aside = min(least - 1, int((length > 16 * typical).sum()))
         steps = np.repeat(a[aside:] - np.concatenate(([0], np.cumsum(length[aside:])[:-1])), length[aside:])
-        merged = self.owner[steps + np.arange(len(steps))]
-        count = np.bincount(merged, minlength=len(self.sizes))[first:last]
-        need = share.overlap(n, self.sizes[first:last])
-        near = np.flatnonzero(count >= np.maximum(need - aside, 1))
+        # the short lists ascend, so a stable sort merges them; equal neighbours are counted
+        merged = np.sort(self.owner[steps + np.arange(len(steps))], kind="stable")
+        head = np.flatnonzero(np.concatenate(([True], merged[1:] != merged[:-1]))) if len(merged) else merged
+        near, count = merged[head], np.diff(np.append(head, len(merged)))
+        need = share.overlap(n, self.sizes[near])
+        fine = (near >= first) & (near < last) & (count >= np.maximum(need - aside, 1))
+        near, count, need = near[fine], count[fine], need[fine]
         for i in range(aside):
             if not len(near):
                 break
             long = self.owner[a[i] : b[i]]
-            p = np.searchsorted(long, near + first)
-            count[near] += (p < len(long)) & (long[np.minimum(p, len(long) - 1)] == near + first)
-            near = near[count[near] + (aside - i - 1) >= need[near]]
-        return near[count[near] >= need[near]] + first
+            p = np.searchsorted(long, near)
+            count += (p < len(long)) & (long[np.minimum(p, len(long) - 1)] == near)
+            fine = count + (aside - i - 1) >= need
+            near, count, need = near[fine], count[fine], need[fine]
+        return near[count >= need]
 
 
 def tile_links(nodes_a, copies_a, sets_a, nodes_b, copies_b, sets_b, share: Share):
@@ -344,36 +350,69 @@ def tile_pairs(one, two, sets, share: Share):
             yield np.full(len(found), i), one[found]
 
 
-def wanted_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(s1, s2, n, shingles) of the documents in wanted.low_doc, and of some others."""
-    n = max(1, wanted.count())
-    size = min(FILTER_BITS, 1 << max(10, (16 * n).bit_length()))
-    bits = np.zeros(size // 8, np.uint8)
+def set_rows(batches, width: int):
+    """Batches whose second column is a text -> (s1, s2, n, shingles) of those with shingles."""
+    for batch in batches:
+        rows = [(*key_of(x), len(x), x.tobytes()) for x in shingle_sets(*text_buffers(batch.column(1)), width) if len(x)]
+        cols = list(zip(*rows)) or [[], [], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:3]] + [pa.array(cols[3], pa.binary())], names=["s1", "s2", "n", "shingles"])
+
 
-    def places(batches):
+def id_filter(wanted: DataFrame, size: int) -> np.ndarray:
+    """A filter of `size` bits with those of wanted.low_doc set, packed. Executors pack and
+    unite its pages, so what reaches the driver is its size / 8 bytes at most."""
+    page = min(PAGE, size)
+
+    def pages(batches):
+        own = np.zeros(size // 8, np.uint8)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(number(b.column(0), size)))], names=["place"])
+            place = number(b.column(0), size)
+            np.bitwise_or.at(own, place >> 3, (1 << (place & 7)).astype(np.uint8))
+        each = own.reshape(-1, page // 8)
+        some = np.flatnonzero(each.any(1)).tolist()
+        yield blob_batch([(i, pa.compress(each[i].tobytes(), codec="zstd", asbytes=True)) for i in some], ("page", "blob"))
+
+    def unite(table: pa.Table) -> pa.Table:
+        bits = np.zeros(page // 8, np.uint8)
+        for blob in table.column("blob").to_pylist():
+            bits |= np.frombuffer(pa.decompress(blob, page // 8, codec="zstd", asbytes=True), np.uint8)
+        return pa.table({"page": table.column("page").slice(0, 1), "blob": pa.array([bits.tobytes()], pa.binary())})
+
+    bits = np.zeros(size // 8, np.uint8)
+    found = wanted.select("low_doc").mapInArrow(tidy_map(pages), "page long, blob binary").groupBy("page").applyInArrow(tidy_group(unite), "page long, blob binary")
+    for r in found.toLocalIterator():
+        bits[r.page * (page // 8) : (r.page + 1) * (page // 8)] = np.frombuffer(r.blob, np.uint8)
+    return bits
 
-    for b in wanted.select("low_doc").mapInArrow(tidy_map(places), "place long").distinct().toArrow().to_batches():
-        place = b.column(0).to_numpy()
-        np.bitwise_or.at(bits, place >> 3, (1 << (place & 7)).astype(np.uint8))
-    held = docs.sparkSession.sparkContext.broadcast(bits)
+
+def wanted_sets(docs: DataFrame, wanted: DataFrame, width: int, most: int = FILTER_BITS) -> DataFrame:
+    """(s1, s2, n, shingles) of the documents in wanted.low_doc, and of some others. Where a
+    filter of `most` bits is enough to tell them, it is broadcast; else the texts are
+    joined with the ids, so that no more than the wanted ones leave a task as sets."""
+    n = max(1, wanted.count())
+    if EACH * n > most:
+        ids = wanted.select(F.coalesce("low_doc", F.lit(-(1 << 62))).alias("low")).distinct()
+        held = docs.join(ids.hint("shuffle_hash"), F.coalesce("doc_id", F.lit(-(1 << 62))) == F.col("low"), "left_semi")
+        return held.mapInArrow(tidy_map(lambda batches: set_rows(batches, width)), "s1 long, s2 long, n long, shingles binary")
+    size = 1 << max(10, (EACH * n - 1).bit_length())
+    held = docs.sparkSession.sparkContext.broadcast(id_filter(wanted, size))
 
     def run(batches):
         known = held.value
-        for batch in batches:
-            place = number(batch.column(0), size)
-            batch = batch.filter(pa.array((known[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)))
-            if not batch.num_rows:
-                continue
-            rows = [(*key_of(x), len(x), x.tobytes()) for x in shingle_sets(*text_buffers(batch.column(1)), width) if len(x)]
-            cols = list(zip(*rows)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:3]] + [pa.array(cols[3], pa.binary())], names=["s1", "s2", "n", "shingles"])
+
+        def asked():
+            for batch in batches:
+                place = number(batch.column(0), size)
+                batch = batch.filter(pa.array((known[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)))
+                if batch.num_rows:
+                    yield batch
+
+        yield from set_rows(asked(), width)
 
     return docs.mapInArrow(tidy_map(run), "s1 long, s2 long, n long, shingles binary")
 
 
-def similar(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, id_col: str = "doc_id", text_col: str = "text", paired: int = PAIRED) -> DataFrame:
+def similar(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, id_col: str = "doc_id", text_col: str = "text", paired: int = PAIRED, filter_bits: int = FILTER_BITS) -> DataFrame:
     """For every row: (doc_id, n_shingles, n_similar, component_id) by Jaccard >= num/den
     of the sets of shingles of `width` words; words are runs without ASCII white space,
     A-Z lower-cased; of fewer words, the whole sequence is the one shingle.
@@ -385,7 +424,7 @@ def similar(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, id_c
     empty table gives no rows.
     """
     share = Share(num, den)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
     n_buckets = buckets(docs, factor=1.2, each=8 << 20)
     first = cut(signatures(docs, width, n_buckets))
     rows = first.filter("n is not null").select("doc_id", "n", "s1", "s2")
@@ -415,7 +454,7 @@ def similar(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, id_c
     tiles = cut(tiles.withColumn("task", F.when(F.col("large"), -1 - F.col("tile")).otherwise(F.pmod(F.xxhash64("tile"), F.lit(n_buckets)))).drop("large"))
     sides = tiles.select(F.col("ba").alias("b"), "tile", "task", F.lit(0).alias("side")).union(tiles.filter("ba != bb").select("bb", "tile", "task", F.lit(1)))
     work = members.join(blocks.select("cluster", "block", "part", "b"), ["cluster", "block", "part"]).join(sides, "b")
-    sets = wanted_sets(docs, clustered, width).dropDuplicates(["s1", "s2", "n"])
+    sets = wanted_sets(docs, clustered, width, filter_bits).dropDuplicates(["s1", "s2", "n"])
     tasks = work.select("s1", "s2", "n", "node", "copies", "tile", "task", "side").join(sets, ["s1", "s2", "n"])
 
     def tile(table: pa.Table) -> pa.Table:
@@ -450,13 +489,18 @@ def similar(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, id_c
 
 def representatives(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs' rows, with all their columns, of which each component of similar() keeps one:
-    that of the smallest doc_id. Equal rows of one doc_id count once; other rows that share
-    a doc_id share its fate, and so do all rows without one: they stay if any of them has
-    no similar row with a doc_id. Rows without shingles stay."""
+    that of the smallest id; of rows with equal ids the first by a hash of their columns.
+    Rows without an id come after all others, and are rows of their own. Rows without
+    shingles stay."""
     name = unused(docs, "kept_doc")
-    repeated = docs.groupBy(id_col).count().filter("count > 1")
-    if not repeated.isEmpty():
-        docs = docs.dropDuplicates([id_col, text_col])
-    found = similar(docs, num, den, width, id_col, text_col)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept[name]), "left_semi")
+    repeated = not docs.groupBy(col(id_col)).count().filter(f"count > 1 or {'`' + id_col + '`'} is null").isEmpty()
+    if not repeated:
+        found = similar(docs, num, den, width, id_col, text_col)
+        kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(name))
+        return docs.join(kept, col(id_col).cast("long") == F.col(name), "left_semi")
+    order = F.struct(col(id_col).isNull(), col(id_col), F.xxhash64(*(col(c) for c in docs.columns)))
+    own = F.struct(*(col(c) for c in docs.columns)).alias("row_")
+    rows = cut(numbered(docs.select(own, order.alias("order_")), F.col("order_")).select("row_", "nth", F.col("row_")[text_col].alias("text")))
+    found = similar(rows.select("nth", "text"), num, den, width, "nth", "text")
+    kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_"))
+    return rows.join(kept, F.col("nth") == F.col("kept_"), "left_semi").select(*(F.col("row_")[c].alias(c) for c in docs.columns))

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from glyphmill.llm.common import col, cut, input_bytes, tidy_group, tidy_map
+from glyphmill.llm.common import col, cut, input_bytes, numbered, tidy_group
 
 #: Words a block holds about, and sources that are a group of the tree's first level.
 BLOCK_WORDS, STRATA = 1 << 16, 4096
@@ -54,31 +54,6 @@ def place_of(doc_id: Column, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(doc_id, F.lit(seed).cast("long")), 64 - BITS)
 
 
-def numbered(df: DataFrame, order: Column) -> DataFrame:
-    """df with `nth`, its rows' numbers from 0 in the given order: ranges are sorted
-    apart, and only their row counts meet on the driver."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def number(batches):
-        from pyspark import TaskContext
-
-        part, at = TaskContext.get().partitionId(), 0
-        for b in batches:
-            n = b.num_rows
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([part] * n, pa.int32()), pa.array(range(at, at + n), pa.int64())], names=[*b.schema.names, "part", "at"])
-            at += n
-
-    fields = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
-    rows = cut(df.repartitionByRange(parts, order).sortWithinPartitions(order).mapInArrow(tidy_map(number), f"{fields}, part int, at long"))
-    starts, total = [], 0
-    for r in sorted(rows.groupBy("part").count().collect()):
-        starts += [F.lit(r["part"]), F.lit(total)]
-        total += r["count"]
-    if not starts:
-        return rows.select(*df.columns, F.col("at").alias("nth"))
-    return rows.select(*df.columns, (F.col("at") + F.create_map(*starts)[F.col("part")]).alias("nth"))
-
-
 def level(sources: DataFrame, share: float, most: float) -> float:
     """Words a unit of weight gets once no target is above `most` times its source."""
     over = lambda x: F.col("weight") * F.lit(x) > F.col("source_size") * F.lit(most)

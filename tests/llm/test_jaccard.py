@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from glyphmill.llm import jaccard
@@ -61,15 +62,15 @@ def corpus(seed, n=260):
     return [(i, t, 1) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("paired,block", [(32, 2048), (2, 7)])
-def test_equals_brute_force(spark, paired, block, monkeypatch):
+@pytest.mark.parametrize("paired,block,bits", [(32, 2048, 1 << 28), (2, 7, 16)])
+def test_equals_brute_force(spark, paired, block, bits, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK_DOCS", block)
     monkeypatch.setattr(jaccard, "SMALL_TILE", 50 * block)
     rows = corpus(paired)
     base = " ".join(f"w{i}" for i in range(80))
     rows += [(3000 + i, base + f" x{i}", 1) for i in range(40)] + [(4000 + i, rows[5][1], 1) for i in range(50)]
     rows += [(None, rows[5][1].upper().replace("É", "É"), 1), (5000, None, 1), (5001, "", 1), (5002, " \t\n", 1), (5003, "one Two", 1), (5004, "ONE\ttwo", 1), (7, "again", 1), (7, base, 1), (5005, "z " * 60_000, 1), (5006, "z " * 6, 1)]
-    got = sorted((tuple(r) for r in similar(spark.createDataFrame(rows, SCHEMA).repartition(3), paired=paired).collect()), key=str)
+    got = sorted((tuple(r) for r in similar(spark.createDataFrame(rows, SCHEMA).repartition(3), paired=paired, filter_bits=bits).collect()), key=str)
     assert got == brute(rows)
 
 
@@ -86,6 +87,14 @@ def test_search_probes_long_lists():
         assert index.search(x, share, 0, len(sets)).tolist() == want
 
 
+def test_filter_holds_all_ids(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "PAGE", 256)
+    df = spark.range(0, 3000, 7).selectExpr("id AS low_doc").union(spark.createDataFrame([(None,)], "low_doc long")).repartition(5)
+    bits = np.unpackbits(jaccard.id_filter(df, 1 << 14), bitorder="little")
+    want = np.unique(jaccard.number(pa.array([*range(0, 3000, 7), None], pa.int64()), 1 << 14))
+    assert np.flatnonzero(bits).tolist() == want.tolist()
+
+
 def test_empty(spark):
     assert similar(spark.createDataFrame([], SCHEMA)).count() == 0
 
@@ -96,4 +105,12 @@ def test_representatives_keep_rows_and_columns(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, kept_doc string")
     got = jaccard.representatives(df)
     assert got.columns == df.columns
-    assert sorted((r.kept_doc for r in got.collect())) == ["b", "c", "d", "e", "f", "g"]
+    assert sorted((r.kept_doc for r in got.collect())) == ["b", "c", "e", "f", "g"]
+
+
+def test_one_row_of_each_group_stays_though_ids_repeat(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(4, text, "a"), (4, text + " y", "b"), (4, other, "c"), (None, text + " z", "d"), (None, other, "e"), (None, "alone " * 9, "f"), (3, "alone " * 9, "g"), (None, None, "h"), (None, None, "h")]
+    got = sorted(r["k.x"] for r in jaccard.representatives(spark.createDataFrame(rows, "doc_id long, text string, `k.x` string")).collect())
+    assert len(got) == 5 and got[0] in "ab" and got[1:] == ["c", "g", "h", "h"]

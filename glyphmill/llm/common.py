@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glyphmill.operators.spread import input_bytes
 
@@ -177,8 +178,8 @@ def numbered(df: DataFrame, order: Column) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([part] * n, pa.int32()), pa.array(range(at, at + n), pa.int64())], names=[*b.schema.names, part_, at_])
             at += n
 
-    fields = ", ".join("`" + n.replace("`", "``") + f"` {t}" for n, t in df.dtypes)
-    rows = cut(df.repartitionByRange(parts, order).sortWithinPartitions(order).mapInArrow(tidy_map(number), f"{fields}, {part_} int, {at_} long"))
+    fields = T.StructType([*df.schema.fields, T.StructField(part_, T.IntegerType()), T.StructField(at_, T.LongType())])
+    rows = cut(df.repartitionByRange(parts, order).sortWithinPartitions(order).mapInArrow(tidy_map(number), fields))
     starts, total = [], 0
     for r in sorted(rows.groupBy(part_).count().collect()):
         starts += [F.lit(r[part_]), F.lit(total)]

@@ -6,6 +6,7 @@ import datetime
 import json
 import os
 import sys
+import time
 import uuid
 from pathlib import Path
 
@@ -57,6 +58,30 @@ def events(decisions: DataFrame) -> DataFrame:
     return decisions.select(F.to_json(body).alias("value"))
 
 
+class Progress:
+    """Progress on a terminal (one line, rewritten) or as lines; nothing for a single file."""
+
+    def __init__(self, total: int, mode: str = "auto", keep: bool = False, stream=None):
+        self.stream, self.total, self.keep = stream or sys.stderr, total, keep
+        self.tty = bool(getattr(self.stream, "isatty", bool)())
+        self.shown = total > 1 and (mode == "on" or mode == "auto" and self.tty)
+        self.done, self.began, self.tenth = 0, time.monotonic(), -1
+
+    def step(self, n: int = 1) -> None:
+        self.done += n
+        tenth = 10 * self.done // max(1, self.total)
+        if self.shown and (self.tty or tenth > self.tenth):
+            self.tenth = tenth
+            self.write(progress(self.done, self.total, time.monotonic() - self.began))
+
+    def write(self, line: str) -> None:
+        print("\r" + line if self.tty else line, end="" if self.tty else "\n", file=self.stream, flush=True)
+
+    def close(self) -> None:
+        if self.shown and self.tty:
+            print("" if self.keep else "\r\x1b[2K", end="\n" if self.keep else "", file=self.stream, flush=True)
+
+
 def progress(done: int, total: int, seconds: float) -> str:
     """A bar of 20 cells with counts and the time taken."""
     share = 1.0 if total == 0 else min(1.0, done / total)
@@ -65,9 +90,23 @@ def progress(done: int, total: int, seconds: float) -> str:
     return f"[{'█' * cells}{'░' * (20 - cells)}] {share * 100:5.1f}% {done}/{total} {int(minutes):02d}:{rest:04.1f}"
 
 
+def limits(cpus: int | None = None) -> dict[str, int]:
+    """Cores, and partitions that serve them."""
+    cpus = cpus or os.cpu_count() or 1
+    return {"cpuLimit": cpus, "suggestedMaxJobs": 4 * cpus}
+
+
 def partitions_advice(requested: int | None, cpus: int | None = None) -> tuple[int, str | None]:
     """(partitions to use, a warning if more were asked for than a machine of cpus serves)."""
-    limit = 4 * (cpus or os.cpu_count() or 1)
+    limit = limits(cpus)["suggestedMaxJobs"]
     if requested is None or requested <= limit:
         return requested or limit, None
     return limit, f"requested {requested} partitions; using {limit}"
+
+
+def resource_advice(error: Exception, jobs: int) -> str | None:
+    """What to do about an error of too many open files; None for other errors."""
+    text = str(error)
+    if not any(x in text for x in ("Too many open files", "EMFILE", "ENFILE")):
+        return None
+    return f"Too many open files at {jobs} partitions; {limits()['suggestedMaxJobs']} are suggested. Lower --jobs or raise the system's limit of open files."

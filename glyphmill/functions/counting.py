@@ -114,7 +114,8 @@ def merge(results: list[Result]) -> Result:
             own = by.setdefault(i.locale, Item(i.locale))
             if i.words is not None:
                 own.words = (own.words or 0) + i.words
-                own.segments = (own.segments or []) + (i.segments or [])
+                if i.segments is not None:
+                    own.segments = (own.segments or []) + i.segments
             if i.chars is not None:
                 own.chars = (own.chars or 0) + i.chars
             if i.non_words is not None:
@@ -147,6 +148,14 @@ def base_output(result: Result) -> Result:
     return Result(result.counts["words"], result.mode, items)
 
 
+def without_segments(result: Result) -> Result:
+    """A collector's result without its words, for outputs that don't show them."""
+    if result.mode != "collector":
+        return result
+    items = [Item(i.locale, i.text, i.words, i.chars, None, i.non_words) for i in result.items]
+    return Result(result.total, result.mode, items, result.counts, result.non_words)
+
+
 def as_dict(result: Result) -> dict:
     """The result as its JSON form has it: what wasn't collected is absent."""
     items = []

@@ -157,6 +157,8 @@ class Decision:
     path: str
     final_tag: str
     reason: str | None
+    #: Locales of the chunks that a fallback becomes.
+    final_locales: tuple[str, ...] = ()
 
 
 def decide(chunks: list[Chunk], gate: str = "default", engine: Callable[[str], Guess | None] = identify) -> list[Decision]:
@@ -206,6 +208,7 @@ def detect(text: str, options: CountOptions = CountOptions(), gate: str = "defau
     before = segment(text, deferred(options))
     decisions = decide(before, gate, engine)
     taken = {d.chunk: d for d in decisions if d.accepted}
+    asked = {d.chunk: d for d in decisions}
     rules_only = replace(options, latin_language_hint=None, latin_tag_hint=None, latin_locale_hint=None)
     out: list[Chunk] = []
     for at, c in enumerate(before):
@@ -215,12 +218,45 @@ def detect(text: str, options: CountOptions = CountOptions(), gate: str = "defau
         elif d:
             out.append(replace(c, locale=d.final_tag))
         elif c.locale == DEFAULT_LATIN:
-            out += segment(c.text, options)
+            pieces = segment(c.text, options)
+            locales = tuple(dict.fromkeys(p.locale for p in pieces))
+            asked[at].final_locales = locales
+            out += pieces
         else:
             out.append(c)
     return unite(out), decisions
 
 
+def count_traced(text: str, options: CountOptions = CountOptions(), gate: str = "default", engine: Callable[[str], Guess | None] = identify) -> tuple[Result, list[Decision]]:
+    """(counts over detected chunks, the decisions behind them)."""
+    chunks_, decisions = detect(text, options, gate, engine)
+    return shape(chunks_, options), decisions
+
+
+def counters(decisions: list[Decision]) -> dict[str, int]:
+    """Windows by route, acceptances by path and fallbacks by reason, of one text."""
+    out: dict[str, int] = {"windows": len(decisions)}
+    for d in decisions:
+        for name in (f"route.{d.route}", f"accepted.{d.path}" if d.accepted else f"fallback.{d.reason}"):
+            out[name] = out.get(name, 0) + 1
+    return out
+
+
+def evidence(d: Decision, verbose: bool = False) -> dict:
+    """A decision as a debug event: previews, or whole texts if verbose."""
+    look = lambda g: None if g is None else vars(g).copy()
+    out = {"windowIndex": d.index, "routeTag": d.route, "scriptChars": d.script_chars, "eligible": d.eligible, "gatePassed": d.gate_passed, "qualityGate": d.gate_passed, "raw": look(d.raw), "normalized": look(d.normal), "accepted": d.accepted, "path": d.path, "finalTag": d.final_locales[0] if len(d.final_locales) == 1 else d.final_tag, "fallbackReason": d.reason}
+    if len(d.final_locales) > 1:
+        out["finalLocales"] = list(d.final_locales)
+    for name, text in (("text", d.sample.text), ("normalized", d.sample.normal)):
+        if verbose:
+            out[f"{name}Text"] = text
+        else:
+            short = BLANKS.sub(" ", text).strip(SPACE)
+            out[f"{name}Preview"], out[f"{name}PreviewTruncated"] = short[:160], len(short) > 160
+    return out
+
+
 def count(text: str, options: CountOptions = CountOptions(), gate: str = "default", engine: Callable[[str], Guess | None] = identify) -> Result:
     """Counts over detected chunks."""
     return shape(detect(text, options, gate, engine)[0], options)
@@ -282,5 +318,5 @@ def inspect(text: str, options: CountOptions = CountOptions(), detector: str = "
         raw, normal = engine(s.text), engine(s.normal) if s.normal and s.normal != s.text else None
         route = before[first].locale
         return head | {"sample": {"text": s.text, "normalized": s.normal}, "raw": as_guess(raw), "normalized": as_guess(normal), "tag": tag_of(raw, route)}
-    windows = [{"index": d.index, "chunk": d.chunk, "routeTag": d.route, "scriptChars": d.script_chars, "eligible": d.eligible, "gatePassed": d.gate_passed, "raw": as_guess(d.raw), "normalized": as_guess(d.normal), "accepted": d.accepted, "path": d.path, "finalTag": d.final_tag, "fallbackReason": d.reason} for d in decisions]
+    windows = [{"index": d.index, "chunk": d.chunk, **{k: v for k, v in evidence(d).items() if k != "windowIndex"}} for d in decisions]
     return head | {"chunks": traced(before), "windows": windows, "resolvedChunks": [{"locale": c.locale, "text": c.text} for c in after]}

@@ -56,3 +56,47 @@ def files(rows: list[tuple[str, Result, int | None]], merged: Result, override:
     """A block for each file, then the merged one."""
     blocks = [f"[File] {path}\n{standard(r, o, parts)}" for path, r, o in rows]
     return "\n\n".join([*blocks, f"[Merged] {plural(len(rows), 'file')}\n{standard(merged, override, parts)}"])
+
+
+def quoted(text: str) -> str:
+    return json.dumps(text, ensure_ascii=False)
+
+
+def guess_line(guess: dict | None) -> str:
+    return "none" if guess is None else f"{guess['lang']}/{guess['script']} confidence={guess['confidence']} reliable={str(guess['reliable']).lower()}"
+
+
+def inspected(found: dict, titled: bool = True) -> list[str]:
+    """An inspection as labelled lines."""
+    lines = ["Detector inspect", f"View: {found['view']}", f"Detector: {found['detector']}", ""] if titled else []
+    lines.append("Input")
+    if found.get("path"):
+        lines.append(f"Path: {found['path']}")
+    lines += [f"Text length: {found['input']['textLength']}", f"Preview: {quoted(found['input']['preview'])}", ""]
+    if found["view"] == "engine":
+        if "note" in found:
+            return [*lines, f"Decision: {found['note']}"]
+        lines += ["Sample", f"Text: {quoted(found['sample']['text'][:160])}", f"Normalized: {quoted(found['sample']['normalized'][:160])}", "", "Engine"]
+        return [*lines, f"Raw: {guess_line(found['raw'])}", f"Normalized: {guess_line(found['normalized'])}", f"Tag: {found['tag'] or 'none'}"]
+    lines.append("Chunks")
+    lines += [" | ".join(x for x in (f"[{c['index']}] {c['locale']}", c["source"], c["reason"], quoted(c["text"][:160])) if x) for c in found["chunks"]] or ["(none)"]
+    if "windows" in found:
+        lines += ["", "Windows"]
+        lines += [f"[{w['index']}] {w['routeTag']} -> {', '.join(w.get('finalLocales', [w['finalTag']]))} | {w['path']}" + (f" | {w['fallbackReason']}" if w["fallbackReason"] else "") + f" | {guess_line(w['raw'])}" for w in found["windows"]] or ["(none)"]
+        lines += ["", "Resolved chunks"]
+        lines += [f"[{i}] {c['locale']} | {quoted(c['text'][:160])}" for i, c in enumerate(found["resolvedChunks"])] or ["(none)"]
+    else:
+        lines += ["", f"Decision: {found['decision']}"]
+    return lines
+
+
+def inspected_batch(body: dict) -> list[str]:
+    """A batch of inspections as labelled lines."""
+    s = body["summary"]
+    lines = ["Detector inspect batch", f"View: {body['view']}", f"Detector: {body['detector']}", f"Section: {body['section']}", f"Requested: {s['requestedInputs']}, succeeded: {s['succeeded']}, skipped: {s['skipped']}, failed: {s['failed']}"]
+    for f in body["files"]:
+        lines += ["", f"[File] {f['path']}", *inspected(f["result"], titled=False)]
+    for name in ("skipped", "failures"):
+        if body[name]:
+            lines += ["", name.capitalize(), *(f"{r['path']}: {r['reason']}" for r in body[name])]
+    return lines

@@ -8,7 +8,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 EXTENSIONS = (".md", ".markdown", ".mdx", ".mdc", ".txt")
 SNIFFED, SUSPICIOUS = 1024, 0.3
@@ -82,7 +81,7 @@ def listing(paths: list[str], keep: Filter | None = None, mode: str = "auto", re
 
     def walk(root: str, folder: str) -> None:
         try:
-            entries = list(os.scandir(folder))
+            entries = sorted(os.scandir(folder), key=lambda e: e.name)
         except OSError as error:
             rejects.append((folder, f"directory read failed: {error.strerror}", "directory"))
             return
@@ -120,20 +119,46 @@ def is_binary(content: Column) -> Column:
     return F.coalesce(F.exists(pairs, lambda b: b == "00") | (odd > F.size(pairs) * SUSPICIOUS), F.lit(False))
 
 
+def in_order(files: DataFrame) -> DataFrame:
+    """Files by the collation of their paths: a range sort, no task holds all of them."""
+    return files.orderBy(*collated())
+
+
+def read_shared(spark: SparkSession, roots: list[str], keep: Filter, mode: str, recursive: bool) -> tuple[DataFrame, DataFrame]:
+    """(path, source, content; path, reason, source) of URIs on storage that executors share:
+    folders are expanded and filtered by Spark, so no list of names passes the driver."""
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive and mode == "auto").lower()).load(roots)
+    single = F.lit(False)
+    for r in roots:
+        single = single | (F.col("path") == r.rstrip("/"))
+    found = read.select("path", "content", F.when(single, "direct").otherwise("directory").alias("source"))
+    below = F.col("path")
+    for r in roots:
+        below = F.when(F.startswith(below, F.lit(r.rstrip("/") + "/")), F.substr(below, F.lit(len(r.rstrip("/")) + 2))).otherwise(below)
+    listed = extension(F.col("path")).isin(sorted(keep.extensions))
+    reason = F.when(F.col("source") == "direct", None).when(~listed, "extension excluded").when(~matches_path(below, keep.pattern) if keep.pattern else F.lit(False), "regex excluded")
+    marked = found.withColumn("reason", reason)
+    return marked.filter("reason is null").select("path", "source", "content"), marked.filter("reason is not null").select("path", "reason", "source")
+
+
 def read_files(spark: SparkSession, paths: list[str], keep: Filter | None = None, mode: str = "auto", recursive: bool = True, detect_binary: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(files, rejects): files has path, source, file_ord (by collation of paths) and text, as
-    UTF-8 with bad bytes as U+FFFD; rejects has path, reason, source. Files are read by
-    the executors; the driver holds their names only."""
-    files, rejects = listing(paths, keep, mode, recursive)
-    named = spark.createDataFrame(files, "path string, source string")
+    """(files, rejects): files has path, source and text, as UTF-8 with bad bytes as U+FFFD;
+    rejects has path, reason, source. Files are read by the executors. Of local folders
+    the driver lists the names; URIs (with ://) are listed and filtered by Spark."""
+    keep = keep or Filter.of()
+    far, near = [p for p in paths if "://" in p], [p for p in paths if "://" not in p]
+    files, rejects = listing(near, keep, mode, recursive)
+    both = spark.createDataFrame([], "path string, source string, content binary")
     missed = spark.createDataFrame(rejects, "path string, reason string, source string")
-    if not files:
-        return named.select("*", F.lit(0).alias("file_ord"), F.lit("").alias("text")), missed
-    content = spark.read.format("binaryFile").load([f"file://{p}" for p, _ in files]).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content")
-    both = named.join(content, "path", "left").withColumn("binary", is_binary(F.col("content")) if detect_binary else F.lit(False))
-    order = F.row_number().over(Window.orderBy(*collated()))
-    names = named.withColumn("file_ord", (order - 1).cast("int")).select("path", "file_ord")
+    if files:
+        named = spark.createDataFrame(files, "path string, source string")
+        content = spark.read.format("binaryFile").load([f"file://{p}" for p, _ in files]).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content")
+        both = named.join(content, "path", "left")
+    if far:
+        more, excluded = read_shared(spark, far, keep, mode, recursive)
+        both, missed = both.unionByName(more), missed.union(excluded)
+    both = both.withColumn("binary", is_binary(F.col("content")) if detect_binary else F.lit(False))
     text = F.coalesce(F.make_valid_utf8(F.col("content").cast("string")), F.lit(""))
-    good = both.filter(~F.col("binary")).join(names, "path").select("path", "source", "file_ord", text.alias("text"))
+    good = both.filter(~F.col("binary")).select("path", "source", text.alias("text"))
     bad = both.filter("binary").select("path", F.lit("binary file").alias("reason"), "source")
     return good, missed.union(bad)

@@ -74,7 +74,7 @@ def test_files(spark, tree):
     rel = lambda p: os.path.relpath(p, tree)
     got = {rel(r.path): (r.text, r.source) for r in files.collect()}
     assert got == {"a.md": ("alpha", "directory"), "B.mdx": ("beta", "directory"), "sub/c.TXT": ("gamma", "directory"), "sub/d.js": ("no", "direct"), "bad.md": ("caf�", "directory"), "empty.md": ("", "directory")}
-    assert [rel(r.path) for r in files.orderBy("file_ord").collect()] == ["a.md", "B.mdx", "bad.md", "empty.md", "sub/c.TXT", "sub/d.js"]
+    assert [rel(r.path) for r in corpus.in_order(files).collect()] == ["a.md", "B.mdx", "bad.md", "empty.md", "sub/c.TXT", "sub/d.js"]
     why = {rel(r.path): r.reason for r in rejects.collect()}
     assert why["bin.txt"] == why["ctl.txt"] == "binary file" and why[".hidden"] == "extension excluded" and why["none"].startswith("not readable")
 
@@ -108,6 +108,81 @@ def test_command_line(tree, capsys, spark):
     assert main(["Hi there", "--mode", "char"]) == 0 and "Total characters: 7" in capsys.readouterr().out
 
 
+def said(capsys, *argv):
+    from glyphmill.cli import main
+
+    code = main([str(a) for a in argv])
+    out = capsys.readouterr()
+    return code, out.out, out.err
+
+
+def test_files_are_merged_in_order_by_executors(tree, capsys, spark):
+    for i in range(30):
+        (tree / f"n{i:02}.md").write_text(f"word{i} niño zwölf\n---\n漢字 {i}")
+    for mode in ("chunk", "collector", "char-collector"):
+        code, out, _ = said(capsys, "--path", tree, "-m", mode, "--format", "json", "--misc", "--per-file", "--no-progress")
+        body = json.loads(out)
+        assert code == 0 and len(body["files"]) == 35 and body["files"][0]["path"].endswith("a.md")
+        code, out, _ = said(capsys, "--path", tree, "-m", mode, "--format", "json", "--misc", "--jobs", 3)
+        assert json.loads(out) == body["aggregate"]
+    assert said(capsys, "-p", tree, "-f", "raw")[1] == said(capsys, "-p", tree, "-f", "raw", "--jobs", 7)[1]
+    assert said(capsys, "-p", f"file://{tree}", "-f", "raw")[1] == said(capsys, "-p", tree, "-f", "raw")[1]
+
+
+def test_sections_are_normalised_each(tree, capsys, spark):
+    (tree / "a.md").write_text("---\ntitle: one, two\n---\nalpha beta!")
+    code, out, _ = said(capsys, "-p", tree / "a.md", "--section", "split", "--total-of", "words,punctuation", "-f", "json")
+    body = json.loads(out)
+    assert (code, body["total"], body["meta"]["totalOfOverride"]) == (0, 5, 8)
+
+
+def test_flags(tree, capsys, spark):
+    for argv, why in ((["x", "--verbose"], "--verbose needs"), (["x", "--debug", "--detector-evidence"], "needs --detector model"), (["x", "--debug-report"], "--debug-report needs"), (["x", "--debug", "--debug-tee"], "needs --debug-report"), (["x", "--regex", "a", "--regex", "b"], "once"), (["x", "--jobs", "0"], "positive"), (["x", "--latin-hint", "no"], "TAG=PATTERN"), (["inspect", "x", "-p", "y"], "not both")):
+        code, _, err = said(capsys, *argv)
+        assert code == 1 and why in err, argv
+    assert json.loads(said(capsys, "--print-jobs-limit")[1])["suggestedMaxJobs"] >= 1
+    assert "Warning: requested" in said(capsys, "-p", tree / "a.md", "--jobs", 10**6)[2]
+    assert said(capsys, "-p", tree / "a.md", "--jobs", 10**6, "--quiet-warnings")[2].count("Warning") == 0
+    with pytest.raises(SystemExit) as done:
+        said(capsys, "--version")
+    assert done.value.code == 0 and capsys.readouterr().out.startswith("glyphmill ")
+    body = json.loads(said(capsys, "señal", "--latin-hint", "gl=ñ", "-f", "json")[1])
+    assert body["breakdown"]["items"][0]["locale"] == "gl"
+
+
+def test_debug_events_and_progress(tree, capsys, spark, tmp_path):
+    (tree / "a.md").write_text("The readers of this guide understand that it is not what they expected.")
+    report = tmp_path / "events.jsonl"
+    code, out, err = said(capsys, "-p", tree, "--per-file", "--debug", "--verbose", "--detector", "model", "--detector-evidence", "--debug-report", report, "--progress", "-f", "json")
+    events = [json.loads(x) for x in report.read_text().splitlines()]
+    names = [e["event"] for e in events]
+    assert code == 0 and names[0] == "runtime.start" and names[-1] == "runtime.end" and "batch.skips.report" in names and "batch.file" in names
+    seen = next(e for e in events if e["event"] == "detector.window.evidence" and e["finalTag"] == "en")
+    assert seen["textText"].startswith("The readers") and seen["path"].endswith("a.md")
+    body = json.loads(out)
+    assert body["debug"]["detector"]["route.und-Latn"] >= 1 and {r["reason"] for r in body["debug"]["skipped"]} >= {"binary file"} and "skipped" in err
+    code, out, err = said(capsys, "-p", tree, "--progress")
+    assert code == 0 and "100.0%" in err
+    assert said(capsys, "-p", tree, "--no-progress")[2] == ""
+
+
+def test_inspect(tree, capsys, spark):
+    (tree / "f.md").write_text("---\ntitle: Der Titel\n---\nThe readers of this guide understand that it is not what they expected.")
+    look = lambda *argv: said(capsys, "inspect", *argv)
+    code, out, _ = look("-p", tree / "f.md", "--section", "frontmatter", "-f", "json")
+    assert code == 0 and "".join(c["text"] for c in json.loads(out)["chunks"]) == "title: Der Titel"
+    code, out, _ = look("-p", tree / "f.md", "--section", "content", "-d", "model")
+    assert code == 0 and "Windows" in out and "-> en | reliable" in out and "title" not in out
+    code, out, err = look("The readers of this guide", "-d", "model", "--view", "engine", "--content-gate", "strict")
+    assert code == 0 and "Raw: eng/Latin" in out and "engine view" in err
+    code, out, _ = look("-p", tree, "-f", "json")
+    body = json.loads(out)
+    assert code == 0 and body["summary"] == {"requestedInputs": 1, "succeeded": 6, "skipped": 4, "failed": 0} and body["kind"] == "detector-inspect-batch"
+    code, out, _ = look("-p", tree, "-p", tree / "none.md", "-p", tree / "bin.txt")
+    assert code == 1 and "Failures" in out and "failed: 2" in out and "[File]" in out
+    assert look("-p", tree / "none.md", "-f", "json")[0] == 1
+
+
 def test_configuration(tmp_path):
     from glyphmill import config
 

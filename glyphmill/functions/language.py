@@ -82,7 +82,8 @@ def identify(text: str) -> Guess | None:
     for w, n in words.items():
         for lang, weight in votes(w):
             scores[lang] += weight * n
-    ranked = sorted(scores.items(), key=lambda x: (-x[1], x[0]))
+    # rounded: equal votes in another order are a tie
+    ranked = sorted(((lang, round(s, 9)) for lang, s in scores.items()), key=lambda x: (-x[1], x[0]))
     (best, top), (_, second) = ranked[0], ranked[1]
     if top <= 0:
         return None

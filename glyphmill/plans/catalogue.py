@@ -11,6 +11,7 @@ from glyphmill.functions.patterns import WORD
 from glyphmill.operators import detect, frames
 from glyphmill.operators.frames import words_of
 from glyphmill.operators.spread import spread
+from glyphmill.plans.detection_sql import DECISIONS
 from glyphmill.sources import corpus, frontmatter
 from glyphmill.streaming import live
 
@@ -271,16 +272,30 @@ def nested_results(spark, sf_dir):
     return out.select("doc_id", "result.total", "result.counts.words", "result.counts.non_words", "result.mode", F.size("result.items").alias("locales"))
 
 
-@query()
+@query(f"WITH {DECISIONS} SELECT doc_id, CAST(0 AS INTEGER) AS window_index, 'und-Latn' AS route_tag, eligible, gate_passed, lang, confidence, accepted, final_tag, fallback_reason FROM decisions")
 def detect_language(spark, sf_dir):
     return detect.resolve(documents(spark, sf_dir)).select("doc_id", "window_index", "route_tag", "eligible", "gate_passed", "lang", "confidence", "accepted", "final_tag", "fallback_reason")
 
 
-@query()
+REASONS = ("notEligible", "noCandidate", "corroborationUnreliable", "qualityGate", "belowThreshold")
+
+
+@query(
+    f"WITH {DECISIONS} SELECT count(*) AS windows, count(*) AS latin_windows, CAST(0 AS BIGINT) AS han_windows, CAST(count_if(accepted) AS BIGINT) AS accepted, CAST(count_if(path = 'reliable') AS BIGINT) AS reliable, CAST(count_if(path = 'corroborated') AS BIGINT) AS corroborated, "
+    + ", ".join(f"CAST(count_if(fallback_reason = '{r}') AS BIGINT) AS {r}" for r in REASONS)
+    + " FROM decisions"
+)
 def detector_summary(spark, sf_dir):
     return detect.summary(detect.resolve(documents(spark, sf_dir)))
 
 
-@query()
+@query(
+    f"""WITH {chunk_sql()}, {DECISIONS},
+    t AS (SELECT c.doc_id, c.chunk_index, c.text, CASE WHEN c.locale = 'und-Latn' AND d.accepted THEN d.final_tag ELSE c.locale END AS locale FROM chunks c JOIN decisions d USING (doc_id)),
+    n AS (SELECT *, CASE WHEN locale IS DISTINCT FROM lag(locale) OVER (PARTITION BY doc_id ORDER BY chunk_index) THEN 1 ELSE 0 END AS cut FROM t),
+    g AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id ORDER BY chunk_index) AS k FROM n),
+    u AS (SELECT doc_id, locale, string_agg(text, '' ORDER BY chunk_index) AS text FROM g GROUP BY doc_id, k, locale)
+    SELECT locale, count(*) AS chunks, CAST(sum({words_sql('text')}) AS BIGINT) AS words FROM u GROUP BY locale"""
+)
 def detected_locales(spark, sf_dir):
     return detect.chunks(documents(spark, sf_dir)).groupBy("locale").agg(F.count("*").alias("chunks"), F.sum(words_of(F.col("text"))).alias("words"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,15 +64,60 @@ def quoted_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.linked_conversations(rows.withColumn("text", mail)).withColumn("parent_turn", F.coalesce("parent_turn", F.lit(-1)))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_topk_maxscore, op4_bpe_roundtrip, op5_embedding_near_dedup, op6_quotation_linking, op7_source_mixing, op8_secret_scan, op9_ngram_jaccard, op10_line_dedup, quoted_replies)}
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op7 that SQL can say: sizes and targets, without draws."""
+    return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source", "source_size", "target")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_topk_maxscore, op4_bpe_roundtrip, op5_embedding_near_dedup, op6_quotation_linking, op7_source_mixing, op8_secret_scan, op9_ngram_jaccard, op10_line_dedup, quoted_replies, mix_targets)}
 
 #: DuckDB SQL for the queries that SQL can express.
+def spans_sql() -> str:
+    """CTEs that end in spans(r, start, stop, n, kind): the rules' matches in docs(r, t). Places
+    are sums of the lengths of matches and of what lies between them."""
+    either = lambda m: f"[{m[0].lower()}{m[0].upper()}]"
+    patterns = {
+        "assign": re.sub("[a-z]", either, "(?:password|passwd|secret|token|api_?key)").replace("(?:", "(") + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+        "access": "AKIA[A-Z0-9]{16,}",
+        "hex": "[0-9a-f]{24,}",  # runs are maximal, so short ones needn't be found and dropped
+    }
+    parts = []
+    for n, rule in enumerate(secrets.RULES):
+        p = "'" + patterns.get(rule.kind, rule.pattern).replace("'", "''") + "'"
+        least = f"WHERE len(regexp_extract(s, {p}, {rule.group})) >= {rule.least}" if rule.group else ""
+        parts.append(f"""
+m{n} AS (SELECT r, regexp_extract_all(t, {p}) AS ms, string_split_regex(t, {p}) AS ps FROM docs WHERE regexp_matches(t, {p})),
+e{n} AS (SELECT r, unnest(ms) AS s, unnest(ps[1:len(ms)]) AS p, generate_subscripts(ms, 1) AS i FROM m{n}),
+f{n} AS (SELECT r, s, sum(len(p) + len(s)) OVER (PARTITION BY r ORDER BY i) AS stop FROM e{n}),
+s{n} AS (SELECT r, CAST(stop - len(s) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, {n} AS n, '{rule.kind}' AS kind FROM f{n} {least})""")
+    return ",".join(parts) + ",\nspans AS (" + " UNION ALL ".join(f"SELECT * FROM s{n}" for n in range(len(secrets.RULES))) + ")"
+
+
+WORDS_SQL = r"CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT)"
 MAIL = """(SELECT conv_id, turn, role, coalesce('B wrote:' || chr(10) || coalesce('> A wrote:' || chr(10) || '> > ' || replace(two, chr(10), chr(10) || '> > ') || chr(10), '')
   || '> ' || replace(one, chr(10), chr(10) || '> ') || chr(10) || chr(10), '') || text AS text
   FROM (SELECT *, lag(text) OVER w AS one, lag(text, 2) OVER w AS two FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)))"""
 ORACLE_SQL: dict[str, str] = {
     "quoted_replies": f"SELECT * REPLACE (coalesce(parent_turn, -1) AS parent_turn) FROM ({chat.ORACLE.replace('FROM conversations', 'FROM ' + MAIL)})",
     "op6_quotation_linking": f"SELECT * REPLACE (coalesce(parent_turn, -1) AS parent_turn) FROM ({chat.ORACLE})",
+    "op8_secret_scan": f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),{spans_sql()},
+a AS (SELECT r, count_if(kind = 'assign') AS n_assign, count_if(kind = 'access') AS n_access, count_if(kind = 'hex') AS n_hex,
+  string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, n, stop) FILTER (WHERE n < 3) AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, n, stop) AS spans FROM spans GROUP BY r)
+SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access, CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN a USING (r)""",
+    # the level of the targets: sources are capped in the order of what a unit of weight may give them
+    "mix_targets": f"""
+WITH d AS (SELECT doc_id, source, {WORDS_SQL} AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+n AS (SELECT *, CAST([5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS DOUBLE) AS weight, sum(source_size) OVER () AS total FROM s),
+o AS (SELECT *, sum(source_size) OVER w AS capped, sum(weight) OVER () - sum(weight) OVER w AS free, count(*) OVER w AS k, 2.0 * lead(source_size) OVER w / lead(weight) OVER w AS following FROM n
+  WINDOW w AS (ORDER BY 2.0 * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+l AS (SELECT 0 AS k, 1.5 * total / sum(weight) AS level, min(2.0 * source_size / weight) AS following FROM n GROUP BY total
+  UNION ALL SELECT k, (1.5 * total - 2.0 * capped) / free, following FROM o WHERE free > 0),
+b AS (SELECT arg_min(level, k) AS level FROM l WHERE level <= following OR following IS NULL)
+SELECT d.doc_id, d.size, d.source, n.source_size, CASE WHEN n.total = 0 THEN 0.0 ELSE least(n.source_size * 2.0, n.weight * b.level) END AS target
+FROM d JOIN n ON n.source IS NOT DISTINCT FROM d.source CROSS JOIN b""",
     "op2_suffix_dedup": """
 WITH b AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS d, hex(encode(coalesce(text, ''))) AS h FROM documents

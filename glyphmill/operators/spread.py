@@ -10,22 +10,35 @@ from pyspark.sql import DataFrame
 
 #: Tables up to so many bytes are dealt out; larger ones keep the splits of their files.
 SMALL = 256 << 20
+#: A plan whose rows come dealt out already.
+DEALT = re.compile(r"Plan ==\n(?:[ :+-]*(?:Project|Filter|MapInArrow|Generate)\b.*\n)*[ :+-]*Repartition \d+, true")
 UNITS = {u: 1 << (10 * i) for i, u in enumerate(("B", "KiB", "MiB", "GiB", "TiB", "PiB", "EiB"))}
 
 
-def input_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of df's size, as explain() prints it; 2**50 where it has none.
-    It sets numbers of partitions, never results."""
+def optimized(df: DataFrame) -> str:
     said = io.StringIO()
     with contextlib.redirect_stdout(said):
         df.explain(mode="cost")
-    found = re.search(r"sizeInBytes=([0-9.E+]+) (\w+)", said.getvalue())
+    return said.getvalue().partition("== Physical Plan ==")[0]
+
+
+def input_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of df's size, as explain() prints it; 2**50 where it has none.
+    It sets numbers of partitions, never results."""
+    return size_in(optimized(df))
+
+
+def size_in(plan: str) -> int:
+    found = re.search(r"sizeInBytes=([0-9.E+]+) (\w+)", plan)
     return min(1 << 50, int(float(found[1]) * UNITS.get(found[2], 1 << 50))) if found else 1 << 50
 
 
 def spread(df: DataFrame) -> DataFrame:
     """df, its rows dealt out to the session's shuffle partitions if it is small: a table of a
     few MB is often one row group, that is one task, whatever it costs to work on."""
-    if df.isStreaming or input_bytes(df) > SMALL:
+    if df.isStreaming:
+        return df
+    plan = optimized(df)
+    if size_in(plan) > SMALL or DEALT.search(plan):
         return df
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -57,6 +57,8 @@ def test_small_tables_are_dealt_out(spark):
     df = spark.range(100).coalesce(1)
     assert 0 < input_bytes(df) < SMALL
     assert spread(df).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    once = spread(df).selectExpr("id + 1 AS id").filter("id > 3")
+    assert spread(once) is once and spread(once.groupBy("id").count()) is not once
     large = spark.range(1 << 40)
     assert input_bytes(large) > SMALL and spread(large) is large
 

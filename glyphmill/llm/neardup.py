@@ -28,7 +28,7 @@ from glyphmill.llm.graph import components, lowest
 from glyphmill.llm.topk import sound
 
 #: Most representatives in a block; rows of a tile that are multiplied at once.
-BLOCK, STRIP = 1 << 12, 512
+BLOCK, STRIP = 1 << 13, 512
 #: What rounding in double precision can add to a cosine's computation, generously.
 ROUNDING = 1e-12
 
@@ -103,7 +103,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     of unequal length with one another. Rows with equal ids are rows of their own. Other
     columns are ignored; an empty table gives no rows. threshold must be over 0.
     """
-    v = F.transform(vector_col, lambda x: x.cast("double"))
+    # single-precision vectors travel as they are, and are doubled where they are used
+    single = dict(vectors.dtypes)[vector_col] == "array<float>"
+    v = F.col(vector_col) if single else F.transform(vector_col, lambda x: x.cast("double"))
+    wide = F.transform("v", lambda x: x.cast("double"))
     rows = cut(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), v.alias("v")).withColumn("row", F.monotonically_increasing_id()))
     usable = sound(F.col("v")) & F.exists("v", lambda x: x != 0) & F.col("label").isNotNull()
     # 128 bits name a vector among its label's
@@ -112,9 +115,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
         named.filter("ok").groupBy("label", "h1", "h2").agg(F.min("row").alias("node"), F.count("*").alias("copies"), F.min("vec_id").alias("low_id"), F.first("v").alias("v"))
     )
     dims = reps.agg(F.max(F.size("v"))).first()[0] or 0
-    norm = F.sqrt(F.aggregate(F.transform("v", lambda x: (x / F.col("top")) * (x / F.col("top"))), F.lit(0.0), lambda s, x: s + x))
-    units = reps.withColumn("top", F.array_max(F.transform("v", F.abs))).withColumn("norm", norm)
-    coordinate = lambda c: F.coalesce(F.get("v", F.lit(c)) / F.col("top") / F.col("norm"), F.lit(0.0))
+    norm = F.sqrt(F.aggregate(F.transform(wide, lambda x: (x / F.col("top")) * (x / F.col("top"))), F.lit(0.0), lambda s, x: s + x))
+    units = reps.withColumn("top", F.array_max(F.transform(wide, F.abs))).withColumn("norm", norm)
+    coordinate = lambda c: F.coalesce(F.get("v", F.lit(c)).cast("double") / F.col("top") / F.col("norm"), F.lit(0.0))
     spread = units.agg(*(F.variance(coordinate(c)).alias(f"c{c}") for c in range(min(dims, 256)))).first() if dims else []
     axis = max(range(len(spread)), key=lambda c: spread[c] or 0.0, default=0)
     width = math.sqrt(max(2 - 2 * threshold, 0.0)) / 2 * 1.001 + 1e-6
@@ -136,7 +139,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
         side = table.column("side").to_numpy()
         flat = table.column("v").combine_chunks()
         flat = (pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat).flatten().to_numpy(zero_copy_only=False)
-        x = flat.reshape(len(side), -1)
+        x = flat.reshape(len(side), -1).astype(np.float64)
         nodes, count = table.column("node").to_numpy(), table.column("copies").to_numpy()
         first, second = side == 0, side == 1
         a = Block(nodes[first], count[first], x[first])

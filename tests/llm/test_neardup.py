@@ -49,6 +49,15 @@ def test_equals_brute_force(spark, block, monkeypatch):
     assert got == brute(rows)
 
 
+def test_double_precision_input(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(60, 8))
+    x = [*base, *(base + rng.normal(scale=1e-9, size=base.shape))]
+    rows = [(i, [float(c) for c in v], 1, 0) for i, v in enumerate(x)]
+    got = sorted((tuple(r) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA.replace("float", "double"))).collect()), key=str)
+    assert got == brute(rows)
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(200, 24))

@@ -11,6 +11,7 @@ from collections import Counter
 from glyphmill import config as settings
 from glyphmill import diagnostics, output
 from glyphmill.functions.counting import count
+from glyphmill.functions.language import load_engine
 from glyphmill.functions.options import CountOptions, HintRule, compile_rule, load_rules, needs_non_words, needs_whitespace, normalize_mode, parse_total_of
 from glyphmill.functions.segment import SPACE
 from glyphmill.operators import detect
@@ -48,6 +49,7 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--exclude-ext", action="append")
         s.add_argument("--regex", action="append")
         s.add_argument("-d", "--detector", choices=("script", "model"))
+        s.add_argument("--engine", metavar="MODULE:FUNCTION")
         s.add_argument("--content-gate", choices=detect.GATES)
         s.add_argument("-f", "--format", choices=("standard", "raw", "json") if name == "count" else ("standard", "json"))
         s.add_argument("--pretty", action="store_true")
@@ -180,7 +182,9 @@ def run_count(args: argparse.Namespace, config: settings.Config) -> str:
     options, parts, only_for_it = options_of(args, config)
     form = args.format or config.get("output", "format", default="standard")
     debug = channel_of(args, config)
-    job = Job(options, args.section, modelled, gate, parts, only_for_it, form != "json", debug.verbosity if debug and args.detector_evidence else None)
+    job = Job(options, args.section, modelled, gate, parts, only_for_it, form != "json", debug.verbosity if debug and args.detector_evidence else None, args.engine)
+    if modelled:
+        load_engine(args.engine)
     emit = debug.emit if debug else lambda *a, **k: None
     emit("runtime.start", mode=options.mode, section=args.section, detector="model" if modelled else "script", files=len(args.path))
     rows, skipped = [], []
@@ -219,7 +223,7 @@ def run_count(args: argparse.Namespace, config: settings.Config) -> str:
             emit("detector.window.evidence", debug.verbosity, path=path, **{("decisionPath" if k == "path" else k): v for k, v in event.items()})
     summary = dict(sorted(merged.windows.items())) if modelled and debug else None
     if summary is not None:
-        emit("detector.summary", mode="model", engine="word-votes", **summary)
+        emit("detector.summary", mode="model", engine=args.engine or "word-votes", **summary)
     emit("runtime.end", total=merged.result.total, texts=merged.texts)
     result, override = merged.result, merged.override
     if form == "raw":
@@ -232,7 +236,7 @@ def run_count(args: argparse.Namespace, config: settings.Config) -> str:
             body = {"scope": "per-file", "files": files_, "aggregate": body}
             if skipped and not args.quiet_skips:
                 body["skipped"] = skipped
-        found = {k: v for k, v in (("skipped", [] if args.quiet_skips else skipped), ("detector", summary and {"mode": "model", "engine": "word-votes", **summary})) if v}
+        found = {k: v for k, v in (("skipped", [] if args.quiet_skips else skipped), ("detector", summary and {"mode": "model", "engine": args.engine or "word-votes", **summary})) if v}
         if debug and found:
             body["debug"] = found
         return output.to_json(body, args.pretty or config.get("output", "pretty", default=False))
@@ -256,7 +260,7 @@ def run_inspect(args: argparse.Namespace, config: settings.Config) -> tuple[str,
         print("Info: the engine view shows what the engine says, whatever the content gate; the pipeline view shows its effect.", file=sys.stderr)
     pretty = args.pretty or config.get("output", "pretty", default=False)
     form = args.format or ("json" if config.get("output", "format") == "json" else "standard")
-    look = lambda text: detect.inspect(chosen(text, args.section), options, detector, args.view, gate)
+    look = lambda text: detect.inspect(chosen(text, args.section), options, detector, args.view, gate, load_engine(args.engine))
     if not args.path:
         found = look(inline(args))
         return output.to_json(found, pretty) if form == "json" else "\n".join(output.inspected(found)), 0

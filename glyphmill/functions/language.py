@@ -4,6 +4,7 @@ share of kana for Han text. Any callable text -> Guess | None can take its place
 from __future__ import annotations
 
 import functools
+import importlib
 import math
 from collections import Counter
 from dataclasses import dataclass
@@ -101,3 +102,19 @@ def tag_of(guess: Guess | None, route: str) -> str | None:
         return LATIN_TAGS.get(guess.lang) if guess.script == "Latin" else None
     fits = {"cmn": ("Mandarin",), "jpn": ("Mandarin", "Hiragana", "Katakana")}
     return HAN_TAGS[guess.lang] if guess.script in fits.get(guess.lang, ()) else None
+
+
+@functools.lru_cache(maxsize=8)
+def load_engine(name: str | None = None):
+    """An engine by its name, module:function; the built-in one without a name. It is loaded
+    once a process, when it is first needed."""
+    if not name:
+        return identify
+    module, mark, function = name.partition(":")
+    try:
+        found = getattr(importlib.import_module(module), function) if mark else None
+    except (ImportError, AttributeError) as error:
+        raise ValueError(f"The language engine {name} can't be loaded: {error}.") from None
+    if not callable(found):
+        raise ValueError(f"The language engine {name} can't be loaded: give it as module:function.")
+    return found

@@ -10,7 +10,7 @@ from glyphmill.functions.patterns import FAST_WORD as WORD
 
 #: What the word pattern or the simple segment count can't judge: letters of other
 #: scripts, marks, emoji and what joins them, runs of underscores.
-DIFFICULT = r"[^\p{IsLatin}\P{L}]|[\p{M}\p{Nl}\p{Cf}\p{Co}\p{Cs}]|[\x{200D}\x{FE0F}\x{20E3}\x{2600}-\x{27BF}\x{2B00}-\x{2BFF}\x{1F000}-\x{1FAFF}]|__"
+DIFFICULT = r"[[^\p{IsLatin}\P{L}]\p{M}\p{Nl}\p{Cf}\p{Co}\p{Cs}\x{200D}\x{FE0F}\x{20E3}\x{2600}-\x{27BF}\x{2B00}-\x{2BFF}\x{1F000}-\x{1FAFF}]|__"
 SPACE_CLASS = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
 

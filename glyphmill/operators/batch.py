@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 
 from glyphmill import output
 from glyphmill.functions.counting import Result, count, merge, without_segments
+from glyphmill.functions.language import load_engine
 from glyphmill.functions.options import CountOptions
 from glyphmill.operators import detect
 from glyphmill.sources.corpus import collated
@@ -30,13 +31,14 @@ class Job:
     collected_for_it: bool = False
     compact: bool = False
     evidence: str | None = None  # compact or verbose
+    engine: str | None = None  # module:function, loaded by the worker
 
     def run(self, text: str) -> Counted:
         """Each section is counted and normalised, then they are merged."""
         results, override, events, seen = [], 0, [], Counter()
         for *_, part in section_texts(text, self.section):
             if self.modelled:
-                result, decisions = detect.count_traced(part, self.options, self.gate)
+                result, decisions = detect.count_traced(part, self.options, self.gate, load_engine(self.engine))
                 seen.update(detect.counters(decisions))
                 if self.evidence:
                     events += [detect.evidence(d, self.evidence == "verbose") for d in decisions]

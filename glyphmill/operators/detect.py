@@ -18,7 +18,7 @@ from glyphmill.functions.counting import Result, shape
 from glyphmill.functions.language import Guess, identify, tag_of
 from glyphmill.functions.options import DEFAULT_HAN, DEFAULT_LATIN, CountOptions, resolve_context
 from glyphmill.functions.segment import SPACE, Chunk, segment, unite
-from glyphmill.operators.frames import carried, through_arrow
+from glyphmill.operators.frames import through_arrow
 
 GATES = ("default", "strict", "loose", "off")
 LATIN_CHARS = {"default": 24, "off": 24, "strict": 30, "loose": 20}
@@ -175,7 +175,10 @@ def decide(chunks: list[Chunk], gate: str = "default", engine: Callable[[str], G
             d.reason = "notEligible"
             continue
         d.raw = engine(sample.text)
-        d.normal = engine(sample.normal) if sample.normal and sample.normal != sample.text else None
+        if sample.normal and sample.normal != sample.text:
+            # our engine reads the Latin words alone where there is no kana and Han
+            same = engine is identify and route == DEFAULT_LATIN and not CJ.search(sample.text)
+            d.normal = d.raw if same else engine(sample.normal)
         looks = [(t, g) for g in (d.raw, d.normal) if (t := tag_of(g, route))]
         if not looks:
             d.reason = "noCandidate"
@@ -281,7 +284,6 @@ def resolve(df: DataFrame, text: str = "text", options: CountOptions = CountOpti
 
 def chunks(df: DataFrame, text: str = "text", options: CountOptions = CountOptions(), gate: str = "default", engine: Callable[[str], Guess | None] = identify) -> DataFrame:
     """A row for each detected chunk: df's other columns, chunk_index, locale, text."""
-    carried(df, text)
     rows = lambda value: ((i, c.locale, c.text) for i, c in enumerate(detect(value, options, gate, engine)[0]))
     return through_arrow(df, text, "chunk_index int, locale string, chunk_text string", rows).withColumnRenamed("chunk_text", "text")
 

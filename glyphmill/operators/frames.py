@@ -13,7 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql import types as T
 
 from glyphmill.functions import native
 from glyphmill.functions.counting import count as count_text
@@ -34,18 +34,21 @@ RESULT = f"struct<total: bigint, counts: struct<words: bigint, non_words: bigint
 HELD = 4_000_000
 
 
-def carried(df: DataFrame, text: str) -> tuple[list[str], str]:
-    keep = [c for c in df.columns if c != text]
-    return keep, ", ".join(f"`{c}` {t}" for c, t in df.dtypes if c != text)
+def quoted(name: str) -> Column:
+    """The column of that name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def through_arrow(df: DataFrame, text: str, fields: str, rows) -> DataFrame:
     """df's other columns beside the rows that rows(text) gives for each text. A small table
     is dealt out to all cores first; what is held at once is bounded by HELD."""
-    keep, schema = carried(df, text)
+    others = [c for c in df.columns if c != text]
     names = [f.strip().split(" ")[0] for f in fields.split(", ")]
-    arrow = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
-    kinds = [arrow[f.strip().split(" ")[1]] for f in fields.split(", ")]
+    arrow = {"int": (pa.int32(), T.IntegerType()), "bigint": (pa.int64(), T.LongType()), "string": (pa.string(), T.StringType()), "boolean": (pa.bool_(), T.BooleanType())}
+    kinds = [arrow[f.strip().split(" ")[1]][0] for f in fields.split(", ")]
+    # names by place on the way: those of df may hold dots
+    keep = [f"k{i}" for i in range(len(others))]
+    source = df.select(*(quoted(c).alias(k) for c, k in zip(others, keep)), quoted(text).cast("string").alias("text"))
 
     def run(batches):
         for batch in batches:
@@ -72,7 +75,8 @@ def through_arrow(df: DataFrame, text: str, fields: str, rows) -> DataFrame:
                     owner, columns, held = [], [[] for _ in names], 0
             yield flow()
 
-    return spread(df.select(*keep, text)).mapInArrow(run, ", ".join(x for x in (schema, fields) if x))
+    schema = T.StructType([*source.drop("text").schema.fields, *(T.StructField(n, arrow[f.strip().split(" ")[1]][1]) for n, f in zip(names, fields.split(", ")))])
+    return spread(source).mapInArrow(run, schema).toDF(*others, *names)
 
 
 def chunks(df: DataFrame, text: str = "text", options: CountOptions = CountOptions()) -> DataFrame:
@@ -147,8 +151,9 @@ def count(df: DataFrame, text: str = "text", options: CountOptions = CountOption
 
     resolve_context(options)
     kind = to_arrow_type(_parse_datatype_string(RESULT))
-    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
     at = df.columns.index(text)
+    safe = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    schema = T.StructType([*safe.schema.fields, T.StructField("result", _parse_datatype_string(RESULT))])
 
     def run(batches):
         for whole in batches:
@@ -157,7 +162,7 @@ def count(df: DataFrame, text: str = "text", options: CountOptions = CountOption
                 values = [None if t is None else result_struct(count_text(t, options)) for t in batch.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, kind)], names=[*batch.schema.names, "result"])
 
-    return spread(df).mapInArrow(run, f"{schema}, result {RESULT}")
+    return spread(safe).mapInArrow(run, schema).toDF(*df.columns, "result")
 
 
 def collected_options(options: CountOptions, parts: tuple[str, ...]) -> CountOptions:
@@ -190,11 +195,11 @@ def register(spark: SparkSession) -> None:
     spark.udtf.register("locale_chunks", LocaleChunks)
 
 
-@F.pandas_udf(LongType())
+@F.pandas_udf(T.LongType())
 def _words(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else count_words(t)).astype("Int64")
 
 
 def words_of(text: Column) -> Column:
     """Words of any text: built in where letters are Latin; only other texts reach Python."""
-    return F.when(native.latin_only(text), native.words(text)).otherwise(_words(F.when(~native.latin_only(text), text)))
+    return F.coalesce(_words(F.when(~native.latin_only(text), text)), native.words(text))

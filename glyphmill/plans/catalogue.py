@@ -164,8 +164,7 @@ def with_frontmatter(spark, sf_dir) -> DataFrame:
 
 @query(f"SELECT doc_id, 'frontmatter' AS source, 'frontmatter' AS name, {words_sql(chr(39) + 'lang: ' + chr(39) + ' || lang || chr(10) || ' + chr(39) + 'source: ' + chr(39) + ' || source')} AS words FROM documents UNION ALL SELECT d.doc_id, 'content', 'content', w.words FROM documents d JOIN (WITH {chunk_sql()} SELECT doc_id, CAST(sum({words_sql('text')}) AS BIGINT) AS words FROM chunks GROUP BY doc_id) w USING (doc_id)")
 def section_split(spark, sf_dir):
-    parts = frontmatter.sections(with_frontmatter(spark, sf_dir), mode="split")
-    m = frames.measured(parts.select("doc_id", "source", "name", "text"))
+    m = frontmatter.measured(with_frontmatter(spark, sf_dir), mode="split")
     return m.groupBy("doc_id", "source", "name").agg(F.sum("words").alias("words"))
 
 
@@ -176,8 +175,7 @@ def frontmatter_keys(spark, sf_dir):
 
 @query(f"WITH k AS (SELECT 'lang' AS name, 'lang: ' || lang AS text FROM documents UNION ALL SELECT 'source', 'source: ' || source FROM documents) SELECT 'frontmatter' AS source, name, CAST(sum({words_sql('text')}) AS BIGINT) AS words FROM k GROUP BY name")
 def section_aggregate(spark, sf_dir):
-    parts = frontmatter.sections(with_frontmatter(spark, sf_dir), mode="per-key")
-    return frontmatter.aggregate(frames.measured(parts.select("doc_id", "source", "name", "text")).groupBy("doc_id", "source", "name").agg(F.sum("words").alias("total"))).withColumnRenamed("total", "words")
+    return frontmatter.aggregate(frontmatter.measured(with_frontmatter(spark, sf_dir), mode="per-key").groupBy("doc_id", "source", "name").agg(F.sum("words").alias("total"))).withColumnRenamed("total", "words")
 
 
 @query(f"SELECT conv_id, role, CAST(sum({words_sql('text')}) AS BIGINT) AS words FROM conversations GROUP BY conv_id, role")

@@ -9,7 +9,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.operators.frames import carried, through_arrow
+from glyphmill.functions.measure import MEASURES, measure, simple
+from glyphmill.functions.options import CountOptions, resolve_context
+from glyphmill.functions.segment import segment
+from glyphmill.operators.frames import quoted, through_arrow
 
 FENCES = {"---": "yaml", "+++": "toml", ";;;": "json"}
 MODES = ("all", "split", "frontmatter", "content", "per-key", "split-per-key")
@@ -312,11 +315,11 @@ def section_texts(text: str, mode: str) -> list[tuple[str, str, str]]:
 def sections(df: DataFrame, text: str = "text", mode: str = "split") -> DataFrame:
     """A row for each section of each document: df's other columns, section_index, source,
     name, text, frontmatter_type. Null texts have none."""
-    keep, _ = carried(df, text)
     if mode not in MODES:
         raise ValueError(f"Unknown section mode: {mode}.")
     if mode == "all":
-        return df.filter(F.col(text).isNotNull()).select(*keep, F.lit(0).alias("section_index"), F.lit("content").alias("source"), F.lit("all").alias("name"), F.col(text).alias("text"), F.lit(None).cast("string").alias("frontmatter_type"))
+        keep = [quoted(c) for c in df.columns if c != text]
+        return df.filter(quoted(text).isNotNull()).select(*keep, F.lit(0).alias("section_index"), F.lit("content").alias("source"), F.lit("all").alias("name"), quoted(text).alias("text"), F.lit(None).cast("string").alias("frontmatter_type"))
 
     def rows(value: str):
         kind = parse(value).kind
@@ -327,6 +330,23 @@ def sections(df: DataFrame, text: str = "text", mode: str = "split") -> DataFram
     return out.withColumnRenamed("section_text", "text")
 
 
+def measured(df: DataFrame, text: str = "text", mode: str = "split", options: CountOptions = CountOptions()) -> DataFrame:
+    """A row for each chunk of each section, with its measures: sections() and then
+    frames.measured(), in one pass."""
+    if mode not in MODES:
+        raise ValueError(f"Unknown section mode: {mode}.")
+    resolve_context(options)
+    blank = options.include_whitespace
+
+    def rows(value: str):
+        for i, (source, name, part) in enumerate(section_texts(value, mode)):
+            easy = simple(part)
+            for k, c in enumerate(segment(part, options)):
+                yield i, source, name, k, c.locale, *measure(c.text, easy, blank)
+
+    return through_arrow(df, text, "section_index int, source string, name string, chunk_index int, locale string, " + ", ".join(f"{m} bigint" for m in MEASURES), rows)
+
+
 def aggregate(totals: DataFrame) -> DataFrame:
     """Sums of (source, name, total) rows, frontmatter before content, names by collation."""
     out = totals.groupBy("source", "name").agg(F.sum("total").alias("total"))

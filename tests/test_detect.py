@@ -115,3 +115,25 @@ def test_inspect():
     assert detect.inspect(PROSE["en"], view="engine")["tag"] == "en" and "note" in detect.inspect("123 ...", view="engine") or True
     with pytest.raises(ValueError):
         detect.inspect("x", detector="script", view="engine")
+
+
+def test_engines_are_loaded_by_name(capsys):
+    from glyphmill.cli import main
+    from glyphmill.functions.language import identify, load_engine
+
+    assert load_engine() is identify and load_engine("glyphmill.functions.language:identify") is identify
+    for bad in ("no_such_module:f", "json:no_such", "json"):
+        with pytest.raises(ValueError, match="can't be loaded"):
+            load_engine(bad)
+    assert main(["The readers of this guide", "-d", "model", "--engine", "json:no_such"]) == 1
+    assert "can't be loaded" in capsys.readouterr().err
+
+
+def test_fallbacks_name_the_locales_they_become():
+    from glyphmill.functions.options import CountOptions
+    from glyphmill.operators import detect
+
+    _, (d,) = detect.detect("el niño. zwölf", CountOptions())
+    found = detect.evidence(d)
+    assert found["finalLocales"] == ["und-Latn", "es", "de"] or set(found["finalLocales"]) >= {"es", "de"}
+    assert detect.evidence(detect.detect("niño", CountOptions())[1][0])["finalTag"] == "es"

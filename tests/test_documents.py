@@ -60,6 +60,16 @@ def test_sections_of_a_frame(spark):
     assert frontmatter.shared_type(parts.filter("doc_id = 1")).first()[0] == "yaml"
 
 
+def test_sections_measured_in_one_pass(spark):
+    texts = ["---\ntitle: Über uns\nn: 3\n---\nEl niño. 漢字, text", "no front", "", None, "+++\na = 1\n+++\nx"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for mode in ("all", "split", "per-key", "split-per-key", "content"):
+        parts = frontmatter.sections(df, mode=mode).drop("frontmatter_type")
+        keys = ("doc_id", "section_index", "source", "name", "chunk_index", "locale", "words", "punctuation", "spaces")
+        want = sorted(map(tuple, frames.measured(parts).select(*keys).collect()))
+        assert sorted(map(tuple, frontmatter.measured(df, mode=mode).select(*keys).collect())) == want
+
+
 @pytest.fixture
 def tree(tmp_path):
     for name, data in {"a.md": b"alpha", "B.mdx": b"beta", "sub/c.TXT": b"gamma", "sub/d.js": b"no", "bin.txt": b"a\0b", "ctl.txt": b"\x01\x02\x03ab", ".hidden": b"x", "bad.md": b"caf\xe9", "empty.md": b""}.items():

@@ -102,3 +102,11 @@ def test_streams(spark, tmp_path):
     s = live.read_parquet(spark, str(tmp_path / "in"))
     out = live.run_to_end(live.words_over_time(s, "ts", "10 minutes", "0 minutes", "lang"), "update")
     assert out.agg(F.sum("words")).first()[0] == 60
+
+
+def test_columns_of_any_names(spark):
+    df = spark.createDataFrame([(1, "el niño", None, "x")], "`a.b` int, `my text` string, v void, locale_ string")
+    for f in (frames.chunks, frames.tokens, frames.measured, frames.count):
+        out = f(df, text="my text")
+        rows = out.collect()
+        assert rows and all(r["a.b"] == 1 and r.locale_ == "x" for r in rows), f

@@ -164,10 +164,12 @@ def unused(df: DataFrame, name: str) -> str:
 
 
 def numbered(df: DataFrame, order: Column) -> DataFrame:
-    """df with `nth` (a name that df must not have), its rows' numbers from 0 in the given order: ranges are sorted
-    apart, and only their row counts meet on the driver."""
+    """df with `nth` (a name that df must not have), its rows' numbers from 0 in the given
+    order: ranges are sorted apart, and only their row counts meet on the driver."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part_, at_ = unused(df, "part"), unused(df, "at")
+    # names by place: those of df may hold dots
+    safe = [f"c{i}" for i in range(len(df.columns))]
+    keyed = df.select(*(col(c).alias(s) for c, s in zip(df.columns, safe)), order.alias("key"))
 
     def number(batches):
         from pyspark import TaskContext
@@ -175,15 +177,14 @@ def numbered(df: DataFrame, order: Column) -> DataFrame:
         part, at = TaskContext.get().partitionId(), 0
         for b in batches:
             n = b.num_rows
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([part] * n, pa.int32()), pa.array(range(at, at + n), pa.int64())], names=[*b.schema.names, part_, at_])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([part] * n, pa.int32()), pa.array(range(at, at + n), pa.int64())], names=[*b.schema.names, "part", "at"])
             at += n
 
-    fields = T.StructType([*df.schema.fields, T.StructField(part_, T.IntegerType()), T.StructField(at_, T.LongType())])
-    rows = cut(df.repartitionByRange(parts, order).sortWithinPartitions(order).mapInArrow(tidy_map(number), fields))
+    fields = T.StructType([*keyed.drop("key").schema.fields, T.StructField("part", T.IntegerType()), T.StructField("at", T.LongType())])
+    rows = cut(keyed.repartitionByRange(parts, "key").sortWithinPartitions("key").drop("key").mapInArrow(tidy_map(number), fields))
     starts, total = [], 0
-    for r in sorted(rows.groupBy(part_).count().collect()):
-        starts += [F.lit(r[part_]), F.lit(total)]
+    for r in sorted(rows.groupBy("part").count().collect()):
+        starts += [F.lit(r["part"]), F.lit(total)]
         total += r["count"]
-    if not starts:
-        return rows.select(*(col(c) for c in df.columns), F.col(at_).alias("nth"))
-    return rows.select(*(col(c) for c in df.columns), (F.col(at_) + F.create_map(*starts)[F.col(part_)]).alias("nth"))
+    first = F.create_map(*starts)[F.col("part")] if starts else F.lit(0).cast("long")
+    return rows.select(*(F.col(s).alias(c) for c, s in zip(df.columns, safe)), (F.col("at") + first).alias("nth"))

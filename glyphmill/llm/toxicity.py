@@ -372,8 +372,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """docs' rows, with all their columns, whose text scores below the threshold. Cases as
-    in score()."""
+    """docs' rows, with all their columns (of any names), whose text scores below the
+    threshold. Cases as in score()."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
 
@@ -384,7 +384,8 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3, text_col:
             scores = [own.score(*find(t or "", memory)) for t in batch.column(place).to_pylist()]
             yield batch.filter(pa.array([s < threshold for s in scores], pa.bool_()))
 
-    return docs.mapInArrow(tidy_map(run), docs.schema)
+    safe = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names by place: they may hold dots
+    return safe.mapInArrow(tidy_map(run), safe.schema).toDF(*docs.columns)
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, rows: int = ROWS) -> DataFrame:

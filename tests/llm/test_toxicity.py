@@ -199,6 +199,14 @@ def test_passages_are_spans_of_the_text(spark):
     assert found and all(x.startswith(("zorch", "quxxer")) for x in found)
 
 
+def test_clean_rows_keep_their_columns(spark):
+    docs, labels = corpus(300)
+    model = fit(spark.createDataFrame(docs, "doc_id long, text string, x int"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    df = spark.createDataFrame([("m", "zorch zorching quxxer", None), (None, "plain words", 1.5), ("n", None, 2.5)], "`meta.k` string, text string, score double")
+    out = toxicity.keep_clean(df, model)
+    assert out.schema == df.schema and sorted(map(str, out.collect())) == sorted(map(str, df.filter("text is null or text like 'plain%'").collect()))
+
+
 def test_nothing_to_learn(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")

@@ -33,8 +33,8 @@ def lowest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes, nodes[low]
 
 
-def contract(batches):
-    """Edges of a partition -> a star for each of its components."""
+def contract(batches, one_task: int):
+    """Edges of a partition -> a star for each of its components; at most one_task are held."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
 
@@ -46,10 +46,10 @@ def contract(batches):
     for batch in batches:
         held.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)))
         size += batch.num_rows
-        if size > ONE_TASK:
+        if size > one_task:
             held[:] = [stars()]
             size = len(held[0][0])
-            if size > ONE_TASK // 2:
+            if size > one_task // 2:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names=["a", "b"])
                 held.clear()
                 size = 0
@@ -57,13 +57,14 @@ def contract(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in stars()], names=["a", "b"])
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """(node, component) for every node of edges (a long, b long); component is the lowest
     node reachable. Each partition contracts its own edges to stars; while more than
-    ONE_TASK are left, rounds of large and small stars (minima with partial aggregation,
+    one_task are left, rounds of large and small stars (minima with partial aggregation,
     joins that AQE splits where a node is hot) halve the depth of what is left."""
-    edges = cut(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).mapInArrow(tidy_map(contract), "a long, b long"))
-    while edges.count() > ONE_TASK:
+    shrink = tidy_map(lambda batches: contract(batches, one_task))
+    edges = cut(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).mapInArrow(shrink, "a long, b long"))
+    while edges.count() > one_task:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = cut(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
@@ -75,5 +76,5 @@ def components(edges: DataFrame) -> DataFrame:
         if again.exceptAll(edges).isEmpty() and edges.exceptAll(again).isEmpty():
             return again.select(F.col("a").alias("node"), F.col("b").alias("component")).union(again.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
         edges = again
-    stars = edges.repartition(1).mapInArrow(tidy_map(contract), "a long, b long")
+    stars = edges.repartition(1).mapInArrow(shrink, "a long, b long")
     return cut(stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()))

@@ -48,13 +48,13 @@ class Block:
         self.e = np.sqrt(((self.u - near) ** 2).sum(1)) * (1 + 1e-12) + 1e-15
 
 
-def links(a: Block, b: Block, threshold: float, same: bool):
+def links(a: Block, b: Block, threshold: float, same: bool, strip: int = STRIP):
     """Yields (rows of a, rows of b) of linked pairs, strip by strip; within a block each once."""
     wide = a.x.shape[1] * 127 * 127 >= 1 << 24
     kind = np.float64 if wide else np.float32
     qb = b.q.astype(kind).T
-    for at in range(0, len(a.nodes), STRIP):
-        part = slice(at, at + STRIP)
+    for at in range(0, len(a.nodes), strip):
+        part = slice(at, at + strip)
         product = (a.q[part].astype(kind) @ qb).astype(np.float64)
         product *= a.s[part, None]
         product *= b.s[None, :]
@@ -71,7 +71,7 @@ def links(a: Block, b: Block, threshold: float, same: bool):
                 yield p[fine], q[fine]
 
 
-def tile_links(a: Block, b: Block, threshold: float, same: bool):
+def tile_links(a: Block, b: Block, threshold: float, same: bool, strip: int = STRIP):
     """(node, links weighted by copies) and a spanning forest (a, b) of the tile's links."""
     na, nb = np.zeros(len(a.nodes), np.int64), np.zeros(len(b.nodes), np.int64)
     forest = (np.empty(0, np.int64), np.empty(0, np.int64))
@@ -81,7 +81,7 @@ def tile_links(a: Block, b: Block, threshold: float, same: bool):
         n, m = lowest(np.concatenate([x for x, _ in waiting]), np.concatenate([y for _, y in waiting]))
         return n[n != m], m[n != m]
 
-    for p, q in links(a, b, threshold, same):
+    for p, q in links(a, b, threshold, same, strip):
         np.add.at(na, p, b.count[q])
         np.add.at(nb, q, a.count[p])
         waiting.append((a.nodes[p], b.nodes[q]))
@@ -92,7 +92,7 @@ def tile_links(a: Block, b: Block, threshold: float, same: bool):
     return (nodes[n > 0], n[n > 0]), fold()
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", block: int = BLOCK, strip: int = STRIP) -> DataFrame:
     """For every row: (vec_id, n_links, component_id, kept) by cosine >= threshold among
     rows of an equal, non-null label, in double precision.
 
@@ -122,7 +122,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     axis = max(range(len(spread)), key=lambda c: spread[c] or 0.0, default=0)
     width = math.sqrt(max(2 - 2 * threshold, 0.0)) / 2 * 1.001 + 1e-6
     units = cut(units.withColumn("cell", F.floor(coordinate(axis) / width).cast("int")).withColumn("dim", F.size("v")).select("label", "dim", "cell", "node", "copies", "low_id", "h1", "h2", "v"))
-    cells = units.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    cells = units.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
     # tiles: every block with itself and the blocks after it, up to two cells on
     one = cells.select("label", "dim", F.col("cell").alias("cell_a"), F.col("parts").alias("parts_a"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("far"))
     two = cells.select("label", "dim", F.col("cell").alias("cell_b"), F.col("parts").alias("parts_b"))
@@ -144,7 +144,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
         first, second = side == 0, side == 1
         a = Block(nodes[first], count[first], x[first])
         b = Block(nodes[second], count[second], x[second]) if second.any() else None
-        (n, links_), (p, q) = tile_links(a, b or a, threshold, b is None)
+        (n, links_), (p, q) = tile_links(a, b or a, threshold, b is None, strip)
         if b is None and len(n):  # a block with itself: both ends are its own rows
             n, at = np.unique(n, return_inverse=True)
             links_ = np.bincount(at, links_).astype(np.int64)

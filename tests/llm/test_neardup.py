@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from glyphmill.llm import graph, neardup
+from glyphmill.llm import graph
 from glyphmill.llm.graph import components
 from glyphmill.llm.neardup import Block, links, near_duplicates
 
@@ -40,12 +40,10 @@ def data(seed=1, n=500, d=16):
 
 
 @pytest.mark.parametrize("block", [16, 4096])
-def test_equals_brute_force(spark, block, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK", block)
-    monkeypatch.setattr(neardup, "STRIP", 8)
+def test_equals_brute_force(spark, block):
     rows = data()
     rows += [(9000, None, 0, 0), (9001, [0.0] * 16, 0, 0), (9002, [float("nan")] * 16, 0, 0), (9003, [None] * 16, 0, 0), (3, rows[3][1], rows[3][2], 0), (None, rows[5][1], rows[5][2], 0), (9004, [1.0, 2.0], 0, 0), (9005, [2.0, 4.0], 0, 0), (9006, [], 0, 0)]
-    got = sorted((tuple(r) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
+    got = sorted((tuple(r) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA), block=block, strip=8).collect()), key=str)
     assert got == brute(rows)
 
 
@@ -71,7 +69,7 @@ def test_bounds_hold():
         assert (got == np.triu(exact >= t, 1)).all()
 
 
-def test_components_in_rounds(spark, monkeypatch):
+def test_components_in_rounds(spark):
     rng = np.random.default_rng(9)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 900, (500, 2))] + [(i, i + 1) for i in range(2000, 2300)] + [(5000, i) for i in range(4000, 4100)]
     df = spark.createDataFrame(edges, "a long, b long")
@@ -79,8 +77,7 @@ def test_components_in_rounds(spark, monkeypatch):
     n, m = graph.lowest(np.array([a for a, _ in edges]), np.array([b for _, b in edges]))
     loops = {a for a, b in edges if a == b}
     assert {k: v for k, v in zip(n.tolist(), m.tolist()) if k not in loops or k in want} == want
-    monkeypatch.setattr(graph, "ONE_TASK", 50)
-    assert {r.node: r.component for r in components(df).collect()} == want
+    assert {r.node: r.component for r in components(df, one_task=50).collect()} == want
 
 
 def test_empty(spark):

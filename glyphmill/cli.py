@@ -97,6 +97,7 @@ def check_flags(args: argparse.Namespace, modelled: bool) -> None:
     if args.command == "inspect":
         refuse(bool(args.path and args.text), "inspect takes a text or --path, not both.")
         return
+    refuse(args.print_jobs_limit and bool(args.path or args.text), "--print-jobs-limit stands alone.")
     refuse(args.verbose and not args.debug, "--verbose needs --debug.")
     refuse(args.detector_evidence and not args.debug, "--detector-evidence needs --debug.")
     refuse(args.detector_evidence and not modelled, "--detector-evidence needs --detector model.")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 import tomllib
 from dataclasses import dataclass, field
 
@@ -119,6 +120,8 @@ def user_folder(env: dict | None = None) -> str:
     env = os.environ if env is None else env
     if os.name == "nt":
         return os.path.join(env.get("APPDATA", ""), "glyphmill")
+    if sys.platform == "darwin" and not env.get("XDG_CONFIG_HOME"):
+        return os.path.join(env.get("HOME", ""), "Library", "Application Support", "glyphmill")
     return os.path.join(env.get("XDG_CONFIG_HOME") or os.path.join(env.get("HOME", ""), ".config"), "glyphmill")
 
 

@@ -147,7 +147,7 @@ def test_sections_are_normalised_each(tree, capsys, spark):
 
 
 def test_flags(tree, capsys, spark):
-    for argv, why in ((["x", "--verbose"], "--verbose needs"), (["x", "--debug", "--detector-evidence"], "needs --detector model"), (["x", "--debug-report"], "--debug-report needs"), (["x", "--debug", "--debug-tee"], "needs --debug-report"), (["x", "--regex", "a", "--regex", "b"], "once"), (["x", "--jobs", "0"], "positive"), (["x", "--latin-hint", "no"], "TAG=PATTERN"), (["inspect", "x", "-p", "y"], "not both")):
+    for argv, why in ((["x", "--verbose"], "--verbose needs"), (["x", "--debug", "--detector-evidence"], "needs --detector model"), (["x", "--debug-report"], "--debug-report needs"), (["x", "--debug", "--debug-tee"], "needs --debug-report"), (["x", "--regex", "a", "--regex", "b"], "once"), (["x", "--jobs", "0"], "positive"), (["x", "--latin-hint", "no"], "TAG=PATTERN"), (["inspect", "x", "-p", "y"], "not both"), (["x", "--print-jobs-limit"], "alone")):
         code, _, err = said(capsys, *argv)
         assert code == 1 and why in err, argv
     assert json.loads(said(capsys, "--print-jobs-limit")[1])["suggestedMaxJobs"] >= 1

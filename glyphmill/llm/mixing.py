@@ -112,7 +112,7 @@ def quotas(docs: DataFrame, weights, share: float, most: float, seed: int, block
     sources). Both are cut."""
     narrow = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source_"), size_of(F.col("text")).alias("size"), place_of(F.col("doc_id").cast("long"), seed).alias("place")))
     totals = narrow.groupBy(F.col("source_").alias("source")).agg(F.sum("size").alias("source_size"))
-    ranked = numbered(totals, F.col("source").asc_nulls_last())
+    ranked = numbered(totals, F.struct(F.col("source").isNull(), F.col("source")))
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("nth") % len(weights) + 1).cast("int"))
     ranked = cut(ranked.withColumn("weight", weight))
     top = level(ranked, share, most)

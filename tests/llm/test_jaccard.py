@@ -114,3 +114,35 @@ def test_one_row_of_each_group_stays_though_ids_repeat(spark):
     rows = [(4, text, "a"), (4, text + " y", "b"), (4, other, "c"), (None, text + " z", "d"), (None, other, "e"), (None, "alone " * 9, "f"), (3, "alone " * 9, "g"), (None, None, "h"), (None, None, "h")]
     got = sorted(r["k.x"] for r in jaccard.representatives(spark.createDataFrame(rows, "doc_id long, text string, `k.x` string")).collect())
     assert len(got) == 5 and got[0] in "ab" and got[1:] == ["c", "g", "h", "h"]
+
+
+def test_lists_of_near_copies_travel_as_lists(spark):
+    base = [" ".join(f"w{g}x{i}" for i in range(200)) for g in range(6)]
+    rows = [(20 * g + k, f"{base[g]} c{k} d{k}") for g in range(6) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    share, nothing = Share(80, 100), spark.sparkContext.broadcast((np.empty(0, np.uint64), np.empty(0, np.int64)))
+    x = jaccard.read_blobs(pa.chunked_array([[r.blob for r in jaccard.prefixes(docs, 5, share, nothing, 7).collect()]], pa.binary()), jaccard.PREFIX)
+    members, length, edges = jaccard.listed(x, share)
+    blobs = [b for _, b in jaccard.run_blobs(members, length, 7)]
+    assert not len(edges) and len(members) > 0.9 * len(x)
+    assert sum(map(len, blobs)) < x.nbytes  # counted pairs for each of 7 buckets take more than twice that
+    pairs = jaccard.paired_runs(*jaccard.read_runs(pa.array(blobs, pa.binary())), share)
+    assert len(pairs) == 6 * 190
+    assert len(jaccard.shared_enough(pairs, share)) == 6 * 190
+    sets = {}
+    for r in x:
+        sets.setdefault(int(r["node"]), set()).add(int(r["h"]))
+    assert all(p["n"] == len(sets[int(p["a"])] & sets[int(p["b"])]) for p in pairs)
+
+
+def test_sets_travel_in_the_shorter_form():
+    words = [" ".join(f"word{i % 50}" for i in range(k, k + 400)) for k in range(9)] + ["z " * 500_000, "one two", "Ünï " * 3, " ".join(str(i * 7919) for i in range(40))]
+    column = pa.array(words, pa.large_string())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(words)), pa.int64()), column], names=["doc_id", "text"])
+    want = list(jaccard.shingle_sets(*jaccard.text_buffers(column), 5))
+    rows = pa.Table.from_batches(list(jaccard.set_rows([batch], 5)))
+    got = jaccard.unpacked(rows.column("packed"), 5)
+    assert [x.tolist() for x in got] == [x.tolist() for x in want]
+    assert all(len(b) <= 8 + 8 * n for b, n in zip(rows.column("packed").to_pylist(), rows.column("n").to_pylist()))
+    prose = jaccard.packed(want[0], words[0].encode())
+    assert len(prose) < want[0].nbytes

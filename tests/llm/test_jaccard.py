@@ -146,3 +146,21 @@ def test_sets_travel_in_the_shorter_form():
     assert all(len(b) <= 8 + 8 * n for b, n in zip(rows.column("packed").to_pylist(), rows.column("n").to_pylist()))
     prose = jaccard.packed(want[0], words[0].encode())
     assert len(prose) < want[0].nbytes
+
+
+def test_texts_stay_where_they_are_when_few_rows_go_or_stay(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"{text} x{i}" if i % 3 else f"quite another text {i} of seven words") for i in range(60)]
+    few = spark.createDataFrame(rows, "doc_id long, text string")
+    most = spark.createDataFrame([(i, f"{text} x{i}") for i in range(20)] + [(20, None)], "doc_id long, text string")
+    for df, want in ((few, [1, *range(0, 60, 3)]), (most, [0, 20])):
+        limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            for sent in (jaccard.SENT, 0):
+                got = jaccard.representatives(df, sent=sent)
+                assert sorted(r.doc_id for r in got.collect()) == sorted(want)
+                plan = got._jdf.queryExecution().optimizedPlan().toString() + got._jdf.queryExecution().sparkPlan().toString()
+                assert ("BroadcastHashJoin" in plan) == bool(sent)
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)

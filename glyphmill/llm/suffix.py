@@ -18,8 +18,9 @@ anchors.py), and equal windows have equal ones:
 2. Records meet by gram. Of contexts that agree in those 96 bits all but the smallest
    document's go, whole. A gram in one document only is done. What is left are contexts
    that differ while their grams agree, as at the ends of a repeat.
-3. For those the bytes are fetched, keyed by the gram and 17 bytes beside it (left for
-   windows that reach there, else right). Each part is put in suffix order, common
+3. For those the bytes are fetched, compressed, and keyed by the gram; if it has MANY
+   of them, by it and 13 bytes beside it (left for windows that reach there, else
+   right). Each part is put in suffix order, common
    prefixes of neighbours follow from their bytes, and previous and next smaller
    documents, found by jumping along pointers, give the LPF array.
 4. The removed ranges of a document are united and cut from its text.
@@ -34,10 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm.anchors import anchors
-from glyphmill.llm.common import buckets, col, cut, mix, read_blobs, slices, text_buffers, tidy_group, tidy_map
+from glyphmill.llm.common import buckets, col, cut, mix, slices, text_buffers, tidy_group, tidy_map
 
 #: Length of a repeat, of an anchor's gram, and of what keys a part beside the gram.
-LENGTH, GRAM, BESIDE = 50, 16, 17
+LENGTH, GRAM, BESIDE = 50, 24, 13
 #: Anchors that a task holds before they flow on.
 HELD = 1_200_000
 #: A null doc_id counts as larger than all others.
@@ -46,7 +47,9 @@ NO_ID = (1 << 63) - 1
 RANGE = np.dtype([("doc", "<i8"), ("tag", "<u8"), ("start", "<u4"), ("end", "<u4")])
 REQUEST = np.dtype([("doc", "<i8"), ("tag", "<u8"), ("start", "<u4"), ("end", "<u4"), ("role", "u1")])
 CONTEXT = np.dtype([("key", "<u8"), ("doc", "<i8"), ("tag", "<u8"), ("start", "<u4"), ("windows", "<u4"), ("role", "u1")])
-SOURCE, TARGET = 1, 2
+SOURCE, TARGET, DIVIDED = 1, 2, 4
+#: Contexts of a gram, as requested, from which they are divided by the bytes beside it.
+MANY = 4096
 ROWS = "kind long, bucket long, head binary, body binary"
 
 
@@ -220,10 +223,33 @@ def judge(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     out = np.empty(int(need.sum()), REQUEST)
     for name in RANGE.names:
         out[name] = x[name][need]
-    out["role"] = (source[need] * SOURCE + target[need] * TARGET).astype(np.uint8)
+    asking = np.bincount(g[need], minlength=len(at_g))[g[need]]
+    out["role"] = (source[need] * SOURCE + target[need] * TARGET + (asking >= MANY) * DIVIDED).astype(np.uint8)
     return ranges(x[later]), out
 
 
+def pack_contexts(x: np.ndarray, body: np.ndarray) -> tuple[bytes, bytes]:
+    """CONTEXT records by column and their bytes, both compressed, each after its length."""
+    raw = b"".join(np.ascontiguousarray(x[name]).view(np.uint8).reshape(len(x), -1).T.tobytes() for name in CONTEXT.names)
+    short = [len(c).to_bytes(8, "little") + pa.compress(c, codec="zstd", asbytes=True) for c in (raw, body.tobytes())]
+    return short[0], short[1]
+
+
+def unpack_contexts(heads, bodies) -> tuple[np.ndarray, np.ndarray]:
+    x, body = [np.empty(0, CONTEXT)], [np.empty(0, np.uint8)]
+    for head, text in zip(heads, bodies):
+        raw, text = (np.frombuffer(pa.decompress(c[8:], int.from_bytes(c[:8], "little"), codec="zstd", asbytes=True), np.uint8) for c in (head, text))
+        n, at = len(raw) // CONTEXT.itemsize, 0
+        own = np.empty(n, CONTEXT)
+        for name in CONTEXT.names:
+            size = CONTEXT[name].itemsize
+            own[name] = np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).view(CONTEXT[name]).reshape(n)
+            at += n * size
+        x.append(own)
+        body.append(text)
+    return np.concatenate(x), np.concatenate(body)
+
+
 def fetch(batches, length: int, n: int):
     """Step 3a: documents with their requests -> contexts by the part they belong to."""
     for batch in batches:
@@ -246,15 +272,17 @@ def fetch(batches, length: int, n: int):
         # all windows of a context share its anchor, so this finds one anchor for each
         row, a, b, at, h1, _ = anchors(body, edge, length, GRAM)
         rows, chunk = [], []
-        for left in (True, False):
-            low = a if left else np.maximum(a, at - BESIDE + 1)
+        divided = (role[row] & DIVIDED) > 0
+        for left in (None, True, False):
+            low = np.maximum(a, at - BESIDE + 1) if left is False else a
             high = np.minimum(b - length, at - BESIDE) if left else b - length
-            some = high >= low
+            some = (high >= low) & (divided != (left is None))
             r, low, high, where = row[some], low[some], high[some], at[some]
-            side = edge[r] + (where - BESIDE if left else where + GRAM)
-            key = h1[some] * np.uint64(2) + np.uint64(left)
-            for i in range(BESIDE):
-                key = (key ^ body[side + i]) * np.uint64(0x100000001B3)
+            key = h1[some] * np.uint64(4) + np.uint64(2 if left is None else left)
+            if left is not None:
+                side = edge[r] + (where - BESIDE if left else where + GRAM)
+                for i in range(BESIDE):
+                    key = (key ^ body[side + i]) * np.uint64(0x100000001B3)
             x = np.empty(len(r), CONTEXT)
             x["key"], x["doc"], x["tag"], x["role"] = mix(key), doc[r], tag[r], role[r]
             x["start"], x["windows"] = start[r] + low, high - low + 1
@@ -267,7 +295,7 @@ def fetch(batches, length: int, n: int):
         for bucket, i, j in runs:
             edges = np.concatenate(([0], np.cumsum(size[i:j])))
             place = np.arange(edges[-1]) + np.repeat(s[i:j] - edges[:-1], size[i:j])
-            rows.append((0, bucket, x[i:j].tobytes(), body[place].tobytes()))
+            rows.append((0, bucket, *pack_contexts(x[i:j], body[place])))
         yield rows_batch(rows)
 
 
@@ -401,8 +429,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         return pa.Table.from_batches([rows_batch(rows)])
 
     def reduce_contexts(table: pa.Table) -> pa.Table:
-        x = read_blobs(table.column("head"), CONTEXT)
-        body = np.concatenate([np.frombuffer(b.as_buffer(), np.uint8) for b in table.column("body")])
+        x, body = unpack_contexts(table.column("head").to_pylist(), table.column("body").to_pylist())
         return pa.Table.from_batches([rows_batch(by_document(merged(previous_factors(x, body, length)), n, 1))])
 
     judged = cut(gather(docs.select("doc", "tag", "text"), length, n).groupBy("bucket").applyInArrow(tidy_group(reduce_anchors), ROWS))

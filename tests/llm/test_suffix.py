@@ -2,9 +2,11 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from glyphmill.llm import anchors as anchors_module
+from glyphmill.llm import suffix
 from glyphmill.llm.anchors import anchors
 from glyphmill.llm.suffix import RANGE, REQUEST, common_prefixes, digests, longest_previous_factors, merged, pack, remove_repeats, unpack
 
@@ -128,3 +130,29 @@ def test_longest_previous_factors(seed):
 
 def test_empty(spark):
     assert digests(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_contexts_travel_once_and_divided_where_many(monkeypatch):
+    rng = np.random.default_rng(5)
+    head = bytes(rng.integers(97, 123, 400, np.uint8))
+    texts = [head + bytes(rng.integers(97, 123, 300, np.uint8)) for _ in range(9)]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    offsets = np.cumsum([0, *map(len, texts)])
+    row, start, end, _, h1, h2 = anchors(data, offsets, 50, suffix.GRAM)
+    x = np.zeros(len(row), suffix.ANCHOR)
+    x["doc"], x["start"], x["end"], x["h1"], x["h2"] = row, start, end, h1 >> np.uint64(32), h2
+    found = []
+    for many in (suffix.MANY, 2):
+        monkeypatch.setattr(suffix, "MANY", many)
+        gone, asked = suffix.judge(x)
+        ids = np.unique(asked["doc"]).tolist()
+        blobs = [pack(asked[asked["doc"] == d]) for d in ids]
+        batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([0] * len(ids), pa.int64()), pa.array([texts[d].decode() for d in ids]), pa.array(blobs, pa.binary())], names=list("abcd"))
+        rows = pa.Table.from_batches(list(suffix.fetch([batch], 50, 1)))
+        y, body = suffix.unpack_contexts(rows.column("head").to_pylist(), rows.column("body").to_pylist())
+        assert int(y["windows"].sum()) == int((asked["end"] - asked["start"]).astype(int).sum()) - 49 * len(asked)
+        found.append((len(asked), len(y), merged(np.concatenate([gone, suffix.previous_factors(y, body, 50)])).tolist()))
+    assert found[0][0] == found[0][1] < found[1][1]  # whole contexts were sent in halves
+    for _, _, gone in found:
+        assert [g[:3] for g in gone] == [(d, 0, 0) for d in range(1, 9)] and all(400 <= g[3] <= 405 for g in gone)
+    assert found[0][2] == found[1][2]

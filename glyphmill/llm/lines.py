@@ -24,14 +24,16 @@ How it scales.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import buckets, col, cut, mix, split_blobs, text_buffers, tidy_group, tidy_map, unused
+from glyphmill.llm.common import buckets, col, cut, mix, split_blobs, text_buffers, tidy_group, tidy_groups, tidy_map, unused
 from glyphmill.llm.graph import components, lowest
-from glyphmill.llm.jaccard import PAIRS, Share, shared_enough, tile_pairs
+from glyphmill.llm.jaccard import PAIRS, Share, added, shared_enough, tile_pairs
 from glyphmill.llm.shingles import words
 from glyphmill.llm.suffix import NO_ID, pack, unpack
 
@@ -45,8 +47,11 @@ LIST, BLOCKED = 512, 1 << 26
 #: Lines of more words have the wider map; those of still more count as long, as it says
 #: less of them. Most long lines of a list whose pairs are counted.
 WIDE, LONG, PAIRED = 48, 160, 64
-#: Lines of a tile's block.
-BLOCK = 2048
+#: Lines and words of a tile's block, and words up to which it shares a task call with others.
+BLOCK, BLOCK_WORDS, SMALL_TILE = 2048, 1 << 20, 200_000
+#: Near pairs of lists held as they are before they are folded to stars and counted pairs,
+#: and counted pairs held before they flow on.
+FOLDED, COUNTED = 1 << 19, 1 << 21
 
 PREFIX = np.dtype([("h", "<u4"), ("node", "<i8"), ("n", "<u4"), ("at", "u1"), ("map", "<u8")])
 #: Lines over WIDE words have 128 bits: `half` maps about half of the words, map ^ half the rest.
@@ -267,9 +272,16 @@ def parity_pairs(parity, half, a: np.ndarray, b: np.ndarray, most: int, wide: bo
 
 
 def near_in_lists(x: np.ndarray, share: Share, longest: int = LIST, paired: int = PAIRED) -> tuple[np.ndarray, np.ndarray]:
-    """(edges, pairs) of the words' lists by length, position and parity map. Edges are
-    stars of candidates; pairs are of long lines, whose maps say little, and still need as
-    many shared prefix words as a link takes."""
+    """All that near_pieces() gives at once."""
+    edges, pairs = zip(*near_pieces(x, share, longest, paired))
+    return np.concatenate(edges), added(np.concatenate(pairs))
+
+
+def near_pieces(x: np.ndarray, share: Share, longest: int = LIST, paired: int = PAIRED, folded: int = FOLDED, counted: int = COUNTED):
+    """Yields (edges, pairs) of the words' lists by length, position and parity map. Edges are
+    stars of candidates, all in the last piece; pairs are of long lines, whose maps say
+    little, and still need as many shared prefix words as a link takes (those of a pair in
+    all pieces count together). No more than about `folded` near pairs are held as they are."""
     x = x[np.lexsort((x["node"], x["n"], x["h"]))]
     if len(x):
         x = x[np.concatenate(([True], (x["h"][1:] != x["h"][:-1]) | (x["node"][1:] != x["node"][:-1])))]
@@ -280,11 +292,13 @@ def near_in_lists(x: np.ndarray, share: Share, longest: int = LIST, paired: int
     big = n > LONG
     crowd = np.add.reduceat(big.astype(np.int64), starts) if len(x) else starts
     many = np.repeat(crowd > paired, length)  # lists that hold many long lines
-    a, b, pa_, pb_ = [], [], [], []
+    a, b, pa_, pb_, held = [], [], [], [], 0
+    edges, pairs = np.empty(0, EDGES), np.empty(0, PAIRS)
 
     def sort_out(i, j, need):
         """Pairs near by their maps: of short lines, edges where the words before fit; of
         long ones, pairs, or edges where the list holds many."""
+        nonlocal held
         early = (at[i] <= n[i] - need) & (at[j] <= n[j] - need)
         one = np.where(big[i], many[i], early)
         a.append(i[one])
@@ -292,45 +306,65 @@ def near_in_lists(x: np.ndarray, share: Share, longest: int = LIST, paired: int
         two = big[i] & ~many[i]
         pa_.append(i[two])
         pb_.append(j[two])
-
-    i = np.flatnonzero(left > 1)
-    d = 1
-    while len(i):
-        j = i + d
-        fit = share.fits(n[i], n[j])
-        i, j = i[fit], j[fit]  # sizes ascend: beyond the first that doesn't fit none does
-        need = share.overlap(n[i], n[j])
-        near = apart(parity, half, n[i] > WIDE, i, j) <= n[i] + n[j] - 2 * need
-        sort_out(i[near], j[near], need[near])
-        d += 1
-        i = i[left[i] > d]
-    for s, k in zip(starts[length > longest].tolist(), length[length > longest].tolist()):
-        sizes, first = np.unique(n[s : s + k], return_index=True)
-        ends = np.append(first[1:], k)
-        for u, (low, f, e) in enumerate(zip(sizes.tolist(), first.tolist(), ends.tolist())):
-            for high, g, t in zip(sizes[u:].tolist(), first[u:].tolist(), ends[u:].tolist()):
-                if not share.fits(low, high):
-                    break
-                need = int(share.overlap(low, high))
-                if need == low == high:
-                    continue  # only equal sets, which are one class
-                for p, q in parity_pairs(parity, half, np.arange(s + f, s + e), np.arange(s + g, s + t), low + high - 2 * need, low > WIDE, low == high):
-                    sort_out(p, q, need)
-    none = np.empty(0, np.int64)
-    p, q = np.concatenate([none, *a]), np.concatenate([none, *b])
-    p, q = lowest(node[p], node[q])
-    edges = np.empty(int((p != q).sum()), EDGES)
-    edges["a"], edges["b"] = p[p != q], q[p != q]
-    i, j = np.concatenate([none, *pa_]), np.concatenate([none, *pb_])
-    swap = node[i] > node[j]
-    i, j = np.where(swap, j, i), np.where(swap, i, j)
-    order = np.lexsort((node[j], node[i]))
-    i, j = i[order], j[order]
-    first = np.flatnonzero(np.concatenate(([True], (node[i][1:] != node[i][:-1]) | (node[j][1:] != node[j][:-1])))) if len(i) else none
-    pairs = np.empty(len(first), PAIRS)
-    pairs["a"], pairs["b"], pairs["na"], pairs["nb"] = node[i[first]], node[j[first]], n[i[first]], n[j[first]]
-    pairs["n"] = np.diff(np.append(first, len(i)))
-    return edges, pairs
+        held += len(a[-1]) + len(pa_[-1])
+
+    def fold():
+        nonlocal edges, pairs, held
+        none = np.empty(0, np.int64)
+        i, j = np.concatenate([none, *a]), np.concatenate([none, *b])
+        p, q = lowest(np.concatenate([edges["a"], node[i]]), np.concatenate([edges["b"], node[j]]))
+        edges = np.empty(int((p != q).sum()), EDGES)
+        edges["a"], edges["b"] = p[p != q], q[p != q]
+        i, j = np.concatenate([none, *pa_]), np.concatenate([none, *pb_])
+        swap = node[i] > node[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        more = np.empty(len(i), PAIRS)
+        more["a"], more["b"], more["na"], more["nb"], more["n"] = node[i], node[j], n[i], n[j], 1
+        pairs = added(np.concatenate([pairs, added(more)]))
+        for c in (a, b, pa_, pb_):
+            c.clear()
+        held = 0
+
+    def near_places():
+        """Yields (i, j, least overlap) of the near records of the lists, some lists at a time,
+        so that what a pair shares in lists nearby is counted at once."""
+        load = np.cumsum(np.minimum(length, longest) * length // 2) // max(1, folded)
+        cuts = np.flatnonzero(np.concatenate(([True], load[1:] != load[:-1], [True]))) if len(load) else np.zeros(1, np.int64)
+        ends = np.append(starts, len(x))
+        for s, e in zip(ends[cuts[:-1]].tolist(), ends[cuts[1:]].tolist()):
+            i = np.flatnonzero(left[s:e] > 1) + s
+            d = 1
+            while len(i):
+                j = i + d
+                fit = share.fits(n[i], n[j])
+                i, j = i[fit], j[fit]  # sizes ascend: beyond the first that doesn't fit none does
+                need = share.overlap(n[i], n[j])
+                near = apart(parity, half, n[i] > WIDE, i, j) <= n[i] + n[j] - 2 * need
+                yield i[near], j[near], need[near]
+                d += 1
+                i = i[left[i] > d]
+        for s, k in zip(starts[length > longest].tolist(), length[length > longest].tolist()):
+            sizes, first = np.unique(n[s : s + k], return_index=True)
+            ends = np.append(first[1:], k)
+            for u, (low, f, e) in enumerate(zip(sizes.tolist(), first.tolist(), ends.tolist())):
+                for high, g, t in zip(sizes[u:].tolist(), first[u:].tolist(), ends[u:].tolist()):
+                    if not share.fits(low, high):
+                        break
+                    need = int(share.overlap(low, high))
+                    if need == low == high:
+                        continue  # only equal sets, which are one class
+                    for p, q in parity_pairs(parity, half, np.arange(s + f, s + e), np.arange(s + g, s + t), low + high - 2 * need, low > WIDE, low == high):
+                        yield p, q, need
+
+    for found in near_places():
+        sort_out(*found)
+        if held > folded:
+            fold()
+            if len(pairs) > counted:
+                yield edges[:0], pairs
+                pairs = pairs[:0]
+    fold()
+    yield edges, pairs
 
 
 def first_lines(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -364,7 +398,8 @@ def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100, least: int = 1,
     spark = docs.sparkSession
     rarity = spark.sparkContext.broadcast(count_words(texts))
 
-    def reduce_bucket(table: pa.Table) -> pa.Table:
+    def reduce_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
         kinds = table.column("kind").to_numpy()
         blobs = lambda k: table.filter(pa.array(kinds == k)).column("blob").to_pylist()
         slim = np.concatenate([np.empty(0, PREFIX), *(np.frombuffer(b, PREFIX) for b in blobs(WORDS))])
@@ -372,17 +407,20 @@ def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100, least: int = 1,
         for name in PREFIX.names:
             x[name] = slim[name]
         x = np.concatenate([x, *(np.frombuffer(b, WIDE_PREFIX) for b in blobs(WIDE_WORDS))])
-        edges, pairs = near_in_lists(x, share)
-        rows = [(EDGE, b, d) for b, d in split_blobs(edges, edges["a"] % n)]
-        rows += [(PAIR, b, d) for b, d in split_blobs(pairs, ((pairs["a"] ^ (pairs["b"] << 1)) % n))]
+        del slim
+        for edges, pairs in near_pieces(x, share):
+            rows = [(EDGE, b, d) for b, d in split_blobs(edges, edges["a"] % n)]
+            yield batch_of(rows + [(PAIR, b, d) for b, d in split_blobs(pairs, ((pairs["a"] ^ (pairs["b"] << 1)) % n))])
+        rows = []
+        del x
         firsts, gone = first_lines(unpack(blobs(LINES), LINE))
         if len(firsts):
             rows += [(LINES, int(table.column("bucket")[0].as_py()), pack(firsts))]
         rows += by_bucket(gone, doc_bucket(gone, n), REMOVED)
         rows += [(REMOVED, r["bucket"], r["blob"]) for r in table.filter(pa.array(kinds == REMOVED)).select(["bucket", "blob"]).to_pylist()]
-        return pa.Table.from_batches([batch_of(rows)])
+        yield batch_of(rows)
 
-    found = cut(gather(texts, rarity, share, least, n).groupBy("bucket").applyInArrow(tidy_group(reduce_bucket), ROWS))
+    found = cut(gather(texts, rarity, share, least, n).groupBy("bucket").applyInArrow(tidy_groups(reduce_bucket), ROWS))
 
     def edges_of(batches):
         for b in batches:
@@ -405,14 +443,16 @@ def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100, least: int = 1,
     firsts = found.filter(F.col("kind") == LINES).select("blob").mapInArrow(tidy_map(lines_of), "s1 long, s2 long, n long, doc long, tag long, line long")
     asked = cut(firsts.join(nodes.select(F.col("node").alias("s1"), F.col("component").alias("cluster")), "s1").select("cluster", "n", "doc", "tag", "line").withColumn("node", F.monotonically_increasing_id()))
     sizes = asked.groupBy("cluster", "n").agg(F.count("*").alias("lines"))
-    before = F.expr("coalesce(sum(lines) over (partition by cluster order by n rows between unbounded preceding and 1 preceding), 0)")
-    placed = sizes.withColumn("block", F.floor(before / BLOCK)).withColumn("parts", F.ceil(F.col("lines") / BLOCK).cast("int"))
+    before = lambda x: F.expr(f"coalesce(sum({x}) over (partition by cluster order by n rows between unbounded preceding and 1 preceding), 0)")
+    # a line may be a whole text: blocks are bounded by words as well
+    placed = sizes.withColumn("block", F.greatest(F.floor(before("lines") / BLOCK), F.floor(before("lines * n") / BLOCK_WORDS)))
+    placed = placed.withColumn("parts", F.greatest(F.ceil(F.col("lines") / BLOCK), F.ceil(F.col("lines") * F.col("n") / BLOCK_WORDS)).cast("int"))
     members = cut(asked.join(placed.select("cluster", "n", "block", "parts"), ["cluster", "n"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("parts"))
-    blocks = cut(members.groupBy("cluster", "block", "part").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("lines")).withColumn("b", F.monotonically_increasing_id()))
-    x, y = (blocks.select("cluster", *(F.col(c).alias(c + s) for c in ("b", "low", "high", "lines"))) for s in "xy")
+    blocks = cut(members.groupBy("cluster", "block", "part").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("lines"), F.sum("n").alias("words")).withColumn("b", F.monotonically_increasing_id()))
+    x, y = (blocks.select("cluster", *(F.col(c).alias(c + s) for c in ("b", "low", "high", "lines", "words"))) for s in "xy")
     tiles = x.join(y, "cluster").filter(f"bx <= by and {den} * highx >= {num} * lowy and {den} * highy >= {num} * lowx and (bx != by or linesx > 1)")
     tiles = tiles.withColumn("tile", F.monotonically_increasing_id())
-    tiles = cut(tiles.select("bx", "by", "tile", F.when(F.greatest("linesx", "linesy") > BLOCK // 8, -1 - F.col("tile")).otherwise(F.pmod(F.xxhash64("tile"), F.lit(n))).alias("task")))
+    tiles = cut(tiles.select("bx", "by", "tile", F.when((F.greatest("linesx", "linesy") > BLOCK // 8) | (F.greatest("wordsx", "wordsy") > SMALL_TILE), -1 - F.col("tile")).otherwise(F.pmod(F.xxhash64("tile"), F.lit(n))).alias("task")))
     sides = tiles.select(F.col("bx").alias("b"), "tile", "task", F.lit(0).alias("side")).union(tiles.filter("bx != by").select("by", "tile", "task", F.lit(1)))
     numbered = members.join(blocks.select("cluster", "block", "part", "b"), ["cluster", "block", "part"]).select("b", "node", "doc", "tag", "line")
     wanted = numbered.groupBy(F.col("doc").alias("doc_r"), F.col("tag").alias("tag_r")).agg(F.collect_list(F.struct("line", "node", "b")).alias("asked"))
@@ -434,9 +474,9 @@ def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100, least: int = 1,
             at = np.flatnonzero(nth == 0)[text] + line
             size = edges[at + 1] - edges[at]
             cuts = np.concatenate(([0], np.cumsum(size)))
-            body = data[np.arange(cuts[-1]) + np.repeat(edges[at] - cuts[:-1], size)]
-            for p, q in pieces(body, cuts):
-                own, h, first = line_sets(body, cuts[p : q + 1], table)
+            for p, q in pieces(data, cuts):
+                body = np.concatenate([data[s:e] for s, e in zip(edges[at[p:q]].tolist(), edges[at[p:q] + 1].tolist())])
+                own, h, first = line_sets(body, cuts[p : q + 1] - cuts[p], table)
                 ends = np.append(first[1:], len(h)).tolist()
                 sets = [np.sort(h[s:e]).tobytes() for s, e in zip(first.tolist(), ends)]
                 which = own[first] + p

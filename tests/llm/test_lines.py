@@ -1,11 +1,13 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
 
 from glyphmill.llm import lines as lines_module
+from glyphmill.llm.common import tidy_group
 from glyphmill.llm.graph import lowest
 from glyphmill.llm.jaccard import Share
 from glyphmill.llm.lines import WIDE_PREFIX, dedup_lines, digests, near_in_lists
@@ -147,3 +149,50 @@ def test_parts_of_maps_lose_no_pair(most, monkeypatch):
     k = len(one)
     found = {(int(i), int(j)) for p, q in lines_module.parity_pairs(np.concatenate([one, two]), np.zeros(2 * k, np.uint64), np.arange(k), np.arange(k, 2 * k), most, False, False) for i, j in zip(p, q)}
     assert {(i, k + i) for i in range(k)} <= found
+
+
+def crowded(lists, k):
+    """Lists of k short lines that are near each other, the same ones in each."""
+    x = np.zeros(lists * k, WIDE_PREFIX)
+    x["h"], x["node"] = np.repeat(np.arange(lists), k), np.tile(np.arange(k), lists)
+    x["n"] = 40
+    return x
+
+
+def test_near_lists_are_folded_as_they_come():
+    x = crowded(60, 400)  # 4.8 million near pairs
+    tracemalloc.start()
+    edges, pairs = near_in_lists(x, Share(80, 100))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(pairs) == 0 and len(edges) == 399 and set(edges["b"].tolist()) == {0}
+    assert peak < 150_000_000
+
+
+def test_pieces_of_pairs_count_together():
+    x = crowded(50, 20)
+    x["n"] = 170
+    whole = near_in_lists(x, Share(80, 100))[1]
+    pieces = list(lines_module.near_pieces(x, Share(80, 100), folded=300, counted=100))
+    assert len(pieces) > 5 and len(whole) == 190 and set(whole["n"].tolist()) == {50}
+    assert np.array_equal(lines_module.added(np.concatenate([p for _, p in pieces])), whole)
+
+
+def test_blocks_are_bounded_by_words(spark, monkeypatch):
+    monkeypatch.setattr(lines_module, "BLOCK_WORDS", 500)
+    most = 4 * 500 + 400 * 8
+
+    def watched(run):
+        def verify(table):
+            words = sum(len(v.as_buffer()) for v in table.column("words")) // 8
+            assert words <= most, words
+            return run(table)
+
+        return tidy_group(verify if run.__name__ == "verify" else run)
+
+    monkeypatch.setattr(lines_module, "tidy_group", watched)
+    rng = random.Random(8)
+    line = [f"w{k}" for k in range(300)]
+    rows = [(i, " ".join(w for w in line if rng.random() < 0.97), 1) for i in range(40)]
+    got = sorted(((r.doc_id, r.text, r.lines_, r.removed_) for r in dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
+    assert got == brute(rows)

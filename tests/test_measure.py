@@ -68,3 +68,20 @@ def test_long_texts_leave_in_parts(spark):
     rows = frames.measured(df).groupBy("i").agg(F.sum("words").alias("w"), F.count("*").alias("n")).collect()
     assert {(r.i, r.w) for r in rows} == {(i, 240_000) for i in range(8)} | {(9, 1)}
     assert count_graphemes("x\r\n") == 2
+
+
+def test_large_row_groups_are_dealt_out(spark, tmp_path):
+    path = f"{tmp_path}/one.parquet"
+    texts = spark.range(30_000).selectExpr("id", "id % 7 AS `a.b`", "sha2(string(id), 256) AS text")
+    texts.coalesce(1).write.parquet(path)  # a row group, that is a task, however many splits
+    df = spark.read.parquet(path).select("id", "`a.b`", "text")
+    even = spread(df, small=0, most=100_000, part=400_000)
+    assert even.columns == df.columns and even.exceptAll(df).isEmpty() and even.count() == 30_000
+    held = [r["count"] for r in even.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(held) > 4 and max(held) < 12_000
+    once = even.filter("id > 3")
+    assert spread(once, small=0, most=100_000) is once
+    # parts that are small enough stay where they are, and what isn't read from files is left alone
+    assert spread(df, small=0) is df
+    joined = df.join(df.select("id"), "id")
+    assert spread(joined, small=0, most=0) is joined

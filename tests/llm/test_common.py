@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+
 import pytest
 
 from glyphmill.llm import common
@@ -24,3 +28,22 @@ def test_rows_are_numbered_in_order(spark):
     rows = common.numbered(df, df.part).collect()
     assert sorted((r.nth, r.part) for r in rows) == [(i, i) for i in range(101)] and rows[0]["a.b"].startswith("r")
     assert common.numbered(df.limit(0), df.part).count() == 0
+
+
+def test_files_of_exchanges_go_with_their_cut(tmp_path):
+    script = """
+import glob, time
+from pyspark.sql import SparkSession
+from glyphmill.llm import common
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", f"file://{AT}/shared").getOrCreate()
+out = common.cut(spark.range(1000).repartition(3).selectExpr("id % 7 AS k").groupBy("k").count())
+for _ in range(40):
+    left = glob.glob(f"{AT}/local/**/shuffle_*.data", recursive=True)
+    if not left:
+        break
+    time.sleep(0.1)
+print("LEFT", len(left), sorted(r["count"] for r in out.collect()), spark.conf.get(common.CLEANUP))
+"""
+    env = os.environ | {"SPARK_LOCAL_DIRS": f"{tmp_path}/local"}
+    said = subprocess.run([sys.executable, "-c", script.replace("{AT}", str(tmp_path))], env=env, capture_output=True, text=True, timeout=120)
+    assert "LEFT 0 [142, 143, 143, 143, 143, 143, 143] false" in said.stdout, said.stdout + said.stderr[-2000:]

@@ -164,3 +164,13 @@ def test_texts_stay_where_they_are_when_few_rows_go_or_stay(spark):
                 assert ("BroadcastHashJoin" in plan) == bool(sent)
         finally:
             spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_counts_travel_short():
+    rng = np.random.default_rng(3)
+    x = np.zeros(5000, jaccard.COUNTS)
+    x["h"] = np.sort(rng.integers(0, 1 << 64, 5000, dtype=np.uint64, endpoint=False))
+    x["n"] = rng.integers(2, 9, 5000)
+    blob = jaccard.pack_counts(x)
+    assert len(blob) < 0.72 * x.nbytes
+    assert np.array_equal(jaccard.unpack_counts([blob, jaccard.pack_counts(x[:1])]), np.concatenate([x, x[:1]]))
